@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from siteward.llm import quality_rules
+from siteward.llm.quality_rules import op4_quality_rules
 from siteward.llm.sentencepiece_stream import op9_sentencepiece
 from siteward.llm.sharding import op2_sharding
 from siteward.llm.simhash import op6_simhash_neardup
@@ -10,7 +12,8 @@ from siteward.llm.token_counts import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op4_quality_rules": op4_quality_rules,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
