@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from siteward.llm import quality_rules
+from siteward.llm.decontamination import op10_decontamination
 from siteward.llm.quality_rules import op4_quality_rules
 from siteward.llm.sentencepiece_stream import op9_sentencepiece
 from siteward.llm.sharding import op2_sharding
 from siteward.llm.simhash import op6_simhash_neardup
 from siteward.llm.token_counts import op1_token_counts
+from siteward.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
