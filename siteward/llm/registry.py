@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siteward.llm import quality_rules
 from siteward.llm.decontamination import op10_decontamination
+from siteward.llm.html_extraction import op8_html_extraction
 from siteward.llm.quality_rules import op4_quality_rules
 from siteward.llm.sentencepiece_stream import op9_sentencepiece
 from siteward.llm.sharding import op2_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
 }
