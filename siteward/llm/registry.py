@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siteward.llm import quality_rules
+from siteward.llm.chat_formatting import op3_chat_formatting
 from siteward.llm.decontamination import op10_decontamination
 from siteward.llm.html_extraction import op8_html_extraction
 from siteward.llm.quality_rules import op4_quality_rules
@@ -15,6 +16,7 @@ from siteward.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
