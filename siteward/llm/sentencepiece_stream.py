@@ -12,8 +12,10 @@ character, as the vocabulary shows), all paths meet at once, and the ids of such
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,11 @@ from siteward.llm.common import table, tokenizer_path
 SPACE = "▁"
 CACHE_ENTRIES = 300_000
 CACHED_CHARS = 64
+#: Texts that are encoded together; known pairs of pieces; a bound over piece ids and characters.
+TEXTS = 512
+FITS = 2_000_000
+CODES = 1 << 24
+HASH_BASE = 0x9E3779B97F4A7C15
 NORMAL, BYTE = 1, 6
 NO_PIECE = float("-inf")
 SPANS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -56,6 +63,9 @@ class Model:
                     node = node.setdefault(c, {})
                 node[""] = piece
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.tables = self.hashed_pieces()
+        self.fit_keys, self.fit_values = np.empty(0, np.int64), np.empty(0, bool)
+        self.new_fits: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The encoding by definition: of adjacent symbols, merge those that make the best piece, the leftmost of equals."""
@@ -141,25 +151,105 @@ class Model:
 
     def ids_of(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
-        return [known] if known is not None else [self.bytes[b] for b in piece.encode()]
+        return [known] if known is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
-        out: list[int] = []
-        cache = self.cache
-        for span in SPANS.findall(marked) if self.spans_part else [marked]:
-            ids = cache.get(span)
-            if ids is None:
-                ids = tuple(k for piece in self.best_pieces(span) for k in self.ids_of(piece))
-                if len(span) <= CACHED_CHARS:
-                    if len(cache) > CACHE_ENTRIES:
-                        cache.clear()
-                    cache[span] = ids
-            out += ids
+    def hashed_pieces(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length from 1: sorted hashes of the pieces of the trie, and their ids."""
+        by_length: list[list[tuple[int, int]]] = [[] for _ in range(self.longest)]
+        for piece, k in self.ids.items():
+            if len(piece) == 1 or self.merged(piece) == [piece]:
+                h = 0
+                for c in piece:
+                    h = (h * HASH_BASE + ord(c) + 1) % 2**64
+                by_length[len(piece) - 1].append((h, k))
+        tables = [sorted(t) for t in by_length]
+        assert all(len({h for h, _ in t}) == len(t) for t in tables)
+        return [(np.array([h for h, _ in t], np.uint64), np.array([k for _, k in t], np.int64)) for t in tables]
+
+    def fit_codes(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """fit() of pairs of piece ids; a character that is no piece, with an id past theirs, fits anything."""
+        keys = before * CODES + piece
+        at = np.searchsorted(self.fit_keys, keys)
+        at[at == len(self.fit_keys)] = 0
+        known = self.fit_keys[at] == keys if len(self.fit_keys) else np.zeros(len(keys), bool)
+        out = self.fit_values[at] & known if len(self.fit_keys) else known.copy()
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            unique, back = np.unique(keys[rest], return_inverse=True)
+            values = []
+            for key in unique.tolist():
+                v = self.new_fits.get(key)
+                if v is None:
+                    a, b = divmod(key, CODES)
+                    v = self.new_fits[key] = a >= len(self.pieces) or self.fit(self.pieces[a], self.pieces[b])
+                values.append(v)
+            out[rest] = np.array(values)[back]
         return out
 
+    def encode_spans(self, spans: list[str]) -> list[tuple[int, ...]]:
+        """The streaming pass over many short spans at once, position by position. All paths meet at a span's end."""
+        if len(self.new_fits) > 2_000:
+            keys = np.concatenate([self.fit_keys, np.fromiter(self.new_fits, np.int64, len(self.new_fits))])
+            values = np.concatenate([self.fit_values, np.fromiter(self.new_fits.values(), bool, len(self.new_fits))])
+            keep = slice(0 if len(keys) < FITS else len(self.fit_keys), None)
+            order = np.argsort(keys[keep])
+            self.fit_keys, self.fit_values, self.new_fits = keys[keep][order], values[keep][order], {}
+            self.fits.clear()
+        flat = np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        length = np.array([len(x) for x in spans])
+        end = np.cumsum(length)
+        start = end - length
+        left = np.repeat(end, length) - np.arange(len(flat))  # characters to the span's end
+        offset = np.arange(len(flat)) - np.repeat(start, length)
+        h, found = np.zeros(len(flat), np.uint64), []
+        for size in range(1, self.longest + 1):
+            open_ = np.flatnonzero(left >= size)
+            if not len(open_):
+                break
+            h = h[: len(flat) - size + 1] * np.uint64(HASH_BASE) + (flat[size - 1 :] + 1).astype(np.uint64)
+            hashes, ids = self.tables[size - 1]
+            if len(hashes):
+                mine = h[open_]
+                at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+                ok = hashes[at] == mine
+                found.append((open_[ok], np.full(ok.sum(), size), ids[at[ok]]))
+        begin, size, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        to = offset[begin] + size
+        order = np.argsort(to.astype(np.int16), kind="stable")
+        begin, size, piece, to = begin[order], size[order], piece[order], to[order]
+        last, sizes = flat + len(self.pieces), np.ones(len(flat), np.int64)  # characters that are no pieces
+        bounds = np.searchsorted(to, np.arange(1, (length.max() if len(length) else 0) + 2))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            b, p, n = begin[lo:hi], piece[lo:hi], size[lo:hi]
+            inner = offset[b] > 0
+            ok = ~inner
+            ok[inner] = self.fit_codes(last[b[inner] - 1], p[inner])
+            at = b[ok] + n[ok] - 1
+            last[at], sizes[at] = p[ok], n[ok]
+        at, columns = end - 1, []
+        while (open_ := at >= start).any():
+            columns.append(np.where(open_, last[np.maximum(at, 0)], -1))
+            at = np.where(open_, at - sizes[np.maximum(at, 0)], at)
+        pieces = len(self.pieces)
+        rows = np.array(columns[::-1]).T.tolist()
+        return [tuple(k for k in row if k >= 0) if max(row) < pieces else tuple(x for k in row if k >= 0 for x in ((k,) if k < pieces else [self.bytes[b] for b in chr(k - pieces).encode("utf-8", "replace")])) for row in rows]
+
+    def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
+        cache = self.cache
+        if len(cache) > CACHE_ENTRIES:
+            cache.clear()
+        cut = [(SPANS.findall(SPACE + t.replace(" ", SPACE)) if self.spans_part else [SPACE + t.replace(" ", SPACE)]) if t else [] for t in texts]
+        missing = {x for spans in cut for x in spans if x not in cache}
+        short = [x for x in missing if len(x) <= CACHED_CHARS and x[1:2] != SPACE]
+        if short:
+            cache.update(zip(short, self.encode_spans(short)))
+        long = {x: tuple(k for piece in self.best_pieces(x) for k in self.ids_of(piece)) for x in missing if x not in cache}
+        of = cache.__getitem__ if not long else lambda x: cache[x] if x in cache else long[x]
+        return [list(itertools.chain.from_iterable(map(of, spans))) for spans in cut]
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_texts([text])[0]
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
         out, run = [], bytearray()
@@ -194,7 +284,10 @@ def sentencepiece_encode(text: Column, model: str) -> Column:
     @F.pandas_udf("array<int>")
     def encode(batch: pd.Series) -> pd.Series:
         m = load(path)
-        return pd.Series([m.encode(t) for t in batch], dtype=object)
+        texts, out = batch.tolist(), []
+        for k in range(0, len(texts), TEXTS):
+            out += m.encode_texts(texts[k : k + TEXTS])
+        return pd.Series(out, dtype=object)
 
     return encode(text)
 
