@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siteward.llm import quality_rules
+from siteward.llm import license_scans, quality_rules
 from siteward.llm.chat_formatting import op3_chat_formatting
 from siteward.llm.decontamination import op10_decontamination
 from siteward.llm.html_extraction import op8_html_extraction
+from siteward.llm.license_scans import op7_license_scans
 from siteward.llm.quality_rules import op4_quality_rules
 from siteward.llm.sentencepiece_stream import op9_sentencepiece
 from siteward.llm.sharding import op2_sharding
@@ -20,8 +21,9 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op7_license_scans": op7_license_scans,
     "op8_html_extraction": op8_html_extraction,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op7_license_scans": license_scans.ORACLE_SQL}
