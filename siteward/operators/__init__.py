@@ -1 +1,3 @@
-"""Siteward operators."""
+"""Operators of the study; importing this registers their queries."""
+
+from siteward.operators import admission, checks, field, graph, relations, results  # noqa: F401

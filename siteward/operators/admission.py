@@ -126,7 +126,7 @@ def win_reserve(spark, sf_dir):
     return first.unionByName(more).select("site_id", "person_id", "tick", "tie", "tie2", "door")
 
 
-@query("sim_reserve", f"WITH {SITES} SELECT site_id, capacity, least(greatest(floor(capacity * 0.1)::BIGINT, 0), capacity) AS reserve, capacity - least(greatest(floor(capacity * 0.1)::BIGINT, 0), capacity) AS open_beds FROM sites")
+@query("sim_reserve", f"WITH {SITES} SELECT site_id, capacity, CASE WHEN capacity IS NOT NULL THEN least(greatest(floor(capacity * 0.1)::BIGINT, 0), capacity) END AS reserve, capacity - least(greatest(floor(capacity * 0.1)::BIGINT, 0), capacity) AS open_beds FROM sites")
 def sim_reserve(spark, sf_dir):
     r = F.when(F.col("capacity").isNotNull(), F.least(F.greatest(F.floor(F.col("capacity") * 0.1), F.lit(0)), F.col("capacity")))
     return sites(spark, sf_dir).select("site_id", "capacity", r.alias("reserve"), (F.col("capacity") - r).alias("open_beds"))

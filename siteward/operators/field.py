@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from siteward.catalog import query
 from siteward.operators.stand_ins import COUNTY, HOURS, MONITORS, START, UNHEALTHY, monitors
 
-#: The field has one row for each hour of the event, so windows over all of it hold HOURS rows at any input size.
-BY_HOUR = Window.partitionBy("county").orderBy("hour")
+
+def by_hour():
+    """The field has one row for each hour of the event, so a county's window holds HOURS rows at any input size."""
+    return Window.partitionBy("county").orderBy("hour")
 
 
 def hour_index(ts, start: str = START):
@@ -22,7 +24,7 @@ def hourly_field(monitors: DataFrame, scale: float = 1.0, hours: int = HOURS, st
     skipped; an hour without any is a gap, c null. Counties without measurements do not occur."""
     m = monitors.withColumn("hour", hour_index(F.col("ts"), start)).where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("hour") < hours) & ~F.isnan("c"))
     mean = m.groupBy("county", "hour").agg((F.avg("c") * scale).alias("c"))
-    grid = monitors.select("county").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).cast("long"))
+    grid = monitors.select("county").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long"))))
     return grid.join(mean, ["county", "hour"], "left")
 
 
@@ -68,7 +70,7 @@ def sim_field_gap(spark, sf_dir):
 
 def islands(field: DataFrame, level: float = UNHEALTHY) -> DataFrame:
     """county, first_hour, last_hour, hours, mean_c of each longest run of hours at the level or over it."""
-    over = field.where(F.col("c") >= level).withColumn("g", F.col("hour") - F.row_number().over(BY_HOUR))
+    over = field.where(F.col("c") >= level).withColumn("g", F.col("hour") - F.row_number().over(by_hour()))
     return over.groupBy("county", "g").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.count(F.lit(1)).alias("hours"), F.avg("c").alias("mean_c")).drop("g")
 
 
@@ -120,7 +122,7 @@ def decayed(field: DataFrame, half_life: float = 24.0, level: float = UNHEALTHY)
     """The field with z: each hour's z is 2 ** (-1 / half_life) of the last, plus 1/24 where c is at the level. Closed form:
     a running sum of x * 2 ** (hour / half_life), scaled back."""
     x = F.when(F.col("c") >= level, 1 / 24).otherwise(0.0)
-    grown = F.sum(x * F.pow(F.lit(2.0), F.col("hour") / half_life)).over(BY_HOUR)
+    grown = F.sum(x * F.pow(F.lit(2.0), F.col("hour") / half_life)).over(by_hour())
     return field.withColumn("z", grown * F.pow(F.lit(2.0), -F.col("hour") / half_life))
 
 
@@ -136,13 +138,13 @@ FROM field WINDOW w AS (PARTITION BY county ORDER BY hour)""",
 )
 def win_prefix(spark, sf_dir):
     f = field_of(spark, sf_dir)
-    return f.select("county", "hour", F.round(F.sum(F.coalesce("c", F.lit(0.0))).over(BY_HOUR), 4).alias("exposure"), F.sum(F.when(F.col("c") > UNHEALTHY, 1).otherwise(0)).over(BY_HOUR).alias("hours_above"))
+    return f.select("county", "hour", F.round(F.sum(F.coalesce("c", F.lit(0.0))).over(by_hour()), 4).alias("exposure"), F.sum(F.when(F.col("c") > UNHEALTHY, 1).otherwise(0)).over(by_hour()).alias("hours_above"))
 
 
 @query("win_lag_seam", f"WITH {HOURLY} SELECT county, hour, round(c, 6) AS c, round(before, 6) AS before, round(after, 6) AS after FROM (SELECT *, lag(c) OVER w AS before, lead(c) OVER w AS after FROM field WINDOW w AS (PARTITION BY county ORDER BY hour)) WHERE hour % 72 = 0")
 def win_lag_seam(spark, sf_dir):
     """The values before and after each seam."""
-    f = field_of(spark, sf_dir).withColumns({"before": F.lag("c").over(BY_HOUR), "after": F.lead("c").over(BY_HOUR)}).where("hour % 72 = 0")
+    f = field_of(spark, sf_dir).withColumns({"before": F.lag("c").over(by_hour()), "after": F.lead("c").over(by_hour())}).where("hour % 72 = 0")
     return f.select("county", "hour", *(F.round(k, 6).alias(k) for k in ("c", "before", "after")))
 
 
