@@ -97,7 +97,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     best = cosine.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template")).alias("b"))
     best = materialize(best.select("key", F.struct(F.col("b.less").alias("less"), F.col("b.template").alias("template")).alias("b")), "licences")
 
-    marked = found.select("_row", "_path", "_whole", "_keys").withColumn("_id", F.xxhash64(F.monotonically_increasing_id(), "_path"))
+    marked = found.select("_row", "_path", "_whole", "_keys").withColumn("_id", F.monotonically_increasing_id())
     marked = materialize(marked, "licence-files")
     hits = marked.select("_id", "_whole", F.explode("_keys").alias("key")).join(best, "key")
     hits = hits.groupBy("_id").agg(F.min("b").alias("b"), F.min(F.when(F.col("key") == F.col("_whole"), F.col("b"))).alias("w"))

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from siteward.llm.common import table, tokenizer_path
 
 SPACE = "▁"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 CACHED_CHARS = 64
-#: Texts that are encoded together; known pairs of pieces; a bound over piece ids and characters.
-TEXTS = 512
+#: Texts and spans that are encoded together; known pairs of pieces; a bound over piece ids and characters.
+TEXTS = 256
+SPANS_AT_ONCE = 50_000
 FITS = 2_000_000
 CODES = 1 << 24
 HASH_BASE = 0x9E3779B97F4A7C15
@@ -52,17 +53,19 @@ class Model:
         self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(proto.pieces) if p.type == BYTE}
         self.of_byte = {k: b for b, k in self.bytes.items()}
+        self.texts, self.last_byte = [p.replace(SPACE, " ") for p in self.pieces], max(self.of_byte)
         self.longest = max(map(len, self.ids))
         self.spans_part = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.fits: dict[tuple[str, str], bool] = {}
         self.starts: dict = {}  # a trie of the pieces that the merges of their own text give
-        for piece in self.ids:
-            if len(piece) == 1 or self.merged(piece) == [piece]:
-                node = self.starts
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = piece
+        self.whole = [p for p in self.ids if len(p) == 1 or self.merged(p) == [p]]
+        for piece in self.whole:
+            node = self.starts
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the cache before this one: what is still in use moves on
         self.tables = self.hashed_pieces()
         self.fit_keys, self.fit_values = np.empty(0, np.int64), np.empty(0, bool)
         self.new_fits: dict[int, bool] = {}
@@ -156,12 +159,11 @@ class Model:
     def hashed_pieces(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """By length from 1: sorted hashes of the pieces of the trie, and their ids."""
         by_length: list[list[tuple[int, int]]] = [[] for _ in range(self.longest)]
-        for piece, k in self.ids.items():
-            if len(piece) == 1 or self.merged(piece) == [piece]:
-                h = 0
-                for c in piece:
-                    h = (h * HASH_BASE + ord(c) + 1) % 2**64
-                by_length[len(piece) - 1].append((h, k))
+        for piece in self.whole:
+            h = 0
+            for c in piece:
+                h = (h * HASH_BASE + ord(c) + 1) % 2**64
+            by_length[len(piece) - 1].append((h, self.ids[piece]))
         tables = [sorted(t) for t in by_length]
         assert all(len({h for h, _ in t}) == len(t) for t in tables)
         return [(np.array([h for h, _ in t], np.uint64), np.array([k for _, k in t], np.int64)) for t in tables]
@@ -201,17 +203,18 @@ class Model:
         start = end - length
         left = np.repeat(end, length) - np.arange(len(flat))  # characters to the span's end
         offset = np.arange(len(flat)) - np.repeat(start, length)
-        h, found = np.zeros(len(flat), np.uint64), []
+        h, found, open_ = np.zeros(len(flat), np.uint64), [], np.arange(len(flat))
         for size in range(1, self.longest + 1):
-            open_ = np.flatnonzero(left >= size)
+            if size > 1:
+                longer = left[open_] >= size
+                open_, h = open_[longer], h[longer]
             if not len(open_):
                 break
-            h = h[: len(flat) - size + 1] * np.uint64(HASH_BASE) + (flat[size - 1 :] + 1).astype(np.uint64)
+            h = h * np.uint64(HASH_BASE) + (flat[open_ + (size - 1)] + 1).astype(np.uint64)
             hashes, ids = self.tables[size - 1]
             if len(hashes):
-                mine = h[open_]
-                at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
-                ok = hashes[at] == mine
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                ok = hashes[at] == h
                 found.append((open_[ok], np.full(ok.sum(), size), ids[at[ok]]))
         begin, size, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
         to = offset[begin] + size
@@ -226,23 +229,33 @@ class Model:
             ok[inner] = self.fit_codes(last[b[inner] - 1], p[inner])
             at = b[ok] + n[ok] - 1
             last[at], sizes[at] = p[ok], n[ok]
-        at, columns = end - 1, []
-        while (open_ := at >= start).any():
-            columns.append(np.where(open_, last[np.maximum(at, 0)], -1))
-            at = np.where(open_, at - sizes[np.maximum(at, 0)], at)
-        pieces = len(self.pieces)
-        rows = np.array(columns[::-1]).T.tolist()
-        return [tuple(k for k in row if k >= 0) if max(row) < pieces else tuple(x for k in row if k >= 0 for x in ((k,) if k < pieces else [self.bytes[b] for b in chr(k - pieces).encode("utf-8", "replace")])) for row in rows]
+        ends = np.zeros(len(flat), bool)  # where the pieces of the paths that end with their spans end
+        at, first = end - 1, start
+        while len(at):
+            ends[at] = True
+            at = at - sizes[at]
+            inside = at >= first
+            at, first = at[inside], first[inside]
+        pieces, ids = len(self.pieces), last[ends]
+        bounds = np.r_[0, np.cumsum(ends)[end - 1]]
+        odd = np.flatnonzero(np.add.reduceat(ids >= pieces, bounds[:-1])).tolist()
+        ids, bounds = ids.tolist(), bounds.tolist()
+        out = [tuple(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+        for k in odd:
+            out[k] = tuple(x for i in out[k] for x in ((i,) if i < pieces else [self.bytes[b] for b in chr(i - pieces).encode("utf-8", "replace")]))
+        return out
 
     def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+        if len(self.cache) > CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         cut = [(SPANS.findall(SPACE + t.replace(" ", SPACE)) if self.spans_part else [SPACE + t.replace(" ", SPACE)]) if t else [] for t in texts]
         missing = {x for spans in cut for x in spans if x not in cache}
+        cache.update((x, older[x]) for x in missing if x in older)
+        missing = [x for x in missing if x not in older]
         short = [x for x in missing if len(x) <= CACHED_CHARS and x[1:2] != SPACE]
-        if short:
-            cache.update(zip(short, self.encode_spans(short)))
+        for k in range(0, len(short), SPANS_AT_ONCE):
+            cache.update(zip(short[k : k + SPANS_AT_ONCE], self.encode_spans(short[k : k + SPANS_AT_ONCE])))
         long = {x: tuple(k for piece in self.best_pieces(x) for k in self.ids_of(piece)) for x in missing if x not in cache}
         of = cache.__getitem__ if not long else lambda x: cache[x] if x in cache else long[x]
         return [list(itertools.chain.from_iterable(map(of, spans))) for spans in cut]
@@ -252,6 +265,9 @@ class Model:
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
+        if min(ids, default=0) > self.last_byte:
+            text = "".join(map(self.texts.__getitem__, ids))
+            return text[1:] if text[:1] == " " else text
         out, run = [], bytearray()
         pieces, of_byte = self.pieces, self.of_byte
         for k in ids:
@@ -304,13 +320,27 @@ def sentencepiece_decode(ids: Column, model: str) -> Column:
     return decode(ids)
 
 
+def sentencepiece_round_trip(text: Column, model: str) -> Column:
+    """struct<ids, decoded>: both in one pass, so that a task has one Python worker and one copy of the model."""
+    path = tokenizer_path(model)
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batch: pd.Series) -> pd.DataFrame:
+        m = load(path)
+        texts, ids = batch.tolist(), []
+        for k in range(0, len(texts), TEXTS):
+            ids += m.encode_texts(texts[k : k + TEXTS])
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([m.decode(x) for x in ids], dtype=object)})
+
+    return both(text)
+
+
 def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_pieces, decoded_crc32 and decoded_chars of the text that the ids decode to,
     round_trip (it is the text itself; not so where a text has U+2581, which decodes to a space, as in the library). Null
     and empty texts have no ids; equal rows stay apart; an empty table gives an empty one."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("ids", sentencepiece_encode(F.col("text"), model))
-    rows = rows.withColumn("decoded", sentencepiece_decode(F.col("ids"), model))
+    rows = rows.withColumn("both", sentencepiece_round_trip(F.col("text"), model)).select("doc_id", "text", "both.*")
     return rows.select(
         "doc_id",
         "ids",
