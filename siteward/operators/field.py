@@ -30,7 +30,7 @@ def hourly_field(monitors: DataFrame, scale: float = 1.0, hours: int = HOURS, st
 
 HOURLY = f"""{MONITORS}, hours AS (SELECT county, hour, avg(c) AS c FROM (SELECT county, datesub('hour', TIMESTAMP '{START}', ts) AS hour, c FROM monitors WHERE ts >= TIMESTAMP '{START}' AND NOT isnan(c))
   WHERE hour < {HOURS} GROUP BY county, hour),
-field AS (SELECT county, g.hour, c FROM (SELECT DISTINCT county FROM monitors), range({HOURS}) AS g(hour) LEFT JOIN hours USING (county, hour))"""
+field AS (SELECT county, g.hour, c FROM (SELECT DISTINCT county FROM monitors) AS m CROSS JOIN range({HOURS}) AS g(hour) LEFT JOIN hours USING (county, hour))"""
 
 
 def field_of(spark, sf_dir: str) -> DataFrame:

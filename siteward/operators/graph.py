@@ -60,11 +60,11 @@ def shortest(edges: DataFrame, sources: DataFrame, max_m: float | None = None, m
 
 
 #: A sparser graph, so that it falls apart: edges whose ends' products leave a small rest.
-SPARSE = "sparse AS (SELECT a, b, length_m FROM roads WHERE (a * 31 + b * 17) % 40 = 0)"
+SPARSE = "sparse AS (SELECT a, b, length_m FROM roads WHERE (a * 31 + b * 17) % 401 = 0)"
 
 
 def sparse(spark, sf_dir) -> DataFrame:
-    return roads(spark, sf_dir).where("(a * 31 + b * 17) % 40 = 0")
+    return roads(spark, sf_dir).where("(a * 31 + b * 17) % 401 = 0")
 
 
 REACH = "reach AS (SELECT a AS n, a AS m FROM sparse UNION SELECT b, b FROM sparse UNION SELECT r.n, CASE WHEN s.a = r.m THEN s.b ELSE s.a END FROM reach r JOIN sparse s ON s.a = r.m OR s.b = r.m)"
