@@ -177,7 +177,7 @@ def test_licences_and_inheritance(spark):
         ("a/b/x.py", "import os"),
         ("a/b/LICENSE", "Licensed under the Apache License, Version 2.0."),
         ("a/b/c/y.py", "code\ncode"),
-        ("a/b/c/z.py", "# This work is licensed under the GNU General Public License, version 3.\ncode and more of it"),
+        ("a/b/c/z.py", "# This work is licensed under the GNU General Public License, version 3.\n" + "code and more of it\n" * 9),
         ("d/w.py", "nothing"),
         (None, "nothing"),
         ("a/b/x.py", "import os"),
