@@ -42,7 +42,7 @@ def agg_hourly_mean(spark, sf_dir):
     return field_of(spark, sf_dir).select("county", "hour", F.round("c", 6).alias("c"))
 
 
-@query("agg_peak", f"WITH {HOURLY} SELECT county, round(greatest(coalesce(max(c), 0), 0), 6) AS peak, arg_max(hour, (c, -hour)) AS peak_hour FROM field GROUP BY county")
+@query("agg_peak", f"WITH {HOURLY} SELECT county, round(greatest(coalesce(max(c), 0), 0), 6) AS peak, arg_max(hour, (c, -hour)) FILTER (c IS NOT NULL) AS peak_hour FROM field GROUP BY county")
 def agg_peak(spark, sf_dir):
     f = field_of(spark, sf_dir)
     return f.groupBy("county").agg(F.round(F.greatest(F.coalesce(F.max("c"), F.lit(0.0)), F.lit(0.0)), 6).alias("peak"), F.max_by("hour", F.struct("c", -F.col("hour"))).alias("peak_hour"))
@@ -133,12 +133,12 @@ def win_decay(spark, sf_dir):
 
 @query(
     "win_prefix",
-    f"""WITH {HOURLY} SELECT county, hour, round(sum(coalesce(c, 0)) OVER w, 4) AS exposure, sum(CASE WHEN c > {UNHEALTHY} THEN 1 ELSE 0 END) OVER w::BIGINT AS hours_above
+    f"""WITH {HOURLY} SELECT county, hour, round(sum(coalesce(c, 0)) OVER w, 7) AS exposure, sum(CASE WHEN c > {UNHEALTHY} THEN 1 ELSE 0 END) OVER w::BIGINT AS hours_above
 FROM field WINDOW w AS (PARTITION BY county ORDER BY hour)""",
 )
 def win_prefix(spark, sf_dir):
     f = field_of(spark, sf_dir)
-    return f.select("county", "hour", F.round(F.sum(F.coalesce("c", F.lit(0.0))).over(by_hour()), 4).alias("exposure"), F.sum(F.when(F.col("c") > UNHEALTHY, 1).otherwise(0)).over(by_hour()).alias("hours_above"))
+    return f.select("county", "hour", F.round(F.sum(F.coalesce("c", F.lit(0.0))).over(by_hour()), 7).alias("exposure"), F.sum(F.when(F.col("c") > UNHEALTHY, 1).otherwise(0)).over(by_hour()).alias("hours_above"))
 
 
 @query("win_lag_seam", f"WITH {HOURLY} SELECT county, hour, round(c, 6) AS c, round(before, 6) AS before, round(after, 6) AS after FROM (SELECT *, lag(c) OVER w AS before, lead(c) OVER w AS after FROM field WINDOW w AS (PARTITION BY county ORDER BY hour)) WHERE hour % 72 = 0")

@@ -1 +1,3 @@
-"""Siteward sources."""
+"""File sources; importing this registers their queries."""
+
+from siteward.sources import files  # noqa: F401

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from siteward import catalog, operators  # noqa: F401
+from siteward import catalog, operators, plans, sources, streaming  # noqa: F401
 from siteward.operators import admission, field, graph
 
 DIR = "/root/testdata/sf0.001"
