@@ -62,10 +62,10 @@ def flt_time_window(spark, sf_dir):
     return m.groupBy("county").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("sim_field_gap", f"WITH {HOURLY} SELECT county, count(*) FILTER (c IS NULL) AS gaps, round(sum(coalesce(c, 0)), 4) AS integral FROM field GROUP BY county")
+@query("sim_field_gap", f"WITH {HOURLY} SELECT county, count(*) FILTER (c IS NULL) AS gaps, round(sum(coalesce(c, 0)), 7) AS integral FROM field GROUP BY county")
 def sim_field_gap(spark, sf_dir):
     """A missing hour counts as 0 and is counted."""
-    return field_of(spark, sf_dir).groupBy("county").agg(F.count_if(F.col("c").isNull()).alias("gaps"), F.round(F.sum(F.coalesce("c", F.lit(0.0))), 4).alias("integral"))
+    return field_of(spark, sf_dir).groupBy("county").agg(F.count_if(F.col("c").isNull()).alias("gaps"), F.round(F.sum(F.coalesce("c", F.lit(0.0))), 7).alias("integral"))
 
 
 def islands(field: DataFrame, level: float = UNHEALTHY) -> DataFrame:

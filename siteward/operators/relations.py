@@ -88,7 +88,7 @@ def jn_asof_hour(spark, sf_dir):
 
 
 @query("jn_interval_exposure", """WITH h AS (SELECT datesub('hour', TIMESTAMP '2024-01-01', ts) AS hour, avg(value) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY hour), t AS (SELECT o_orderkey, o_orderkey * 11 % 300 AS a, o_orderkey * 11 % 300 + o_orderkey * 7 % 200 AS b FROM orders)
-SELECT o_orderkey, a, b, round(coalesce(sum(c), 0), 3) AS exposure FROM t LEFT JOIN h ON hour >= a AND hour < b GROUP BY ALL""")
+SELECT o_orderkey, a, b, round(coalesce(sum(c), 0), 7) AS exposure FROM t LEFT JOIN h ON hour >= a AND hour < b GROUP BY ALL""")
 def jn_interval_exposure(spark, sf_dir):
     """Sums of the field over each person's hours as a difference of two prefix sums, both looked up by equality."""
     h = read(spark, sf_dir, "events").groupBy(F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")).alias("hour")).agg(F.avg("value").alias("c"))
@@ -98,7 +98,7 @@ def jn_interval_exposure(spark, sf_dir):
     k = F.col("o_orderkey")
     t = read(spark, sf_dir, "orders").select("o_orderkey", (k * 11 % 300).alias("a"), (k * 11 % 300 + k * 7 % 200).alias("b"))
     pa, pb = prefix.select(F.col("hour").alias("a"), F.col("p").alias("pa")), prefix.select(F.col("hour").alias("b"), F.col("p").alias("pb"))
-    return t.join(pa, "a").join(pb, "b").select("o_orderkey", "a", "b", F.round(F.col("pb") - F.col("pa"), 3).alias("exposure"))
+    return t.join(pa, "a").join(pb, "b").select("o_orderkey", "a", "b", F.round(F.col("pb") - F.col("pa"), 7).alias("exposure"))
 
 
 @query("jn_shelter_agents", "SELECT s_suppkey, round(avg(l_extendedprice), 3) AS mean_travel FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_linestatus = 'F' GROUP BY s_suppkey")

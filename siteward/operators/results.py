@@ -280,15 +280,15 @@ def agg_sweep(spark, sf_dir):
     return g.join(target).withColumn("reaches", F.col("least") >= F.col("target")).drop("least", "target")
 
 
-@query("agg_score_metrics", f"""WITH {OUTCOMES} SELECT arm, seed, round(avg((state = 'SHELTERED')::INT), 6) AS access, round(avg((state = 'SHELTERED')::INT) FILTER (copd), 6) AS access_copd, round(avg(dose_ug) FILTER (state <> 'SHELTERED'), 4) AS dose_outside,
- round(avg(distance_m) FILTER (state = 'SHELTERED' AND mobility_limited), 2) AS walk_mobility, count(*) FILTER (state = 'UNREACHABLE') AS unreachable FROM outcomes GROUP BY arm, seed""")
+@query("agg_score_metrics", f"""WITH {OUTCOMES} SELECT arm, seed, round(avg((state = 'SHELTERED')::INT), 6) AS access, round(avg((state = 'SHELTERED')::INT) FILTER (copd), 6) AS access_copd, round(avg(dose_ug) FILTER (state <> 'SHELTERED'), 7) AS dose_outside,
+ round(avg(distance_m) FILTER (state = 'SHELTERED' AND mobility_limited), 7) AS walk_mobility, count(*) FILTER (state = 'UNREACHABLE') AS unreachable FROM outcomes GROUP BY arm, seed""")
 def agg_score_metrics(spark, sf_dir):
     inside = (F.col("state") == "SHELTERED").cast("int")
     return outcomes(spark, sf_dir).groupBy("arm", "seed").agg(
         F.round(F.avg(inside), 6).alias("access"),
         F.round(F.avg(F.when(F.col("copd"), inside)), 6).alias("access_copd"),
-        F.round(F.avg(F.when(F.col("state") != "SHELTERED", F.col("dose_ug"))), 4).alias("dose_outside"),
-        F.round(F.avg(F.when((F.col("state") == "SHELTERED") & F.col("mobility_limited"), F.col("distance_m"))), 2).alias("walk_mobility"),
+        F.round(F.avg(F.when(F.col("state") != "SHELTERED", F.col("dose_ug"))), 7).alias("dose_outside"),
+        F.round(F.avg(F.when((F.col("state") == "SHELTERED") & F.col("mobility_limited"), F.col("distance_m"))), 7).alias("walk_mobility"),
         F.count_if(F.col("state") == "UNREACHABLE").alias("unreachable"),
     )
 

@@ -38,12 +38,12 @@ def exposures(who: DataFrame, field: DataFrame) -> DataFrame:
 p AS (SELECT hour, coalesce(sum(c) OVER (ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM (SELECT * FROM f UNION ALL SELECT max(hour) + 1, 0 FROM f)), e AS (SELECT max(hour) AS last FROM p),
 w AS (SELECT person_id, CASE WHEN state = 'SHELTERED' THEN arrive_tick // 60 END AS a, depart_tick // 60 AS d FROM outcomes),
 x AS (SELECT person_id, t.p AS total, CASE WHEN a IS NOT NULL THEN t.p - s.p ELSE 0 END AS way FROM w, e JOIN p t ON t.hour = least(coalesce(a, last), last) JOIN p s ON s.hour = least(least(d, coalesce(a, d)), last))
-SELECT person_id, round(total, 3) AS exposure, round(way, 3) AS on_the_way, round(1.62 * way + 0.61 * (total - way), 3) AS dose FROM x""",
+SELECT person_id, round(total, 7) AS exposure, round(way, 7) AS on_the_way, round(1.62 * way + 0.61 * (total - way), 7) AS dose FROM x""",
 )
 def sim_exposure(spark, sf_dir):
     w = outcomes(spark, sf_dir).select("person_id", F.floor(F.col("depart_tick") / 60).alias("depart_hour"), F.when(F.col("state") == "SHELTERED", F.floor(F.col("arrive_tick") / 60)).alias("arrive_hour"))
     e = exposures(w, field_of(spark, sf_dir).where(F.col("county") == COUNTY))
-    return e.select("person_id", *(F.round(c, 3).alias(c) for c in ("exposure", "on_the_way", "dose")))
+    return e.select("person_id", *(F.round(c, 7).alias(c) for c in ("exposure", "on_the_way", "dose")))
 
 
 def p_median(demand: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -80,10 +80,10 @@ def tx_training_table(spark, sf_dir):
     return o.join(c, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("band"), F.col("c_acctbal").alias("balance"), (F.col("o_orderstatus") == "F").cast("int").alias("sheltered"))
 
 
-@query("tx_add_rows", "SELECT s_suppkey AS site_id, s_name AS name, round(s_acctbal * 1.1, 2) AS value FROM supplier UNION ALL SELECT 1000000 + n_nationkey, n_name, NULL FROM nation")
+@query("tx_add_rows", "SELECT s_suppkey AS site_id, s_name AS name, round(s_acctbal * 1.1, 5) AS value FROM supplier UNION ALL SELECT 1000000 + n_nationkey, n_name, NULL FROM nation")
 def tx_add_rows(spark, sf_dir):
     """New rows below, by column name; what they lack is null."""
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), F.col("s_name").alias("name"), F.round(F.col("s_acctbal") * 1.1, 2).alias("value"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), F.col("s_name").alias("name"), F.round(F.col("s_acctbal") * 1.1, 5).alias("value"))
     n = read(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + 1_000_000).alias("site_id"), F.col("n_name").alias("name"))
     return s.unionByName(n, allowMissingColumns=True)
 
