@@ -27,15 +27,58 @@ CACHE_ENTRIES = 100_000
 CACHED_CHARS = 64
 #: Texts and spans that are encoded together; known pairs of pieces; a bound over piece ids and characters.
 TEXTS = 256
-SPANS_AT_ONCE = 50_000
-FITS = 2_000_000
+SPANS_AT_ONCE = 12_000
+FITS = 1_000_000
 CODES = 1 << 24
-HASH_BASE = 0x9E3779B97F4A7C15
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+EMPTY = -1
 NORMAL, BYTE = 1, 6
 NO_PIECE = float("-inf")
 SPANS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+class Table:
+    """From whole numbers, 0 or more, to whole numbers, by open addressing in arrays; many keys are looked up at once."""
+
+    def __init__(self, bits: int = 12):
+        self.count, self.shift, self.mask = 0, np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, EMPTY, np.int64), np.zeros(1 << bits, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MULTIPLIER) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, EMPTY where there is none."""
+        at = self.slots(keys)
+        held = self.keys[at]
+        same = held == keys
+        out = np.where(same, self.values[at], EMPTY)
+        rest = np.flatnonzero(~same & (held != EMPTY))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            held = self.keys[at[rest]]
+            same = held == keys[rest]
+            out[rest[same]] = self.values[at[rest[same]]]
+            rest = rest[~same & (held != EMPTY)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys, each once and none of them held yet."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            held = self.keys != EMPTY
+            keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
+            self.__init__((2 * len(keys)).bit_length())
+        self.count += len(keys)
+        at, rest = self.slots(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[at[rest]] == EMPTY]
+            self.keys[at[free]] = keys[free]  # of several for one slot, the last
+            won = self.keys[at[rest]] == keys[rest]
+            self.values[at[rest[won]]] = values[rest[won]]
+            rest = rest[~won]
+            at[rest] = (at[rest] + 1) & self.mask
+
+
 class Model:
     """Pieces, scores and the streaming pass of one .model file of kind BPE with byte fallback and no normalisation."""
 
@@ -66,9 +109,8 @@ class Model:
             node[""] = piece
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # the cache before this one: what is still in use moves on
-        self.tables = self.hashed_pieces()
-        self.fit_keys, self.fit_values = np.empty(0, np.int64), np.empty(0, bool)
-        self.new_fits: dict[int, bool] = {}
+        self.children, self.piece_at = self.numbered_trie()
+        self.fit_table = Table()
 
     def merged(self, text: str) -> list[str]:
         """The encoding by definition: of adjacent symbols, merge those that make the best piece, the leftmost of equals."""
@@ -156,66 +198,55 @@ class Model:
         known = self.ids.get(piece)
         return [known] if known is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
 
-    def hashed_pieces(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By length from 1: sorted hashes of the pieces of the trie, and their ids."""
-        by_length: list[list[tuple[int, int]]] = [[] for _ in range(self.longest)]
-        for piece in self.whole:
-            h = 0
-            for c in piece:
-                h = (h * HASH_BASE + ord(c) + 1) % 2**64
-            by_length[len(piece) - 1].append((h, self.ids[piece]))
-        tables = [sorted(t) for t in by_length]
-        assert all(len({h for h, _ in t}) == len(t) for t in tables)
-        return [(np.array([h for h, _ in t], np.uint64), np.array([k for _, k in t], np.int64)) for t in tables]
+    def numbered_trie(self) -> tuple[Table, np.ndarray]:
+        """The trie with numbered nodes: from a node and a character to the child, and each node's piece id or EMPTY."""
+        todo, keys, piece_at = [(self.starts, 0)], [], [EMPTY]
+        for node, number in todo:
+            for c, child in node.items():
+                if c:
+                    keys.append(number * CODES + ord(c))
+                    todo.append((child, len(piece_at)))
+                    piece_at.append(self.ids[child[""]] if "" in child else EMPTY)
+        children = Table()
+        children.put(np.array(keys, np.int64), np.arange(1, len(piece_at), dtype=np.int32))
+        return children, np.array(piece_at, np.int64)
 
     def fit_codes(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """fit() of pairs of piece ids; a character that is no piece, with an id past theirs, fits anything."""
         keys = before * CODES + piece
-        at = np.searchsorted(self.fit_keys, keys)
-        at[at == len(self.fit_keys)] = 0
-        known = self.fit_keys[at] == keys if len(self.fit_keys) else np.zeros(len(keys), bool)
-        out = self.fit_values[at] & known if len(self.fit_keys) else known.copy()
-        rest = np.flatnonzero(~known)
+        out = self.fit_table.get(keys)
+        rest = np.flatnonzero(out == EMPTY)
         if len(rest):
             unique, back = np.unique(keys[rest], return_inverse=True)
-            values = []
-            for key in unique.tolist():
-                v = self.new_fits.get(key)
-                if v is None:
-                    a, b = divmod(key, CODES)
-                    v = self.new_fits[key] = a >= len(self.pieces) or self.fit(self.pieces[a], self.pieces[b])
-                values.append(v)
-            out[rest] = np.array(values)[back]
-        return out
+            pairs = (divmod(key, CODES) for key in unique.tolist())
+            values = np.array([a >= len(self.pieces) or self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]] for a, b in pairs], np.int32)
+            if self.fit_table.count > FITS:
+                self.fit_table = Table()
+            self.fit_table.put(unique, values)
+            out[rest] = values[back]
+        return out == 1
 
     def encode_spans(self, spans: list[str]) -> list[tuple[int, ...]]:
         """The streaming pass over many short spans at once, position by position. All paths meet at a span's end."""
-        if len(self.new_fits) > 2_000:
-            keys = np.concatenate([self.fit_keys, np.fromiter(self.new_fits, np.int64, len(self.new_fits))])
-            values = np.concatenate([self.fit_values, np.fromiter(self.new_fits.values(), bool, len(self.new_fits))])
-            keep = slice(0 if len(keys) < FITS else len(self.fit_keys), None)
-            order = np.argsort(keys[keep])
-            self.fit_keys, self.fit_values, self.new_fits = keys[keep][order], values[keep][order], {}
-            self.fits.clear()
         flat = np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         length = np.array([len(x) for x in spans])
         end = np.cumsum(length)
         start = end - length
         left = np.repeat(end, length) - np.arange(len(flat))  # characters to the span's end
         offset = np.arange(len(flat)) - np.repeat(start, length)
-        h, found, open_ = np.zeros(len(flat), np.uint64), [], np.arange(len(flat))
+        found, open_, node = [], np.arange(len(flat)), np.zeros(len(flat), np.int64)
         for size in range(1, self.longest + 1):
             if size > 1:
                 longer = left[open_] >= size
-                open_, h = open_[longer], h[longer]
+                open_, node = open_[longer], node[longer]
             if not len(open_):
                 break
-            h = h * np.uint64(HASH_BASE) + (flat[open_ + (size - 1)] + 1).astype(np.uint64)
-            hashes, ids = self.tables[size - 1]
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                ok = hashes[at] == h
-                found.append((open_[ok], np.full(ok.sum(), size), ids[at[ok]]))
+            node = self.children.get(node * CODES + flat[open_ + (size - 1)]).astype(np.int64)
+            alive = node != EMPTY
+            open_, node = open_[alive], node[alive]
+            ids = self.piece_at[node]
+            ok = ids != EMPTY
+            found.append((open_[ok], np.full(ok.sum(), size), ids[ok]))
         begin, size, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
         to = offset[begin] + size
         order = np.argsort(to.astype(np.int16), kind="stable")

@@ -213,3 +213,15 @@ def test_pipeline_stages_keep_columns(spark):
         assert kept <= ids and kept
     assert pipeline.run(spark, DIR).count() > 0
     assert os.path.exists(DIR)
+
+
+def test_table_of_numbers_is_a_dict():
+    import numpy as np
+
+    r, table, want = random.Random(7), sentencepiece_stream.Table(4), {}
+    for _ in range(30):
+        new = {k: r.randrange(9) for k in (r.randrange(2**45) >> r.choice([0, 38]) for _ in range(r.randrange(90))) if k not in want}
+        table.put(np.array(list(new), np.int64), np.array(list(new.values()), np.int32))
+        want |= new
+        keys = [*want, *(r.randrange(3000) for _ in range(50))]
+        assert table.get(np.array(keys, np.int64)).tolist() == [want.get(k, -1) for k in keys]
