@@ -41,7 +41,12 @@ def nearest_site(who: DataFrame, where: DataFrame, n_sites: int | None = None, c
     return nearest_by_rings(who, s, cell)
 
 
-def nearest_by_rings(who: DataFrame, s: DataFrame, cell: float) -> DataFrame:
+def beyond(reach: float) -> Column:
+    """A site `reach` degrees away, by latitude or by the shorter longitude, is at least so many metres from (lon, lat)."""
+    return F.radians(F.lit(reach)) * EARTH_M * F.cos(F.radians(F.abs("lat") + reach)) * 0.999
+
+
+def nearest_by_rings(who: DataFrame, s: DataFrame, cell: float, metric=haversine, beyond=beyond) -> DataFrame:
     from siteward.session import materialize
 
     cells = s.withColumns({"cx": F.floor(F.col("s_lon") / cell), "cy": F.floor(F.col("s_lat") / cell)})
@@ -50,11 +55,10 @@ def nearest_by_rings(who: DataFrame, s: DataFrame, cell: float) -> DataFrame:
     while True:
         offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1)))
         probe = left.withColumn("o", F.explode(offsets)).withColumns({"cx": F.col("px") + F.col("o.i"), "cy": F.col("py") + F.col("o.j")})
-        near = probe.join(cells, ["cx", "cy"]).withColumn("d", F.struct(F.round(haversine(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat")), 6).alias("dist_m"), "site_id"))
+        near = probe.join(cells, ["cx", "cy"]).withColumn("d", F.struct(F.round(metric(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat")), 6).alias("dist_m"), "site_id"))
         best = near.groupBy("person_id", "lon", "lat").agg(F.min("d").alias("d"))
-        # A site beyond the ring is at least `ring` cells away, by latitude or by the shorter longitude.
-        sure = F.radians(F.lit(ring * cell)) * EARTH_M * F.cos(F.radians(F.abs("lat") + ring * cell)) * 0.999
-        best = materialize(best.withColumn("sure", F.col("d.dist_m") <= sure), "ring")
+        # A site beyond the ring is at least `ring` cells away.
+        best = materialize(best.withColumn("sure", F.col("d.dist_m") <= beyond(ring * cell)), "ring")
         found = best.where("sure").select("person_id", "d.site_id", "d.dist_m")
         done = found if done is None else done.unionByName(found)
         left = materialize(left.join(best.where("sure").select("person_id"), "person_id", "left_anti"), "ring-left")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteward import catalog, operators, plans, sources, streaming  # noqa: F401
-from siteward.operators import admission, field, graph
+from siteward.operators import admission, field, geometry, graph
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -127,3 +127,27 @@ def test_rings_find_far_sites(spark):
     s = spark.createDataFrame([(7, -122.99, 45.01), (8, -90.0, 20.0)], "site_id long, s_lon double, s_lat double")
     got = {r.person_id: r.site_id for r in admission.nearest_by_rings(who, s, 0.05).collect()}
     assert got == {1: 7, 2: 8}
+
+
+def test_known_geodesics(spark):
+    rows = [(0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 90.0), (5.0, 5.0, 5.0, 5.0), (179.5, 0.0, -179.5, 0.0), (0.0, 0.0, 179.9, 0.1), (None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").select(geometry.geodesic("a", "b", "c", "d").alias("m"))
+    got = [r.m for r in df.collect()]
+    assert [round(x, 3) for x in got[:4]] == [111319.491, 10001965.729, 0.0, 111319.491]
+    assert got[4:] == [None, None]
+
+
+def test_normal_distribution(spark):
+    import math
+
+    xs = [-40.0, -8.0, -3.0, -0.5, 0.0, 1.96, 7.9, 40.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(geometry.normal_cdf(F.col("x")).alias("p")).collect()
+    assert all(abs(r.p - 0.5 * (1 + math.erf(x / math.sqrt(2)))) < 1e-10 for r, x in zip(got, xs))
+
+
+def test_stretched_nearest_by_rings_is_the_broadcast_one(spark):
+    r = random.Random(4)
+    who = spark.createDataFrame([(k, r.uniform(-123, -122), r.uniform(45, 46)) for k in range(60)], "person_id long, lon double, lat double")
+    s = spark.createDataFrame([(k, r.uniform(-123, -122), r.uniform(45, 46)) for k in range(40)], "site_id long, lon double, lat double")
+    got = [sorted(tuple(x) for x in geometry.nearest_stretched(who, s, most).collect()) for most in (100, 10)]
+    assert got[0] == got[1] and len(got[0]) == 60
