@@ -103,7 +103,7 @@ def nearest_stretched(who: DataFrame, where: DataFrame, most: int = BROADCAST_SI
     return who.join(listed).withColumn("_b", F.array_min(dist)).select("person_id", "_b.site_id", "_b.dist")
 
 
-@query("jn_knn_anisotropic", f"""WITH {PEOPLE}, {SITES} SELECT person_id, site_id, round(dist, 4) AS dist FROM (SELECT person_id, site_id, round(sqrt(pow(s.lon - p.lon, 2) + pow({LATITUDE_WEIGHT}::DOUBLE * (s.lat - p.lat), 2)), 6) AS dist FROM people p, sites s WHERE operating)
+@query("jn_knn_anisotropic", f"""WITH {PEOPLE}, {SITES} SELECT person_id, site_id, dist FROM (SELECT person_id, site_id, round(sqrt(pow(s.lon - p.lon, 2) + pow({LATITUDE_WEIGHT}::DOUBLE * (s.lat - p.lat), 2)), 6) AS dist FROM people p, sites s WHERE operating)
 QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY dist, site_id) = 1""")
 def jn_knn_anisotropic(spark, sf_dir):
-    return nearest_stretched(people(spark, sf_dir), sites(spark, sf_dir).where("operating")).withColumn("dist", F.round("dist", 4))
+    return nearest_stretched(people(spark, sf_dir), sites(spark, sf_dir).where("operating"))
