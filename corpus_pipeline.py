@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ STAGES = [
     ("decontamination", decontamination),
     ("sentencepiece", sentencepiece),
 ]
-#: SQL has no SimHash, no learned scores and no merges; tests/llm/test_pipeline.py holds each stage against brute force.
+#: SQL has no SimHash, no learned scores and no merges; tests/llm/test_pipeline.py holds the near-duplicates stage against brute
+#: force, tests/llm/test_texts.py the columns and ids of all.
 ORACLE_SQL = None
 
 

@@ -8,12 +8,16 @@ there are joined. Each such top is a bucket of its own; `free` grows with the nu
 stay small. A bucket over `bucket_rows` is dealt out in pairs of slices instead. A task keeps only links that connect two
 fingerprints which it has not connected yet, and leaves pairs of nodes that it knows to be connected, so that a large
 group of copies costs about its size and not its square. Components of the links then give each fingerprint its class.
+
+The pipeline's stage, keep_one_of_each, goes by the texts' sets of five-word shingles: two texts link if their Jaccard
+similarity is 0.8 or more, counted exactly. Such texts often differ in 5 to 20 bits, where the trie would have to join about
+all with all. Candidates are therefore the trie's links and the pairs that share one of SKETCH_BANDS hashes of SKETCH_ROWS MinHashes.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,26 +31,67 @@ from siteward.session import materialize
 BITS = 64
 #: Fingerprints that a bucket should have on average, and so the choice of `free`.
 BUCKET = 4096
+#: Texts with this similarity or more, as a fraction, are near-copies for keep_one_of_each.
+SIMILAR = (4, 5)
+#: A pair of similarity s shares no band with probability (1 - s**SKETCH_ROWS)**SKETCH_BANDS: 1.5e-5 at 0.8.
+SKETCH_BANDS, SKETCH_ROWS = 28, 5
 
 
-def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint of a text as a signed 64-bit number: words between ASCII white space with A-Z lower-cased, shingles
-    of `width` words with repeats (fewer words: all of them), XXH64 of each; a bit is 1 if it is in over half of them."""
+def _digests(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, with repeats, in parts: words between ASCII white space with A-Z lower-cased, shingles
+    of `width` words (fewer words: all of them)."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     first = [0, *(ends[:-1] + 1).tolist()]
     last = ends[min(width, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for k in range(0, len(last), 65_536):
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(first[k : k + 65_536], last[k : k + 65_536])], dtype="<u8")
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(first[k : k + 65_536], last[k : k + 65_536])], dtype="<u8")
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """The signed 64-bit number whose bits are 1 if they are in over half of the digests."""
+    counts, n = np.zeros(BITS, dtype=np.int64), 0
+    for h in parts:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(last), bitorder="little")
-    return int(bits.view("<i8")[0])
+        n += len(h)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
+def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a text as a signed 64-bit number: a bit is 1 if it is in over half of the shingles' digests; without
+    words 0."""
+    return _majority(_digests(text, width, seed))
+
+
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct digests of a text's shingles, ascending."""
+    return np.unique(np.concatenate([np.array([], "<u8"), *_digests(text, width, seed)]))
+
+
+def _set_name(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set, so that equal sets are one node."""
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 7)], "<u8").view("<i8")[0])
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """One signed hash for each band of the set's MinHashes; none for an empty set."""
+    import xxhash
+
+    if not len(shingles):
+        return np.array([], "<i8")
+    draw = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, (2, SKETCH_BANDS * SKETCH_ROWS, 1), dtype=np.uint64)
+    least = np.full(SKETCH_BANDS * SKETCH_ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[None, k : k + 2048] ^ draw[0]) * (draw[1] | np.uint64(1))).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(SKETCH_BANDS, SKETCH_ROWS))], "<u8").view("<i8")
 
 
 def fingerprint(text: Column, width: int = 4, seed: int = 42) -> Column:
@@ -234,15 +279,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 4, width: int = 4) -> DataFrame:
-    """The rows of docs without near-copies: of each class the row of least doc_id stays (null last); of several with that
-    id, the one whose columns have the least hash; of equal rows, one."""
+def sketch(text: Column, width: int = 5, seed: int = 42) -> Column:
+    """A text's fingerprint fp, the hash of its shingle set as node, the set's size, and its bands."""
+
+    @F.pandas_udf("fp long, node long, size int, bands array<long>")
+    def of(batch: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in batch:
+            parts = list(_digests(t, width, seed))
+            shingles = np.unique(np.concatenate([np.array([], "<u8"), *parts]))
+            rows.append((_majority(parts), _set_name(shingles), len(shingles), _bands(shingles)))
+        return pd.DataFrame(rows, columns=["fp", "node", "size", "bands"])
+
+    return of(text)
+
+
+def shingles_of(text: Column, width: int = 5, seed: int = 42) -> Column:
+    """shingle_set() of a text column."""
+
+    @F.pandas_udf("array<long>")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width, seed).view("<i8") for t in batch], dtype=object)
+
+    return of(text)
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (u, v) of nodes whose sets, (node, shingles), have SIMILAR or more of their union in common."""
+    num, den = SIMILAR
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where((num + den) * common >= num * (F.size("su") + F.size("sv"))).select("u", "v")
+
+
+def _sizes_near(a: str, b: str) -> Column:
+    """Sets whose sizes differ by more cannot be similar enough."""
+    num, den = SIMILAR
+    return F.least(a, b) * den >= F.greatest(a, b) * num
+
+
+def similar_classes(texts: DataFrame, nodes: DataFrame, errors: int, width: int) -> DataFrame:
+    """(node, root) for the nodes with a near-copy: components of all candidates that are similar by exact count.
+
+    nodes: node, fp, size, bands; texts: node, text. Two rounds check each bucket's sets against one centre only, which
+    joins up a large group of near-copies at the cost of its size; then all pairs that share a bucket and are in different
+    components by then are checked, so that no candidate is left out that could still join two components."""
+    alone = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    near = near_links(alone.select("fp"), errors)
+    trie = near.join(alone.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(alone.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
+    trie = materialize(trie.union(nodes.join(alone, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))), "trie")
+    keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = materialize(keyed.join(shared, "key"), "buckets")
+    wanted = buckets.select("node").union(trie.select("a")).union(trie.select("b")).distinct()
+    sets = texts.join(wanted, "node").select("node", shingles_of(F.col("text"), width).alias("shingles"))
+    sets = materialize(sets, "sets")
+    roots, links = None, None
+    for step in range(3):
+        now = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if step < 2:
+            centre = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(step)).alias("h"), "node", "size", "root")).alias("c"))
+            found = now.join(centre, "key").select("node", "size", "root", F.col("c.node").alias("other"), F.col("c.size").alias("other_size"), F.col("c.root").alias("other_root"))
+            found = found.where("root != other_root")
+        else:
+            # Only buckets that more than one component meets in.
+            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+            now = materialize(now.join(mixed, "key"), "mixed")
+            other = now.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+            found = now.join(other, "key").where("root < other_root")
+        pairs = found.where(_sizes_near("size", "other_size")).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
+        if step == 0:
+            pairs = pairs.union(trie.select(F.least("a", "b"), F.greatest("a", "b")))
+        new = materialize(similar_links(pairs.distinct(), sets), "similar")
+        links = new if links is None else links.union(new)
+        roots = components(links)
+    return roots
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 4, width: int = 5) -> DataFrame:
+    """The rows of docs without near-copies, texts whose sets of `width`-word shingles have a Jaccard similarity of 0.8 or more,
+    directly or over others: of each class the row of least doc_id stays (null last); of several with that id, the one whose
+    columns have the least hash; of equal rows, one. Texts without words are copies of each other."""
     cols = docs.columns
     marked = docs.withColumn("_sw_row", F.xxhash64(*(F.col(c) for c in cols)))
-    prints = materialize(marked.select(F.col(id_col).alias("doc_id"), "_sw_row", fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sw_row")).alias("least")), "prints")
-    roots = components(near_links(distinct.select("fp"), errors))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    prints = marked.select(F.col(id_col).alias("doc_id"), "_sw_row", sketch(F.col(text_col), width).alias("s"))
+    prints = materialize(prints.select("doc_id", "_sw_row", "s.*"), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sw_row")).alias("least")
+    distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.max("size").alias("size"), F.max("bands").alias("bands"), least), "distinct")
+    first = distinct.select("node", F.col("least.doc_id").alias("_sw_id"), F.col("least._sw_row").alias("_sw_row"))
+    found = marked.select(F.col(id_col).alias("_sw_doc"), "_sw_row", F.col(text_col).alias("text")).join(first, "_sw_row").where(F.col("_sw_doc").eqNullSafe(F.col("_sw_id")))
+    roots = similar_classes(found.select("node", "text").dropDuplicates(["node"]), distinct, errors, width)
+    classes = distinct.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = materialize(classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_sw_id"), F.col("least._sw_row").alias("_sw_row")), "stay")
     kept = marked.join(stay, marked[id_col].eqNullSafe(stay._sw_id) & (marked._sw_row == stay._sw_row), "left_semi")
     return kept.dropDuplicates(cols).select(*cols)
