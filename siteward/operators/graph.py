@@ -1,4 +1,4 @@
-"""Road-graph operators: degrees, components, shortest paths by relaxation rounds, severance, welding.
+"""Road-graph operators: degrees, components, shortest paths by relaxation rounds, closures, fragments.
 
 Nothing is held whole: components alternate large and small stars, shortest paths relax a frontier of improved (source,
 node) pairs, and each round's table is written to the shared folder.
