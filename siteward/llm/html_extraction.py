@@ -1,22 +1,27 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-A page is read as a tree of block elements. Its tokens are the elements' paths, classes included; over the pages of one
-host, each path has an occurrence vector, how often it comes in each page. Paths with equal vectors form an equivalence
-class. The class of the body, in all pages alike, is the outer template; paths below it with vectors of their own nest
-in it. What the template leaves are slots. A slot is dropped where the template says so: a path whose text is the same
-in all pages is fixed text, one whose text is mostly links is a menu, and elements that are navigation, forms, adverts,
-notices or comments by tag or class are never content. Of the outer class, the innermost element that has all the rest
-of the text on the host is the main region, and its blocks are the text. Vectors are compared by sums of hashes, so a
-host's pages meet in sums only, which are partly added up before any shuffle.
+A page is read as a tree of block elements. Its tokens are the elements, by their path of tags and classes, the texts of
+blocks by the path that they are at, and the words of blocks whose path a page has once. Over the pages of a host, each
+token has an occurrence vector: how often it comes in each page. Tokens of equal vectors form an equivalence class. A
+class is valid if it has an element, comes in PAGES pages or more, and hangs in one other class or in none; classes nest
+so in a template, of which the class of the outermost element is the root. What a class's element holds always and alike
+is fixed text of the template; what is left are slots. The main text is the slots of the region: of the element that has
+all of the host's articles or, without articles, of the innermost element of the root class that has all slots but
+little ones beside its heaviest. Slots that are mostly links are menus. Elements that are navigation, forms and the like
+by tag, or by the words of their class, are no slots at all.
+
+Paths are hashes, and vectors are sums of hashes, so that a host's pages meet in sums only, which are partly added up before
+any shuffle. A class's tokens all come in one page, so that no group is larger than the tokens of a page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +44,31 @@ NO_CONTENT_WORDS = {
     "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
 HEADER_WORDS = {"header", "head"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Elements that an opening tag ends: {tag: (open elements it ends, elements at which the search stops)}.
 P_END = BLOCKS - {"body", "html", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li", "legend", "summary", "figcaption", "template"}
 ENDS = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS |= {t: ({"p"}, {"td", "th", "li", "div", "article", "section", "main", "body", "blockquote", "table"}) for t in P_END}
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
-#: Shares of a host's pages and text; pages from which on fixed text is believed.
-SUPPORT, MASS, LINKS, PAGES = 0.9, 0.98, 0.6, 3
+#: Pages from which on tokens are believed; the share of links that makes a menu, of fixed words that makes a template's block,
+#: of the heaviest slot below which a slot beside it is little, and of the letters that the heaviest must have.
+PAGES, LINKS, WORDY, LITTLE, HEAVY = 3, 0.6, 0.8, 0.1, 0.6
+#: Of an article's letters, the share from which on repeated text means copies and not a template.
+COPIES = 0.5
+#: Kinds of tokens.
+ELEMENT, ARTICLE, HEADING, TEXT, WORD = range(5)
+#: Bytes of all templates up to which they are broadcast, and tokens that a task holds before it hands them on.
+BROADCAST_BYTES, HELD = 32 * 2**20, 100_000
+SALT = 16
+
+
+def digest(text: str, seed: int = 0) -> int:
+    """A signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed & (2**64 - 1))
+    return h - 2**64 if h >= 2**63 else h
 
 
 class Element:
@@ -59,8 +79,8 @@ class Element:
 
 
 def opened(tag: str, attributes: str, up: Element) -> Element:
-    names = {}
-    for k, a, b, c in ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
+    names: dict[str, str] = {}
+    for k, a, b, c in ATTRIBUTE.findall(attributes):
         names.setdefault(k.lower(), (a or b or c).lower())
     label = " ".join(names.get(k, "") for k in ("class", "id", "role"))
     words = set(WORDS.findall(label))
@@ -70,151 +90,303 @@ def opened(tag: str, attributes: str, up: Element) -> Element:
     if tag in ("article", "main", "body", "html") and not up.no_content and not hidden:
         no_content = False
     step = tag + ("." + ".".join(sorted(names.get("class", "").split())) if names.get("class") else "")
-    return Element(tag, up.path + "/" + step if tag in BLOCKS else up.path, no_content, article, up.link or tag == "a")
-
-
-def read(page: str):
-    """(path, text, letters in links, content or not, inside an article) of each block of text in page order, then the paths
-    of all block elements. Comments, declarations and raw text of scripts and the like are skipped."""
-    stack = [Element("", "", False, False, False)]
-    blocks, paths, held, linked = [], [], [], 0
-    at = None
-
-    def flush() -> None:
-        nonlocal held, linked, at
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                blocks.append((at.path, text, linked, not at.no_content, at.article))
+    return Element(tag, digest(step, up.path) if tag in BLOCKS else up.path, no_content, article, up.link or tag == "a")
+
+
+class Page:
+    """blocks: (path, text, letters in links, content or not, inside an article) of each block of text in page order. elements:
+    {path: [path above, times, kind]} of the block elements, those above before those below. Comments, declarations and raw
+    text of scripts and the like are skipped."""
+
+    def __init__(self, page: str):
+        self.blocks: list[tuple[int, str, int, bool, bool]] = []
+        self.elements: dict[int, list] = {}
+        stack, count = [Element("", 0, False, False, False)], {}
         held, linked, at = [], 0, None
 
-    pos, n = 0, len(page)
-    while pos < n:
-        m = PIECE.match(page, pos)
-        pos = m.end()
-        tag = m.group(2)
-        if tag is None:
-            piece = m.group(0)
-            if piece[0] != "<" or piece == "<":
-                top = stack[-1]
-                if at is not None and at is not top and at.no_content != top.no_content:
-                    flush()
-                at = at or top
-                held.append(piece)
-                linked += len(piece) * top.link
-            continue
-        tag = tag.lower()
-        if tag in BLOCKS or tag in VOID:
+        def flush() -> None:
+            nonlocal held, linked, at
+            if held:
+                text = " ".join(html.unescape("".join(held)).split())
+                if text:
+                    self.blocks.append((at.path, text, linked, not at.no_content, at.article))
+            held, linked, at = [], 0, None
+
+        def cut(k: int) -> None:
+            for e in stack[k:]:
+                count[e.tag] -= 1
+            del stack[k:]
+
+        pos, n = 0, len(page)
+        while pos < n:
+            m = PIECE.match(page, pos)
+            pos = m.end()
+            tag = m.group(2)
+            if tag is None:
+                piece = m.group(0)
+                if piece[0] != "<" or piece == "<":
+                    top = stack[-1]
+                    if at is not None and at is not top and at.no_content != top.no_content:
+                        flush()
+                    at = at or top
+                    held.append(piece)
+                    linked += len(piece) * top.link
+                continue
+            tag = tag.lower()
             if tag in BLOCKS or tag == "hr":
                 flush()
             elif tag == "br" and held:
                 held.append(" ")
-        if m.group(1):
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            # An end tag of an inline element does not end the blocks around it.
-            if k and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[k:])):
-                del stack[k:]
-            continue
-        if tag in ENDS:
-            ends, stops = ENDS[tag]
-            k = len(stack) - 1
-            cut = None
-            while k > 0 and stack[k].tag not in stops:
-                if stack[k].tag in ends:
-                    cut = k
-                k -= 1
-            if cut:
-                del stack[cut:]
-        if tag in VOID:
-            continue
-        e = opened(tag, m.group(3), stack[-1])
-        if tag in BLOCKS:
-            paths.append(e.path)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-            pos = end.end() if end else n
-            continue
-        if not m.group(3).endswith("/") or tag in BLOCKS:
-            stack.append(e)
-    flush()
-    return blocks, paths
+            if m.group(1):
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if count.get(tag) else 0
+                # An end tag of an inline element does not end the blocks around it.
+                if k and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[k:])):
+                    cut(k)
+                continue
+            if tag in ENDS and any(count.get(t) for t in ENDS[tag][0]):
+                ends, stops = ENDS[tag]
+                k, last = len(stack) - 1, 0
+                while k > 0 and stack[k].tag not in stops:
+                    if stack[k].tag in ends:
+                        last = k
+                    k -= 1
+                if last:
+                    cut(last)
+            if tag in VOID:
+                continue
+            up = stack[-1]
+            e = opened(tag, m.group(3), up)
+            if tag in BLOCKS:
+                kind = ELEMENT if e.no_content else ARTICLE if e.article and not up.article else HEADING if tag in HEADINGS else ELEMENT
+                self.elements.setdefault(e.path, [up.path, 0, kind])[1] += 1
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+                pos = end.end() if end else n
+                continue
+            if not m.group(3).endswith("/") or tag in BLOCKS:
+                stack.append(e)
+                count[tag] = count.get(tag, 0) + 1
+        flush()
+
+    def letters(self) -> dict[int, list[int]]:
+        """{path: [letters of content at or below it, letters in links]}"""
+        out = {p: [0, 0] for p in self.elements}
+        for path, text, linked, content, _ in self.blocks:
+            if path in out:
+                out[path][0] += len(text) * content
+                out[path][1] += linked
+        for p in reversed(self.elements):
+            if (up := out.get(self.elements[p][0])) is not None:
+                up[0] += out[p][0]
+                up[1] += out[p][1]
+        return out
+
+    def below(self, tops: set[int]) -> set[int]:
+        """The paths that are one of these or below one."""
+        out: set[int] = set()
+        for p, (up, _, _) in self.elements.items():
+            if p in tops or up in out:
+                out.add(p)
+        return out
+
+    def words(self) -> Iterator[tuple[int, str, list[str]]]:
+        """(path, text, words) of the blocks; words only where the page has the path, and a block at it, once."""
+        at: dict[int, int] = {}
+        for b in self.blocks:
+            at[b[0]] = at.get(b[0], 0) + 1
+        for path, text, *_ in self.blocks:
+            yield path, text, text.split() if at[path] == 1 and self.elements.get(path, (0, 1))[1] == 1 else []
+
+    def tokens(self) -> dict[int, list]:
+        """{token: [path, kind, times, letters, linked]}; an element's path is that above it, a text's or word's that of its block."""
+        letters = self.letters()
+        out = {p: [up, kind, times, *letters[p]] for p, (up, times, kind) in self.elements.items()}
+        for path, text, words in self.words():
+            out.setdefault(digest(text, path ^ TEXT), [path, TEXT, 0, 0, 0])[2] += 1
+            for w in words:
+                out.setdefault(digest(w, path ^ WORD), [path, WORD, 0, 0, 0])[2] += 1
+        return out
+
+
+TOKENS = "host long, page long, content long, token long, path long, kind int, times int, letters long, linked long"
+
+
+def page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tokens of pages (host, page, html); content is a hash of all of a page's content."""
+    names = [c.split()[0] for c in TOKENS.split(", ")]
+    held: list[tuple] = []
+    for batch in batches:
+        for host, number, source in zip(batch["host"], batch["page"], batch["html"]):
+            page = Page(source or "")
+            whole = digest("\n".join(b[1] for b in page.blocks if b[3]))
+            held += [(host, number, whole, token, *rest) for token, rest in page.tokens().items()]
+            if len(held) >= HELD:
+                yield pd.DataFrame(held, columns=names)
+                held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
 
 
-def page_tokens(text: Column) -> Column:
-    """Of each page: array of (path, how often it comes, letters of content below it, letters in links, hash of its text)."""
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case; of another text, or null, the empty host."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
-    @F.pandas_udf("array<struct<path:string,times:int,letters:long,linked:long,digest:long>>")
-    def tokens(batch: pd.Series) -> pd.Series:
-        import xxhash
 
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, pages, members) for the equivalence classes of the tokens of pages (host, page, html) that have an element and come
+    in PAGES pages or more, not all of the same content; members: array of (token, path, kind, letters, linked)."""
+    t = pages.mapInPandas(page_tokens, TOKENS)
+    h = F.xxhash64("page", "times")
+    # A vector is two sums of 31 bits of a hash for each page, so that they hold four billion pages.
+    vector = [F.sum(F.shiftrightunsigned(h, 33)).alias("v0"), F.sum(h.bitwiseAND(F.lit(2**31 - 1))).alias("v1")]
+    of = t.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), *vector, F.min("content").alias("d0"), F.max("content").alias("d1"), F.min("path").alias("path"), F.min("kind").alias("kind"), F.sum("letters").alias("letters"), F.sum("linked").alias("linked"))
+    of = of.where((F.col("pages") >= PAGES) & (F.col("d0") != F.col("d1")))
+    grouped = of.groupBy("host", "pages", "v0", "v1").agg(F.min("kind").alias("least"), F.collect_list(F.struct("token", "path", "kind", "letters", "linked")).alias("members"))
+    return grouped.where(F.col("least") < TEXT).select("host", "pages", "members")
+
+
+class Template:
+    """The nested classes of a host: region, the element whose slots are the main text (None: no template); fixed, the texts and
+    words that are the template's own; dropped, the elements that are menus or little slots."""
+
+    def __init__(self, found: list[list[tuple[int, int, int, int, int]]]):
+        self.of: dict[int, int] = {}
+        self.up: dict[int, int] = {}
+        self.kind: dict[int, int] = {}
+        self.letters: dict[int, int] = {}
+        self.linked: dict[int, int] = {}
+        for k, members in enumerate(found):
+            for token, path, kind, letters, linked in members:
+                if kind < TEXT:
+                    self.of[token], self.up[token], self.kind[token], self.letters[token], self.linked[token] = k, path, kind, letters, linked
+        self.nested = self.nest(len(found))
+        self.fixed = sorted({token for k, members in enumerate(found) if k in self.nested for token, path, kind, _, _ in members if kind >= TEXT and self.holds(k, path)})
+        self.below: dict[int, list[int]] = {}
+        for p, up in self.up.items():
+            self.below.setdefault(up, []).append(p)
+        self.dropped: list[int] = []
+        self.region = self.main()
+        for p in self.of:
+            if self.linked[p] > LINKS * max(self.letters[p], 1) and not any(self.kind[q] == ARTICLE for q in self.above(p)):
+                self.dropped.append(p)
+        self.dropped = sorted(set(self.dropped) - set(self.above(self.region) if self.region is not None else ()))
+
+    def above(self, p: int) -> list[int]:
+        """p and the elements above it, outward."""
         out = []
-        for page in batch:
-            blocks, paths = read(page or "")
-            found = defaultdict(lambda: [0, 0, 0, xxhash.xxh64()])
-            for p in paths:
-                found[p][0] += 1
-            for path, words, linked, content, _ in blocks:
-                while path:
-                    f = found[path]
-                    f[1] += len(words) if content else 0
-                    f[2] += linked
-                    f[3].update(words)
-                    path = path.rpartition("/")[0]
-            out.append([{"path": p, "times": t, "letters": s, "linked": k, "digest": x.intdigest() - 2**63} for p, (t, s, k, x) in found.items()])
-        return pd.Series(out, dtype=object)
-
-    return tokens(text)
+        while p in self.of:
+            out.append(p)
+            p = self.up[p]
+        return out
+
+    def nest(self, n: int) -> dict[int, int | None]:
+        """{class: the class that it hangs in, or None}, of the valid classes."""
+        hangs: dict[int, set] = {k: set() for k in range(n)}
+        for p, k in self.of.items():
+            if self.of.get(self.up[p]) != k:
+                hangs[k].add(self.of.get(self.up[p]))
+        return {k: next(iter(over)) for k, over in hangs.items() if len(over) == 1}
+
+    def holds(self, k: int, path: int) -> bool:
+        """Whether an element of the class is at the path or above it."""
+        while path in self.of:
+            if self.of[path] == k:
+                return True
+            path = self.up[path]
+        return False
+
+    def main(self) -> int | None:
+        articles = [p for p, kind in self.kind.items() if kind == ARTICLE and self.letters[p]]
+        if articles:
+            common = self.above(articles[0])
+            for p in articles[1:]:
+                mine = set(self.above(p))
+                common = [q for q in common if q in mine]
+            return common[0] if common else None
+        tops = [p for p in self.of if self.up[p] not in self.of and self.letters[p]]
+        if not tops:
+            return None
+        at = max(tops, key=lambda p: (self.letters[p], p))
+        while True:
+            kids = [p for p in self.below.get(at, ()) if self.letters[p]]
+            if not kids:
+                return at
+            heavy = max(kids, key=lambda p: (self.letters[p], p))
+            others = [p for p in kids if p != heavy]
+            if self.of[heavy] not in self.nested or self.of[heavy] != self.of[at] or self.letters[heavy] < HEAVY * self.letters[at] or not self.below.get(heavy):
+                return at
+            little = [p for p in others if self.kind[p] != HEADING and self.letters[p] < LITTLE * self.letters[heavy]]
+            self.dropped += little
+            own = self.letters[at] - sum(self.letters[p] for p in kids)
+            if len(little) < len(others) or own:
+                return at
+            at = heavy
 
 
-def host_of(url: Column) -> Column:
-    """The host of a URL in lower case; of another text, or null, the empty host."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, region, dropped, fixed) for each host of pages (host, page, html) with a template."""
+
+    def deduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, found in zip(batch["host"], batch["found"]):
+                by_class: dict[int, list] = {}
+                for m in found:
+                    by_class.setdefault(m["class"], []).append(tuple(m[c] for c in ("token", "path", "kind", "letters", "linked")))
+                t = Template(list(by_class.values()))
+                if t.region is not None:
+                    rows.append((host, t.region, t.dropped, t.fixed))
+            yield pd.DataFrame(rows, columns=["host", "region", "dropped", "fixed"])
+
+    # Classes with an element: no more than the paths that PAGES pages of the host share.
+    hosts = classes(pages).groupBy("host").agg(F.sort_array(F.collect_list("members")).alias("found"))
+    flat = F.flatten(F.transform("found", lambda c, k: F.transform(c, lambda m: F.struct(k.alias("class"), *(m[x].alias(x) for x in ("token", "path", "kind", "letters", "linked"))))))
+    return hosts.select("host", flat.alias("found")).mapInPandas(deduce, "host long, region long, dropped array<long>, fixed array<long>")
+
+
+def slots(source: str | None, region: int | None, dropped, fixed) -> str:
+    """The text of a page's main slots, by its host's template where the page has the region, else by its elements alone."""
+    page = Page(source or "")
+    if region is None or region not in page.elements:
+        content = [b for b in page.blocks if b[3]]
+        return "\n".join(b[1] for b in [b for b in content if b[4]] or content)
+    inside, out, own = page.below({region}), page.below(set(dropped)), set(fixed)
+    kept, repeated = [], 0
+    total = sum(len(b[1]) for b in page.blocks if b[3] and b[0] in inside)
+    marked = []
+    for (path, text, _, content, article), (_, _, words) in zip(page.blocks, page.words()):
+        if not content or path not in inside or path in out:
+            continue
+        same = digest(text, path ^ TEXT) in own
+        if not article and words and sum(digest(w, path ^ WORD) in own for w in words) >= WORDY * len(words):
+            same = True
+        repeated += len(text) * same
+        marked.append((text, same))
+    copies = repeated > COPIES * total
+    kept = [text for text, same in marked if copies or not same]
+    return "\n".join(kept)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, region, dropped) for each host of pages (page_id, host, html): the main region's path and the paths of slots
-    that hold fixed text or menus. Pages without a host have no template."""
-    t = pages.where("host != ''").select("host", F.xxhash64("page_id").alias("page"), F.explode(page_tokens(F.col("html"))).alias("t")).select("host", "page", "t.*")
-    vector = F.sum(F.xxhash64("page", "times").cast("decimal(38,0)"))
-    paths = t.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), vector.alias("vector"), F.sum("letters").alias("letters"), F.sum("linked").alias("linked"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
-    paths = materialize(paths, "paths")
-    body = paths.where(F.col("path").rlike("^(/html[^/]*)?/body[^/]*$") | (F.col("path") == "/html")).groupBy("host").agg(F.max_by(F.struct("vector", "letters", "pages"), F.length("path")).alias("body"))
-    known = paths.join(body, "host")
-    outer = (F.col("vector") == F.col("body.vector")) & (F.col("letters") >= MASS * F.col("body.letters"))
-    in_article = F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/|$)")
-    fixed = (F.col("d0") == F.col("d1")) & (F.col("pages") >= PAGES) & (F.col("pages") >= SUPPORT * F.col("body.pages"))
-    menu = (F.col("linked") > LINKS * F.greatest(F.col("letters"), F.lit(1))) & (F.col("pages") >= PAGES)
-    return known.groupBy("host").agg(
-        F.max_by(F.when(outer, F.col("path")), F.when(outer, F.length("path"))).alias("region"),
-        F.collect_set(F.when((fixed | menu) & ~in_article & ~outer, F.col("path"))).alias("dropped"),
-    )
-
-
-def slots(page: str | None, region: str | None, dropped) -> str:
-    """The blocks of the page's slots: of the main region, where the page has it, without dropped paths."""
-    blocks, paths = read(page or "")
-    content = [b for b in blocks if b[3]]
-    inside = [b for b in content if b[0] == region or b[0].startswith(f"{region}/")] if region and region in paths else []
-    if not inside:
-        inside = [b for b in content if b[4]] or content
-    out = set(dropped if dropped is not None else ())
-    return "\n".join(b[1] for b in inside if b[4] or not any(b[0] == d or b[0].startswith(d + "/") for d in out))
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars (code points). Null and empty html gives an empty text;
     pages with no host, or of a host with no template, are read by their elements alone; equal rows stay apart; an empty
-    table gives an empty one. Templates are broadcast up to `broadcast_hosts` hosts and joined by shuffle beyond."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    found = materialize(templates(rows), "templates")
-    small = found.count() <= broadcast_hosts
+    table gives an empty one. Templates of no more than `broadcast_bytes` are broadcast, others joined by salted hosts."""
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    name = host_of(F.col("url"))
+    rows = rows.withColumn("host", F.when(name != "", F.xxhash64(name)))
+    found = materialize(templates(rows.where("host IS NOT NULL").select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "templates")
+    size = found.agg(F.sum(64 + 8 * (F.size("dropped") + F.size("fixed")))).first()[0] or 0
 
     @F.pandas_udf("string")
-    def fill(page: pd.Series, region: pd.Series, dropped: pd.Series) -> pd.Series:
-        return pd.Series([slots(p, r, d) for p, r, d in zip(page, region, dropped)], dtype=object)
-
-    out = rows.join(F.broadcast(found) if small else found, "host", "left")
-    out = out.select("page_id", "url", fill("html", "region", "dropped").alias("text"))
+    def fill(page: pd.Series, region: pd.Series, dropped: pd.Series, fixed: pd.Series) -> pd.Series:
+        return pd.Series([slots(p, None if d is None else int(r), d, f) for p, r, d, f in zip(page, region, dropped, fixed)], dtype=object)
+
+    if size <= broadcast_bytes:
+        out = rows.join(F.broadcast(found), "host", "left")
+    else:
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left")
+    out = out.select("page_id", "url", fill("html", F.coalesce("region", F.lit(0).cast("long")), "dropped", "fixed").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -1,5 +1,9 @@
 """Main-text extraction on hand-made sites, and its table contract."""
 
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
 from siteward.llm import html_extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><style>p {{ color: red }}</style><script>var x = "<p>no</p>";</script></head>
@@ -37,3 +41,73 @@ def test_every_page_of_the_table(spark):
     for r in rows:
         assert r.n_chars == len(r.text)
         assert all(x == " ".join(x.split()) and x for x in r.text.split("\n")) or not r.text
+
+
+NAMELESS = """<body><div class="x1"><p>Home of all<p>things {k}</div><div class="x2"><div class="x3"><h2>Title {n}</h2>{body}
+<p>Read our fine print before you leave</p></div><div class="x4"><p>Odd note {n}</p></div></div><div class="x5">Printed by us</div></body>"""
+
+
+def nameless(n):
+    return NAMELESS.format(n=n, k=n % 2, body="".join(f"<p>Long paragraph {n} {k} " + "lorem ipsum dolor " * (4 + n % 3) + "</p>" for k in range(2 + n % 4)))
+
+
+def test_no_names_are_needed(spark):
+    """Without telling tags or classes: the region is the heavy element, fixed text is dropped, little slots beside it as well."""
+    rows = [(n, f"http://a.example/{n}", nameless(n)) for n in range(8)]
+    for r in html_extraction.main_text(pages(spark, rows)).collect():
+        lines = r.text.split("\n")
+        assert lines[0] == f"Title {r.page_id}" and len(lines) == 3 + r.page_id % 4
+        assert all(x.startswith(f"Long paragraph {r.page_id} ") for x in lines[1:])
+
+
+def test_copies_are_no_template(spark):
+    page = PAGE.format(n=7)
+    rows = [(n, f"http://a.example/{n}", page) for n in range(5)]
+    near = [(n, f"http://b.example/{n}", page.replace("Second", f"Second{n}")) for n in range(10, 15)]
+    for r in html_extraction.main_text(pages(spark, rows + near)).collect():
+        want = f"Title 7 & more\nFirst paragraph of 7, with bold text.\nSecond{r.page_id if r.page_id >= 10 else ''} éA of 7."
+        assert r.text == want
+
+
+def test_repeated_notices_in_articles_are_fixed_text(spark):
+    page = PAGE.replace("</article>", "<p>Sign up for our letters</p></article>")
+    rows = [(n, f"http://a.example/{n}", page.format(n=n)) for n in range(4)]
+    assert all("Sign up" not in r.text and f"Second éA of {r.page_id}." in r.text for r in html_extraction.main_text(pages(spark, rows)).collect())
+
+
+def test_classes_against_whole_vectors(spark):
+    """The classes are those of grouping tokens by their counts in all pages."""
+    rows = [(h, n, page.format(n=n) if page is PAGE else nameless(n)) for h, page in ((1, PAGE), (2, NAMELESS)) for n in range(7)] + [(1, 90, "<p>odd"), (3, 91, PAGE.format(n=1))]
+    vectors, kinds, content = defaultdict(dict), {}, {}
+    for host, n, source in rows:
+        page = html_extraction.Page(source)
+        content[host, n] = "\n".join(b[1] for b in page.blocks if b[3])
+        for token, (_, kind, times, *_) in page.tokens().items():
+            vectors[host, token][n] = times
+            kinds[host, token] = kind
+    want = defaultdict(set)
+    for (host, token), v in vectors.items():
+        if len(v) >= html_extraction.PAGES and len({content[host, n] for n in v}) > 1:
+            want[host, tuple(sorted(v.items()))].add(token)
+    want = {(k[0], frozenset(x)) for k, x in want.items() if any(kinds[k[0], t] < html_extraction.TEXT for t in x)}
+    df = spark.createDataFrame(rows, "host long, page long, html string")
+    got = {(r.host, frozenset(m.token for m in r.members)) for r in html_extraction.classes(df).collect()}
+    assert got == want and len(want) > 3
+
+
+def test_deep_pages_cost_their_length(spark):
+    deep = "<div class=a>" * 50_000 + "deep text"
+    rows = [(n, "http://d.example/x", deep) for n in range(3)] + [(9, "http://d.example/y", "<ul>" * 20_000 + "<li>x")]
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    assert got == {0: "deep text", 1: "deep text", 2: "deep text", 9: "x"}
+
+
+def test_attributes_by_their_whole_names(spark):
+    rows = [(1, "http://e.example/", '<div data-class="ad" title="hidden"><p>kept</p></div><div class="ad">no</div><p aria-hidden=true>no')]
+    assert [r.text for r in html_extraction.main_text(pages(spark, rows).withColumn("host", F.lit(1))).collect()] == ["kept"]
+
+
+def test_many_templates_are_joined_by_salted_hosts(spark):
+    rows = [(n, f"http://a.example/{n}", nameless(n)) for n in range(8)]
+    one, two = (sorted(map(tuple, html_extraction.main_text(pages(spark, rows), broadcast_bytes=b).collect())) for b in (10**9, 0))
+    assert one == two

@@ -104,24 +104,85 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def least_errors(word, terms):
+    """The errors of the nearest term, or -1, by edit distances to the terms, and of stems to all beginnings of the word."""
+    best = []
+    for t in terms:
+        d = min(edit_distance(word[:k], t.text) for k in range(len(word) + 1)) if t.stem else edit_distance(word, t.text)
+        best += [d] if d <= t.limit else []
+    return min(best, default=-1)
+
+
+def misspelt(r, word):
+    k = r.randrange(len(word))
+    return word[:k] + r.choice(["", "x", word[k] + "q"]) + word[k + 1 :]
+
+
 def test_the_automaton_is_edit_distance():
-    terms = {"abcde": toxicity.COMMON, "vermin": toxicity.COMMON, "abominable": toxicity.COMMON, "zqx": toxicity.WORD_TERM, "stem": toxicity.STEM}
+    terms = [toxicity.Term(*t) for t in [("abcde", 1, False), ("vermin", 1, False), ("abominable", 2, False), ("zqx", 0, False), ("stem", 0, True), ("verbose", 1, True), ("abo", 0, False)]]
     lexicon, r = toxicity.Lexicon(terms), random.Random(5)
     for _ in range(3000):
-        term = r.choice(list(terms))
-        w = list(term)
+        w = r.choice(terms).text + r.choice(["", "", "er", "xq"])
         for _ in range(r.randint(0, 3)):
-            k = r.randrange(len(w) + 1)
-            w[k : k + r.randint(0, 1)] = r.choice(["", "x", "e", "q"])
-        w = "".join(w)
-        best = []
-        for t, kind in terms.items():
-            if kind == toxicity.STEM:
-                best += [0] if w.startswith(t) else []
-            else:
-                limit = 0 if kind != toxicity.COMMON else 1 if len(t) < 9 else 2
-                best += [d] if (d := edit_distance(w, t)) <= limit else []
-        assert lexicon.errors(w) == min(best, default=-1), w
+            w = misspelt(r, w) or "a"
+        assert lexicon.errors(w) == least_errors(w, terms), w
+
+
+@pytest.fixture(scope="module")
+def detector(spark):
+    d = "/root/testdata/sf0.1"
+    return toxicity.train_detector(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+def test_scores_by_edit_distances_alone(spark, real, detector):
+    """The query's score is that of a plain count over all words and all terms."""
+    import math
+    import re
+
+    words_of = lambda w: re.findall(r"[^\W\d_]+", w)
+    known = {}
+    r = random.Random(1)
+    texts = [x.text for x in real.limit(60).collect() if x.text and len(x.text) < 3000] + [f'he said "you {t.text} {misspelt(r, t.text)}" and went, {misspelt(r, t.text)}' for t in detector.terms] + [None, ""]
+    rows = documents(spark, texts).select("doc_id", toxicity.toxicity_score(F.col("text"), detector).alias("score")).collect()
+    for row in rows:
+        words, hits = (texts[row.doc_id] or "").lower().split(), []
+        for k, w in enumerate(words):
+            found = []
+            for x in words_of(w):
+                if x not in known:
+                    known[x] = least_errors(x, detector.terms)
+                found += [known[x]] if known[x] >= 0 else []
+            if found:
+                hits.append((k, min(found)))
+        counts = [0] * 5
+        for k, e in hits:
+            quoted = toxicity.Detector.quoted(words, k)
+            counts[2 * quoted + (e > 0)] += 1
+            counts[4] += not quoted and any(j != k and abs(j - k) <= toxicity.WINDOW for j, _ in hits)
+        z = detector.weights[-1] + sum(w * math.log1p(c) for w, c in zip(detector.weights, counts))
+        assert abs(row.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_misspelt_terms_are_found(spark, detector):
+    """Every term of 5 letters that clean texts have no neighbours of is met misspelt, and held-out toxic texts are as well found
+    with all of their terms misspelt as without."""
+    r = random.Random(9)
+    fuzzy = [t for t in detector.terms if t.limit]
+    assert len(fuzzy) >= 5 and detector.weights[1] > 0
+    for t in fuzzy:
+        assert detector.lexicon.errors(misspelt(r, t.text)) >= 0
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = docs.where(toxicity.held_out(F.col("doc_id"))).join(labels.where("toxic = 1").select("doc_id"), "doc_id").collect()
+    caught = again = 0
+    for row in rows:
+        words = row.text.lower().split()
+        met = [detector.lexicon.met(x)[:1] for w in words for x in toxicity.WORD.findall(w)]
+        if detector.score(detector.features(row.text)) >= 0.7 and all(detector.terms[m[0][1]].limit for m in met if m):
+            worse = " ".join(misspelt(r, w) if any(detector.lexicon.errors(x) == 0 for x in toxicity.WORD.findall(w)) else w for w in words)
+            caught += 1
+            again += detector.score(detector.features(worse)) >= 0.7
+    assert caught >= 50 and again >= 0.9 * caught
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -167,10 +228,38 @@ def test_decontamination_is_exact_containment(spark):
         have = shingles(t)
         want = [i for i, x in enumerate(items) if (s := shingles(x)) and len(s & have) >= 0.8 * len(s)]
         assert got[k] == want
+    blocks = decontamination.contaminated(documents(spark, texts), benchmark, block_bytes=20_000).collect()
+    assert {x.doc_id: x.item_ids for x in blocks} == got
     clean = decontamination.drop_contaminated(documents(spark, texts), benchmark)
     assert {x.doc_id for x in clean.collect()} == {k for k in got if not got[k]}
 
 
+def test_decontamination_of_odd_tables(spark):
+    items = spark.createDataFrame([("a", "one two three four five six"), (None, "x"), ("b", None), ("a", "one two three four five six")], "item_id string, text string")
+    docs = documents(spark, ["zero one two three four five six seven", None, ""]).withColumn("item_id", F.lit("clash"))
+    got = decontamination.contaminated(docs, items).orderBy("doc_id").collect()
+    assert [x.item_ids for x in got] == [["a", "a"], [], []]
+    assert decontamination.contaminated(docs.limit(0), items).count() == 0
+    assert decontamination.drop_contaminated(docs, items.limit(0)).count() == 3
+
+
+def test_scattered_and_edited_items_are_found():
+    """Items of all sizes, whole or in two parts, with 15 % of the shingles gone: the index misses none."""
+    r = random.Random(11)
+    items, texts = [], []
+    for k, n in enumerate([5, 12, 20, 21, 25, 37, 70, 90, 133, 260]):
+        words = [f"w{k}_{j}" for j in range(n)]
+        items.append((k, " ".join(words)))
+        cut = n // 2
+        noise = lambda m: [f"n{r.randrange(10**6)}" for _ in range(m)]
+        texts.append(" ".join(noise(300) + words + noise(200)))
+        texts.append(" ".join(words[: cut + 2] + noise(900) + words[cut - 2 :]))
+    index = decontamination.Index(items, 0.8, 5, decontamination.PERMUTATIONS)
+    have = [shingles(t) for t in texts]
+    for found, h in zip(index.matches(texts), have):
+        assert [k for k, _ in found] == [k for k, t in items if len(shingles(t) & h) >= 0.8 * len(shingles(t))]
+
+
 def test_licences_and_inheritance(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."),
