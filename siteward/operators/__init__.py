@@ -1,3 +1,3 @@
 """Operators of the study; importing this registers their queries."""
 
-from siteward.operators import admission, checks, field, geometry, graph, relations, results  # noqa: F401
+from siteward.operators import admission, checks, field, geometry, graph, network, relations, results  # noqa: F401

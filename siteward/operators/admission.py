@@ -5,16 +5,21 @@ Nothing is replayed on a clock: who is admitted follows from ranks of arrivals,
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.catalog import query
+from siteward.functions.ranks import numbered, quantiles
 from siteward.operators.field import HOURLY, field_of
+from siteward.session import discard, materialize
 from siteward.operators.stand_ins import ARRIVALS, COUNTY, PEOPLE, SITES, UNHEALTHY, arrivals, people, sites
 
 EARTH_M = 6_371_000.0
 #: Sites that are broadcast to people: beyond, nearest sites come from a grid join.
-BROADCAST_SITES = 20_000
+BROADCAST_SITES = 200
 
 
 def haversine(lon1, lat1, lon2, lat2) -> Column:
@@ -27,17 +32,17 @@ def haversine(lon1, lat1, lon2, lat2) -> Column:
 HAVERSINE = f"2 * {EARTH_M} * asin(sqrt(least(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2), 1.0)))"
 
 
-def nearest_site(who: DataFrame, where: DataFrame, n_sites: int | None = None, cell: float = 0.05) -> DataFrame:
-    """person_id, site_id, dist_m of the nearest site by great-circle distance; of equals the least id. Up to BROADCAST_SITES
+def nearest_site(who: DataFrame, where: DataFrame, n_sites: int | None = None, cell: float | None = None) -> DataFrame:
+    """who with site_id, dist_m of the nearest site by great-circle distance; of equals the least id. Up to BROADCAST_SITES
     sites are one broadcast array of structs, scanned by each person; beyond, sites go into cells of a grid and rings of
     cells are searched outward until no nearer site can lie beyond the ring."""
     n = where.count() if n_sites is None else n_sites
     s = where.select("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
     if n <= BROADCAST_SITES:
-        listed = F.broadcast(s.agg(F.collect_list(F.struct("site_id", "s_lon", "s_lat")).alias("all")))  # at most BROADCAST_SITES structs
-        dist = F.transform("all", lambda x: F.struct(F.round(haversine(F.col("lon"), F.col("lat"), x["s_lon"], x["s_lat"]), 6).alias("dist_m"), x["site_id"].alias("site_id")))
+        listed = F.broadcast(s.agg(F.collect_list(F.struct("site_id", "s_lon", "s_lat")).alias("_all")))  # at most BROADCAST_SITES structs
+        dist = F.transform("_all", lambda x: F.struct(F.round(haversine(F.col("lon"), F.col("lat"), x["s_lon"], x["s_lat"]), 6).alias("dist_m"), x["site_id"].alias("site_id")))
         best = who.join(listed).withColumn("_b", F.array_min(dist))
-        return best.select("person_id", F.col("_b.site_id").alias("site_id"), F.col("_b.dist_m").alias("dist_m"))
+        return best.select(*who.columns, F.col("_b.site_id").alias("site_id"), F.col("_b.dist_m").alias("dist_m"))
     return nearest_by_rings(who, s, cell)
 
 
@@ -46,31 +51,44 @@ def beyond(reach: float) -> Column:
     return F.radians(F.lit(reach)) * EARTH_M * F.cos(F.radians(F.abs("lat") + reach)) * 0.999
 
 
-def nearest_by_rings(who: DataFrame, s: DataFrame, cell: float, metric=haversine, beyond=beyond) -> DataFrame:
-    from siteward.session import materialize
-
-    cells = s.withColumns({"cx": F.floor(F.col("s_lon") / cell), "cy": F.floor(F.col("s_lat") / cell)})
-    left = who.select("person_id", "lon", "lat").withColumns({"px": F.floor(F.col("lon") / cell), "py": F.floor(F.col("lat") / cell)})
-    done, ring = None, 1
+def nearest_by_rings(who: DataFrame, s: DataFrame, cell: float | None = None, metric=haversine, beyond=beyond, allowed: Column | None = None) -> DataFrame:
+    """who (person_id, unique; lon, lat, others) with site_id, dist_m of the site (site_id, s_lon, s_lat, others) of least
+    metric(lon, lat, s_lon, s_lat), rounded to 6 places, of equals the least id; null where none is `allowed`, a condition on both
+    sides' columns. beyond(reach): the least metric of sites more than so many degrees away. Rows without a place are kept, with
+    nulls. metric and beyond may use other columns of both sides. cell: degrees; by default such that a site has about one."""
+    def into_cells(df: DataFrame, x: str, y: str, names: tuple[str, str]) -> DataFrame:
+        return df.withColumns({names[0]: F.floor(F.col(x) / cell), names[1]: F.floor(F.col(y) / cell)})
+
+    cols = who.columns
+    s = materialize(s, "ring-sites")
+    left = materialize(who, "ring-left")
+    box = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(x)).first()
+    a, b = box(left, "lon", "lat"), box(s, "s_lon", "s_lat")
+    if not a[4] or not b[4]:
+        return left.select(*cols, F.lit(None).cast(s.schema["site_id"].dataType).alias("site_id"), F.lit(None).cast("double").alias("dist_m"))
+    widest = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
+    cell = cell or max(b[1] - b[0], b[3] - b[2], widest / 100, 1e-6) / math.sqrt(b[4])
+    cells, left = into_cells(s, "s_lon", "s_lat", ("cx", "cy")), into_cells(left, "lon", "lat", ("px", "py"))
+    done, ring = [], 1
     while True:
+        whole = (ring - 1) * cell > widest  # the ring holds all sites
         offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1)))
-        probe = left.withColumn("o", F.explode(offsets)).withColumns({"cx": F.col("px") + F.col("o.i"), "cy": F.col("py") + F.col("o.j")})
-        near = probe.join(cells, ["cx", "cy"]).withColumn("d", F.struct(F.round(metric(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat")), 6).alias("dist_m"), "site_id"))
-        best = near.groupBy("person_id", "lon", "lat").agg(F.min("d").alias("d"))
+        probe = left.withColumn("_o", F.explode(offsets)).withColumns({"cx": F.col("px") + F.col("_o.i"), "cy": F.col("py") + F.col("_o.j")})
+        near = probe.join(cells, ["cx", "cy"]).withColumn("_d", F.struct(F.round(metric(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat")), 6).alias("dist_m"), "site_id"))
+        if allowed is not None:
+            near = near.where(allowed)
+        best = near.groupBy("person_id").agg(F.min("_d").alias("_d"))
         # A site beyond the ring is at least `ring` cells away.
-        best = materialize(best.withColumn("sure", F.col("d.dist_m") <= beyond(ring * cell)), "ring")
-        found = best.where("sure").select("person_id", "d.site_id", "d.dist_m")
-        done = found if done is None else done.unionByName(found)
-        left = materialize(left.join(best.where("sure").select("person_id"), "person_id", "left_anti"), "ring-left")
-        if left.isEmpty():
-            return done
-        if ring * cell > 360:
-            return done
+        sure = F.lit(True) if whole else F.coalesce(F.col("_d.dist_m") <= beyond(ring * cell), F.lit(False))
+        found = materialize(left.join(best, "person_id", "left").withColumn("_sure", sure), "ring")
+        done.append(found.where("_sure").select(*cols, "_d.site_id", "_d.dist_m"))
+        left = found.where("NOT _sure").drop("_d", "_sure")
+        if whole or left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
         ring *= 2
         if ring > 8:  # few are left far from all sites: wider cells instead of many
             cell, ring = cell * 8, 1
-            cells = s.withColumns({"cx": F.floor(F.col("s_lon") / cell), "cy": F.floor(F.col("s_lat") / cell)})
-            left = left.withColumns({"px": F.floor(F.col("lon") / cell), "py": F.floor(F.col("lat") / cell)})
+            cells, left = into_cells(s, "s_lon", "s_lat", ("cx", "cy")), into_cells(left, "lon", "lat", ("px", "py"))
 
 
 NEAREST = f"""near AS (SELECT person_id, site_id, dist_m FROM (SELECT p.person_id, s.site_id, round({HAVERSINE}, 6) AS dist_m FROM people p, sites s WHERE s.operating)
@@ -79,14 +97,16 @@ NEAREST = f"""near AS (SELECT person_id, site_id, dist_m FROM (SELECT p.person_i
 
 @query("jn_cross_nearest", f"WITH {PEOPLE}, {SITES}, {NEAREST} SELECT person_id, site_id, round(dist_m, 3) AS dist_m FROM near")
 def jn_cross_nearest(spark, sf_dir):
-    return nearest_site(people(spark, sf_dir), sites(spark, sf_dir).where("operating")).withColumn("dist_m", F.round("dist_m", 3))
+    near = nearest_site(people(spark, sf_dir).select("person_id", "lon", "lat"), sites(spark, sf_dir).where("operating"))
+    return near.select("person_id", "site_id", F.round("dist_m", 3).alias("dist_m"))
 
 
 @query("jn_knn_grid", f"WITH {PEOPLE}, {SITES}, {NEAREST} SELECT person_id, site_id, round(dist_m, 3) AS dist_m FROM near")
 def jn_knn_grid(spark, sf_dir):
     """The same by rings of grid cells, as for any number of sites."""
     s = sites(spark, sf_dir).where("operating").select("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
-    return nearest_by_rings(people(spark, sf_dir), s, 0.05).withColumn("dist_m", F.round("dist_m", 3))
+    near = nearest_by_rings(people(spark, sf_dir).select("person_id", "lon", "lat"), s)
+    return near.select("person_id", "site_id", F.round("dist_m", 3).alias("dist_m"))
 
 
 def admit(arrived: DataFrame, key: str, capacity: Column, order: list[str]) -> DataFrame:
@@ -171,8 +191,7 @@ def sim_departure_latch(spark, sf_dir):
 def sim_walk(spark, sf_dir, plan_tick: int = 60):
     """The arrival tick in closed form: the plan's tick counts as the first of the walk, and a walk of no length takes one."""
     p = people(spark, sf_dir)
-    near = nearest_site(p, sites(spark, sf_dir).where("operating"))
-    legs = near.join(p.select("person_id", "speed_mps"), "person_id")
+    legs = nearest_site(p.select("person_id", "lon", "lat", "speed_mps"), sites(spark, sf_dir).where("operating"))
     return legs.select("person_id", "site_id", (F.lit(plan_tick) + F.greatest(F.lit(1), F.ceil(F.col("dist_m") / (F.col("speed_mps") * 60))) - 1).cast("long").alias("arrive_tick"))
 
 
@@ -193,9 +212,9 @@ FROM ranked JOIN sites USING (site_id) GROUP BY band""",
 def access_census(spark, sf_dir):
     """Hourly field, departure, nearest site, first-come capacity and the census of outcomes by band."""
     p, s = people(spark, sf_dir), sites(spark, sf_dir)
-    near = nearest_site(p, s.where("operating")).join(p.select("person_id", "speed_mps", "band"), "person_id").join(F.broadcast(departure(spark, sf_dir)))
+    near = nearest_site(p.select("person_id", "lon", "lat", "speed_mps", "band"), s.where("operating")).join(F.broadcast(departure(spark, sf_dir)))
     tick = F.col("depart_hour") * 60 + F.greatest(F.lit(1), F.ceil(F.col("dist_m") / (F.col("speed_mps") * 60))) - 1
-    walk = near.select("person_id", "site_id", "band", tick.cast("long").alias("arrive_tick"))
+    walk = materialize(near.select("person_id", "site_id", "band", tick.cast("long").alias("arrive_tick")), "walk")
     inside = admit_first(walk, s.select("site_id", "capacity"), "site_id", ["arrive_tick", "person_id"]).groupBy("band").agg(F.count(F.lit(1)).alias("sheltered"))
     everyone = walk.groupBy("band").agg(F.count(F.lit(1)).alias("people"), F.min("arrive_tick").alias("first_arrival"))
     return everyone.join(inside, "band", "left").select("band", "people", F.coalesce("sheltered", F.lit(0)).alias("sheltered"), (F.col("people") - F.coalesce("sheltered", F.lit(0))).alias("refused"), "first_arrival")
