@@ -294,19 +294,6 @@ def deferred_acceptance(choices: DataFrame, capacities: DataFrame, max_rounds: i
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-@query("sim_admit")
-def sim_admit(spark, sf_dir):
-    """Admission with re-routing: each person tries the five nearest operating sites in turn."""
-    p = people(spark, sf_dir)
-    s = F.broadcast(sites(spark, sf_dir).where("operating").agg(F.slice(F.array_sort(F.collect_list(F.struct("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")))), 1, BROADCAST_SITES).alias("all")))
-    dist = F.array_sort(F.transform("all", lambda x: F.struct(F.round(haversine(F.col("lon"), F.col("lat"), x["s_lon"], x["s_lat"]), 6).alias("d"), x["site_id"].alias("site_id"))))
-    tries = p.join(s).select("person_id", "speed_mps", F.posexplode(F.slice(dist, 1, 5)).alias("attempt", "t"))
-    leg = F.greatest(F.lit(1), F.ceil(F.col("t.d") / (F.col("speed_mps") * 60)))
-    legs = tries.select("person_id", "attempt", "t.site_id", leg.alias("leg"))
-    ticks = legs.withColumn("tick", F.sum("leg").over(Window.partitionBy("person_id").orderBy("attempt")).cast("long"))
-    return deferred_acceptance(ticks.drop("leg"), sites(spark, sf_dir).select("site_id", "capacity"))
-
-
 @query("agg_bincount", f"WITH {PEOPLE}, {SITES}, {NEAREST} SELECT site_id, count(*) AS residents, round(avg(dist_m), 3) AS mean_dist_m FROM near GROUP BY site_id")
 def agg_bincount(spark, sf_dir):
     near = nearest_site(people(spark, sf_dir), sites(spark, sf_dir).where("operating"))
