@@ -117,11 +117,14 @@ def admit(arrived: DataFrame, key: str, capacity: Column, order: list[str]) -> D
 
 def admit_first(arrived: DataFrame, capacities: DataFrame, key: str, order: list[str], salt: int = 16) -> DataFrame:
     """The admitted rows only, without a whole site in one task: each of `salt` slices of a site keeps its own first
-    `capacity` rows (a rank limit that Spark applies before the shuffle too), and the site ranks what the slices keep."""
-    a = arrived.join(F.broadcast(capacities), key).withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(salt)))
-    part = a.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(*order))).where("capacity IS NULL OR _r <= capacity")
-    limited = part.where("capacity IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r <= capacity")
-    return limited.unionByName(part.where("capacity IS NULL")).drop("_s", "_r", "capacity")
+    `capacity` rows (a rank limit that Spark applies before the shuffle too), and the site ranks what the slices keep. Rows of
+    sites without a limit are not ranked. capacities (key, capacity) has a row a site; Spark chooses how to join it."""
+    a = arrived.join(capacities.select(key, "capacity"), key)
+    free = a.where("capacity IS NULL")
+    part = a.where("capacity IS NOT NULL").withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(salt)))
+    part = part.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(*order))).where("_r <= capacity")
+    part = part.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r <= capacity")
+    return part.drop("_s", "_r", "capacity").unionByName(free.drop("capacity"))
 
 
 ORDER = ["tick", "person_id", "tie", "tie2", "price"]
@@ -222,15 +225,15 @@ def access_census(spark, sf_dir):
 
 def apportion(rows: DataFrame, weight: str, total: int, tie: str, group: str | None = None) -> DataFrame:
     """rows with share: whole numbers in proportion to weight that add up to total; what floors leave over goes to the largest
-    fractions, of equals to the least `tie`. Meant for sites and the like; a group is one window partition."""
+    fractions, of equals to the least `tie`. Ranks go over ranges of fractions. A group's sums are one row."""
     sums = rows.groupBy(*([group] if group else [])).agg(F.sum(weight).alias("_all"))
     r = rows.join(F.broadcast(sums), group) if group else rows.join(F.broadcast(sums))
     exact = F.lit(total) * F.col(weight)
     r = r.withColumns({"_floor": F.expr(f"({total} * {weight}) div _all"), "_rest": exact % F.col("_all")})
     left = r.groupBy(*([group] if group else [])).agg((F.lit(total) - F.sum("_floor")).alias("_left"))
     r = r.join(F.broadcast(left), group) if group else r.join(F.broadcast(left))
-    rank = F.row_number().over(Window.partitionBy(group if group else F.lit(0)).orderBy(F.desc("_rest"), tie))
-    return r.withColumn("share", (F.col("_floor") + (rank <= F.col("_left")).cast("long")).cast("long")).drop("_all", "_floor", "_rest", "_left")
+    r = numbered(r.withColumn("_neg", -F.col("_rest")), [group] if group else [], ["_neg", tie], "_rank")
+    return r.withColumn("share", (F.col("_floor") + (F.col("_rank") < F.col("_left")).cast("long")).cast("long")).drop("_all", "_floor", "_rest", "_left", "_neg", "_rank")
 
 
 @query("win_largest_remainder", f"""WITH {SITES}, s AS (SELECT site_id, capacity, 1009 * capacity // sum(capacity) OVER () AS fl, 1009 * capacity % sum(capacity) OVER () AS rest FROM sites WHERE capacity IS NOT NULL)
@@ -265,33 +268,37 @@ SELECT s.site_id, s.capacity, count(a.person_id) AS admitted, round(avg(a.price)
   min(a.tick) AS first_arrival, round(quantile_cont(a.tick, 0.5), 4) AS median_arrival, max(a.tick) AS last_arrival FROM sites s LEFT JOIN a USING (site_id) GROUP BY s.site_id, s.capacity""")
 def agg_shelter(spark, sf_dir):
     s = sites(spark, sf_dir).select("site_id", "capacity")
-    inside = admit_first(arrivals(spark, sf_dir), s, "site_id", ORDER)
-    per = inside.groupBy("site_id").agg(F.count(F.lit(1)).alias("admitted"), F.round(F.avg("price"), 4).alias("mean_distance"), F.min("tick").alias("first_arrival"), F.round(F.percentile("tick", F.lit(0.5)), 4).alias("median_arrival"), F.max("tick").alias("last_arrival"))
-    out = s.join(per, "site_id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(0)))
+    inside = materialize(admit_first(arrivals(spark, sf_dir), s, "site_id", ORDER).select("site_id", "price", "tick"), "inside")
+    per = inside.groupBy("site_id").agg(F.count(F.lit(1)).alias("admitted"), F.round(F.avg("price"), 4).alias("mean_distance"), F.min("tick").alias("first_arrival"), F.max("tick").alias("last_arrival"))
+    middle = quantiles(inside.select("site_id", "tick"), ["site_id"], "tick", {"median_arrival": 0.5}).withColumn("median_arrival", F.round("median_arrival", 4))
+    out = s.join(per, "site_id", "left").join(middle, "site_id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(0)))
     return out.withColumn("utilization", F.round(F.try_divide("admitted", F.col("capacity").cast("double")), 6))
 
 
-def deferred_acceptance(choices: DataFrame, capacities: DataFrame, max_rounds: int = 64) -> DataFrame:
+def deferred_acceptance(choices: DataFrame, capacities: DataFrame) -> DataFrame:
     """person_id, site_id, tick, attempt of who gets in where: choices (person_id, attempt, site_id, tick) are each person's
     sites in the order of trial with the arrival tick there. All propose; each site keeps its first `capacity` by (tick,
-    person_id); the rejected propose to their next site. Proposals only come later, so rounds end when none is rejected."""
-    from siteward.session import discard, materialize
-
+    person_id); the rejected propose to their next site, which is later. A round has the newly rejected and the holders of the
+    sites that they ask; each ends some person's wish for some site, so that rounds end."""
     choices = materialize(choices.select("person_id", "attempt", "site_id", "tick"), "choices")
-    now = materialize(choices.groupBy("person_id").agg(F.min("attempt").alias("attempt")), "attempts")
-    for _ in range(max_rounds):
-        asked = now.join(choices, ["person_id", "attempt"])
-        kept = materialize(admit_first(asked, capacities, "site_id", ["tick", "person_id"]), "kept")
-        out = now.join(kept.select("person_id"), "person_id", "left_anti")
-        later = choices.join(out.withColumnRenamed("attempt", "was"), "person_id").where("attempt > was").groupBy("person_id").agg(F.min("attempt").alias("attempt"))
-        new = materialize(kept.select("person_id", "attempt").unionByName(later), "attempts")
-        rejected = new.join(kept.select("person_id"), "person_id", "left_anti").isEmpty()
-        discard(now)
-        now = new
-        if rejected:
-            return kept.select("person_id", "site_id", "tick", "attempt")
-        discard(kept)
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+    asking = choices.groupBy("person_id").agg(F.min("attempt").alias("attempt")).join(choices, ["person_id", "attempt"])
+    cols = ["person_id", "site_id", "tick", "attempt"]
+    held = None
+    while True:
+        asked = materialize(asking.select(*cols), "asking")
+        if asked.isEmpty():
+            return held if held is not None else asked
+        sites_asked = asked.select("site_id").distinct()
+        pool = asked if held is None else held.join(sites_asked, "site_id", "left_semi").select(*cols).unionByName(asked)
+        kept = admit_first(pool, capacities, "site_id", ["tick", "person_id"]).select(*cols)
+        kept = materialize(kept if held is None else kept.unionByName(held.join(sites_asked, "site_id", "left_anti").select(*cols)), "held")
+        out = pool.join(kept.select("person_id", "attempt"), ["person_id", "attempt"], "left_anti").select("person_id", F.col("attempt").alias("was"))
+        later = choices.join(out, "person_id").where("attempt > was").groupBy("person_id").agg(F.min("attempt").alias("attempt"))
+        asking = materialize(later, "later").join(choices, ["person_id", "attempt"])
+        if held is not None:
+            discard(held)
+        discard(asked)
+        held = kept
 
 
 @query("agg_bincount", f"WITH {PEOPLE}, {SITES}, {NEAREST} SELECT site_id, count(*) AS residents, round(avg(dist_m), 3) AS mean_dist_m FROM near GROUP BY site_id")

@@ -1,7 +1,7 @@
 """Road-graph operators: degrees, components, shortest paths by relaxation rounds, closures, fragments.
 
 Nothing is held whole: components alternate large and small stars, shortest paths relax a frontier of improved (source,
-node) pairs, and each round's table is written to the shared folder.
+node) pairs, and each round's improvements are written to the shared folder. network.py builds graphs from streets.
 """
 
 from __future__ import annotations
@@ -41,38 +41,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def shortest(edges: DataFrame, sources: DataFrame, max_m: float | None = None, max_rounds: int = 500) -> DataFrame:
-    """(source, node, dist_m) of all nodes that each source reaches, by relaxing what the last round improved. max_m bounds
-    the distance. Work spreads over (source, node), not over sources."""
+    """(source, node, dist_m) of all nodes that each source reaches. sources: node, and source where it is not the node itself; several
+    nodes of one source are one start. A round takes only what the last one improved along the edges; what is known is compared by a
+    group with the candidates, and only improvements are written. max_m bounds the distance. For graphs of few hops: rounds are as
+    many as edges on a way."""
     e = materialize(both_ways(edges), "edges")
-    dist = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("dist_m"), F.lit(True).alias("new")), "dist")
+    start = sources.select(F.col("source" if "source" in sources.columns else "node").alias("source"), "node", F.lit(0).cast("long").alias("dist_m")).distinct()
+    known = new = materialize(start, "dist")
     for _ in range(max_rounds):
-        step = dist.where("new").join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist_m") + F.col("length_m")).alias("dist_m"))
+        step = new.join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist_m") + F.col("length_m")).alias("dist_m"))
         if max_m is not None:
             step = step.where(F.col("dist_m") <= max_m)
-        both = dist.select("source", "node", "dist_m", F.lit(0).alias("r")).unionByName(step.withColumn("r", F.lit(1)))
+        both = known.withColumn("r", F.lit(0)).unionByName(step.withColumn("r", F.lit(1)))
         best = both.groupBy("source", "node").agg(F.min(F.struct("dist_m", "r")).alias("b"))
-        after = materialize(best.select("source", "node", "b.dist_m", (F.col("b.r") == 1).alias("new")), "dist")
-        discard(dist)
-        dist = after
-        if dist.where("new").isEmpty():
-            return dist.select("source", "node", "dist_m")
+        new = materialize(best.where("b.r = 1").select("source", "node", "b.dist_m"), "dist")
+        if new.isEmpty():
+            return known.groupBy("source", "node").agg(F.min("dist_m").alias("dist_m"))
+        known = known.unionByName(new)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-#: A sparser graph, so that it falls apart: edges whose ends' products leave a small rest.
-SPARSE = "sparse AS (SELECT a, b, length_m FROM roads WHERE (a * 31 + b * 17) % 401 = 0)"
+#: Labels of the nodes of an edge table (a, b) by relaxing a least label, as SQL.
+def _labels_sql(name: str, edges: str, nodes: str = "SELECT a AS node FROM roads UNION SELECT b FROM roads") -> str:
+    return f"""{name}(node, component) AS MATERIALIZED (WITH RECURSIVE t(node, component) USING KEY (node) AS (SELECT node, node FROM ({nodes}) UNION
+  (SELECT e.v, min(t.component) FROM t JOIN {edges} e ON e.u = t.node JOIN recurring.t AS cur ON cur.node = e.v WHERE t.component < cur.component GROUP BY e.v)) SELECT * FROM t)"""
 
 
-def sparse(spark, sf_dir) -> DataFrame:
-    return roads(spark, sf_dir).where("(a * 31 + b * 17) % 401 = 0")
+_BOTH = "d AS (SELECT a AS u, b AS v FROM roads UNION ALL SELECT b, a FROM roads)"
 
 
-REACH = "reach AS (SELECT a AS n, a AS m FROM sparse UNION SELECT b, b FROM sparse UNION SELECT r.n, CASE WHEN s.a = r.m THEN s.b ELSE s.a END FROM reach r JOIN sparse s ON s.a = r.m OR s.b = r.m)"
-
-
-@query("gr_components", f"WITH RECURSIVE {ROADS}, {SPARSE}, d AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse), reach AS (SELECT u AS n, u AS m FROM d UNION SELECT r.n, d.v FROM reach r JOIN d ON d.u = r.m) SELECT n AS node, min(m) AS component FROM reach GROUP BY n")
+@query("gr_components", f"WITH RECURSIVE {ROADS}, {_BOTH}, {_labels_sql('c', 'd')} SELECT node, component FROM c")
 def gr_components(spark, sf_dir):
-    return components(sparse(spark, sf_dir))
+    return components(roads(spark, sf_dir))
 
 
 @query("gr_degree", f"WITH {ROADS}, e AS (SELECT a AS node, length_m FROM roads UNION ALL SELECT b, length_m FROM roads) SELECT node, count(*) AS degree, sum(length_m)::BIGINT AS metres FROM e GROUP BY node")
@@ -90,18 +90,13 @@ def gr_has_edge(spark, sf_dir):
     return s.join(p, "k").select("a", "b").join(roads(spark, sf_dir), ["a", "b"], "left_semi")
 
 
-@query("gr_audit_edges", f"WITH {ROADS} SELECT count(*) AS edges, max(length_m) AS longest_m, count(*) FILTER (length_m > 50000 + 220) AS impossible FROM roads")
-def gr_audit_edges(spark, sf_dir):
-    return roads(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges"), F.max("length_m").alias("longest_m"), F.count_if(F.col("length_m") > 50_220).alias("impossible"))
-
-
-@query("gr_sssp_relax", f"""WITH RECURSIVE {ROADS}, d AS (SELECT a AS u, b AS v, length_m AS w FROM roads UNION ALL SELECT b, a, length_m FROM roads), s AS (SELECT s_suppkey * 2 AS src FROM supplier WHERE s_suppkey <= 2),
-p0 AS (SELECT src, src AS n, 0::BIGINT AS d FROM s){''.join(f''', p{k + 1} AS (SELECT src, n, min(d) AS d FROM (SELECT * FROM p{k} UNION ALL SELECT src, v, d + w FROM p{k} JOIN d ON d.u = n WHERE p{k}.d + w <= 9000) GROUP BY src, n)''' for k in range(12))}
-SELECT src AS source, n AS node, d AS dist_m FROM p12""")
+@query("gr_sssp_relax", f"""WITH RECURSIVE {ROADS}, {SITES}, d AS (SELECT a AS u, b AS v, length_m AS w FROM roads UNION ALL SELECT b, a, length_m FROM roads),
+t(node, dist) USING KEY (node) AS (SELECT site_id * 2, 0::BIGINT FROM sites WHERE operating UNION (SELECT d.v, min(t.dist + d.w) FROM t JOIN d ON d.u = t.node LEFT JOIN recurring.t AS cur ON cur.node = d.v WHERE cur.dist IS NULL OR t.dist + d.w < cur.dist GROUP BY d.v))
+SELECT node, dist AS dist_m FROM t""")
 def gr_sssp_relax(spark, sf_dir):
-    """All nodes within 9,000 m of two sites; edges cost 900 m at least, so ten rounds settle it."""
-    src = sites(spark, sf_dir).where("site_id <= 2").select((F.col("site_id") * 2).alias("node"))
-    return shortest(roads(spark, sf_dir), src, 9000)
+    """The way of each node to the nearest operating site, over the whole graph: all sites are the start of one search."""
+    start = sites(spark, sf_dir).where("operating").select((F.col("site_id") * 2).alias("node"), F.lit(0).cast("long").alias("source"))
+    return shortest(roads(spark, sf_dir), start).select("node", "dist_m")
 
 
 @query("gr_block", f"WITH {ROADS}, c AS (SELECT a, b, CASE WHEN (a + b) % 5 = 0 THEN 24 ELSE 72 END AS hour FROM roads WHERE (a * 7 + b) % 11 = 0), v AS (SELECT DISTINCT hour, dense_rank() OVER (ORDER BY hour) AS version FROM c) SELECT version, count(*) AS open_edges, sum(length_m)::BIGINT AS metres FROM v, roads r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.a = r.a AND c.b = r.b AND c.hour <= v.hour) GROUP BY version")
@@ -130,27 +125,29 @@ def win_cum_closures(spark, sf_dir):
     return c.select(F.dense_rank().over(w).cast("long").alias("version"), F.sum("count").over(w).alias("blocked"))
 
 
-@query("agg_component_ledger", f"""WITH RECURSIVE {SITES}, {ROADS}, {SPARSE}, d AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse), reach AS (SELECT u AS n, u AS m FROM d UNION SELECT r.n, d.v FROM reach r JOIN d ON d.u = r.m),
-c AS (SELECT n AS node, min(m) AS component FROM reach GROUP BY n), l AS (SELECT component, count(*) FILTER (node % 2 = 1) AS residents, count(site_id) AS sites, coalesce(sum(capacity), 0)::BIGINT AS capacity FROM c LEFT JOIN sites ON site_id * 2 = node GROUP BY component)
+@query("agg_component_ledger", f"""WITH RECURSIVE {SITES}, {ROADS}, {_BOTH}, {_labels_sql('c', 'd')},
+l AS (SELECT component, count(*) FILTER (node % 2 = 1) AS residents, count(site_id) AS sites, coalesce(sum(capacity), 0)::BIGINT AS capacity FROM c LEFT JOIN sites ON site_id * 2 = node GROUP BY component)
 SELECT component, residents, sites, capacity, least(residents, capacity) AS servable, residents - least(residents, capacity) AS stranded FROM l""")
 def agg_component_ledger(spark, sf_dir):
     """By component: residents, sites, beds, who can be served and who is stranded."""
-    c = components(sparse(spark, sf_dir))
+    c = components(roads(spark, sf_dir))
     s = sites(spark, sf_dir).select((F.col("site_id") * 2).alias("node"), "site_id", "capacity")
     g = c.join(s, "node", "left").groupBy("component").agg(F.count_if(F.col("node") % 2 == 1).alias("residents"), F.count("site_id").alias("sites"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("capacity"))
     served = F.least("residents", "capacity")
     return g.withColumns({"servable": served, "stranded": F.col("residents") - served})
 
 
-@query("gr_fragment_check", f"""WITH RECURSIVE {ROADS}, {SPARSE}, d AS (SELECT a AS u, b AS v FROM sparse WHERE (a + b) % 3 <> 0 UNION ALL SELECT b, a FROM sparse WHERE (a + b) % 3 <> 0), nodes AS (SELECT a AS n FROM sparse UNION SELECT b FROM sparse),
-reach AS (SELECT n, n AS m FROM nodes UNION SELECT r.n, d.v FROM reach r JOIN d ON d.u = r.m), d0 AS (SELECT a AS u, b AS v FROM sparse UNION ALL SELECT b, a FROM sparse),
-reach0 AS (SELECT n, n AS m FROM nodes UNION SELECT r.n, d0.v FROM reach0 r JOIN d0 ON d0.u = r.m),
-c AS (SELECT n, min(m) AS after FROM reach GROUP BY n), c0 AS (SELECT n, min(m) AS before FROM reach0 GROUP BY n), f AS (SELECT before, after, count(*) AS k FROM c JOIN c0 USING (n) GROUP BY ALL)
+#: What stays open: roads that are not part of a region's closure.
+_OPEN = "NOT (b % 31 = 1 OR (a % 6 = 4 AND b % 5 <> 2))"
+
+
+@query("gr_fragment_check", f"""WITH RECURSIVE {ROADS}, {_BOTH}, o AS (SELECT a AS u, b AS v FROM roads WHERE {_OPEN} UNION ALL SELECT b, a FROM roads WHERE {_OPEN}), {_labels_sql('c0', 'd')}, {_labels_sql('c', 'o')},
+f AS (SELECT c0.component AS before, c.component AS after, count(*) AS k FROM c JOIN c0 USING (node) GROUP BY ALL)
 SELECT before AS component, sum(k)::BIGINT AS nodes, max(k) AS main_fragment, (sum(k) - max(k))::BIGINT AS lost, count(*) AS fragments FROM f GROUP BY before""")
 def gr_fragment_check(spark, sf_dir):
     """What closing edges does to each component: its main fragment, and the nodes cut off from it."""
-    e = sparse(spark, sf_dir)
+    e = roads(spark, sf_dir)
     before = components(e)
-    after = components(e.where("(a + b) % 3 != 0")).withColumnRenamed("component", "after")
+    after = components(e.where(_OPEN)).withColumnRenamed("component", "after")
     k = before.join(after, "node", "left").groupBy("component", F.coalesce("after", "node").alias("after")).agg(F.count(F.lit(1)).alias("k"))
     return k.groupBy("component").agg(F.sum("k").alias("nodes"), F.max("k").alias("main_fragment"), (F.sum("k") - F.max("k")).alias("lost"), F.count(F.lit(1)).alias("fragments"))

@@ -22,7 +22,7 @@ from siteward.functions.ranks import numbered
 from siteward.operators.admission import nearest_by_rings
 from siteward.operators.graph import components
 from siteward.operators.stand_ins import PEOPLE, SITES, people, read, sites
-from siteward.session import materialize
+from siteward.session import kept, materialize
 
 # Tolerances of places, of corrections and of edges that span more than they are long; types of freeways.
 CLUSTER_M, REATTACH_M = 100.0, 10.0
@@ -182,8 +182,18 @@ class Graph:
         return self.nodes.select("node", (F.floor(F.col("lon") / TILE) * 100_000 + F.floor(F.col("lat") / TILE)).alias("tile"))
 
 
+#: What a session has built of a folder's tables, so that a dozen queries do not build it a dozen times.
+_BUILT: dict[tuple, Graph] = {}
+_FORESTS: dict[tuple, tuple[Graph, DataFrame]] = {}
+
+
 def graph(spark, sf_dir: str) -> Graph:
-    return Graph(segments(spark, sf_dir).where(~F.col("type").isin(*FREEWAY_TYPES)))
+    """The walkable graph: built once a session and folder, and anew where its tables are gone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    g = _BUILT.get(key)
+    if g is None or not all(kept(t) for t in (g.judged, g.junctions, g.edges)):
+        g = _BUILT[key] = Graph(segments(spark, sf_dir).where(~F.col("type").isin(*FREEWAY_TYPES)))
+    return g
 
 
 @query("jn_cluster_claim", f"WITH {GRAPH} SELECT a.attr, a.place, sum(a.claims)::BIGINT AS claims FROM assigned a GROUP BY ALL")
@@ -427,8 +437,11 @@ def paths(tree: DataFrame, hop: Column | None = None, most: int = 1 << 20) -> Da
 
 
 def nearest_forest(spark, sf_dir) -> tuple[Graph, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir)
     g = graph(spark, sf_dir)
-    return g, forest(g, site_trees(spark, sf_dir, g))
+    if key not in _FORESTS or _FORESTS[key][0] is not g or not kept(_FORESTS[key][1]):
+        _FORESTS[key] = g, materialize(forest(g, site_trees(spark, sf_dir, g)), "forest")
+    return _FORESTS[key]
 
 
 @query("gr_nodepath", f"WITH RECURSIVE {TREE}, {_FOREST}, {_STEPS} SELECT node, site_id, dist AS dist_cm, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(range(len(nodes)), lambda i: i * 2), '>') AS offsets FROM paths")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.catalog import query
+from siteward.functions.ranks import numbered
 from siteward.operators.stand_ins import OUTCOMES, PEOPLE, SITES, outcomes, people, read, sites
 
 R_MERCATOR = 6378137.0
@@ -39,11 +40,17 @@ def jn_anti(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-@query("jn_belief_exclusion", f"WITH {PEOPLE}, {SITES} SELECT person_id, list_filter((SELECT list(site_id ORDER BY site_id) FROM sites WHERE operating AND site_id <= 40), lambda x: x % 7 <> person_id % 7) AS choices FROM people")
+@query("jn_belief_exclusion", f"WITH {PEOPLE}, {SITES} SELECT person_id, count(*) AS choices, min(site_id) AS first_choice, sum(site_id)::BIGINT AS ids FROM people, sites WHERE operating AND site_id % 7 <> person_id % 7 AND NOT (site_id % 5 = 2 AND person_id % 8 = 0) GROUP BY person_id")
 def jn_belief_exclusion(spark, sf_dir):
-    """Each person's choice set without the sites that refused them."""
-    s = F.broadcast(sites(spark, sf_dir).where("operating AND site_id <= 40").agg(F.sort_array(F.collect_list("site_id")).alias("all")))
-    return people(spark, sf_dir).join(s).select("person_id", F.filter("all", lambda x: x % 7 != F.col("person_id") % 7).alias("choices"))
+    """Each person's choice set without the sites that refused them, as its size and sums: what all sites give, less what the
+    refusals do. Refusals are rows (person, site); choice sets are not written out."""
+    s = sites(spark, sf_dir).where("operating").select("site_id", (F.col("site_id") % 7).alias("k"))
+    p = people(spark, sf_dir).select("person_id", (F.col("person_id") % 7).alias("k"), (F.col("person_id") % 8 == 0).alias("pet"))
+    # Sites by what they refuse: groups of a bounded number, which people meet by equality.
+    of = s.withColumn("pets_out", F.col("site_id") % 5 == 2).groupBy("k", "pets_out").agg(F.count(F.lit(1)).alias("n"), F.min("site_id").alias("first"), F.sum("site_id").alias("ids"))
+    all_ = of.select(F.col("k").alias("site_k"), "pets_out", "n", "first", "ids")
+    open_to = p.join(F.broadcast(all_), (F.col("k") != F.col("site_k")) & ~(F.col("pets_out") & F.col("pet")))
+    return open_to.groupBy("person_id").agg(F.sum("n").alias("choices"), F.min("first").alias("first_choice"), F.sum("ids").alias("ids"))
 
 
 #: id: (pattern, case-insensitive) of claims that a text may not make.
@@ -173,8 +180,9 @@ def top_limit_nodeorder(spark, sf_dir):
 
 @query("sort_multi", "SELECT row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_type <> 'STANDARD', p_name, p_partkey) AS at, p_brand, p_partkey FROM part")
 def sort_multi(spark, sf_dir):
-    w = Window.partitionBy("p_brand").orderBy("p_size", F.col("p_type") != "STANDARD", "p_name", "p_partkey")
-    return read(spark, sf_dir, "part").select(F.row_number().over(w).cast("long").alias("at"), "p_brand", "p_partkey")
+    """A place in an order of several keys, over ranges of it."""
+    p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", (F.col("p_type") != "STANDARD").alias("odd"), "p_name")
+    return numbered(p, ["p_brand"], ["p_size", "odd", "p_name", "p_partkey"]).select((F.col("number") + 1).alias("at"), "p_brand", "p_partkey")
 
 
 @query("win_dedup_first", "SELECT p_brand, min(p_partkey) AS first_part FROM part GROUP BY p_brand")

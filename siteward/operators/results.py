@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.catalog import query
+from siteward.functions.ranks import quantiles, value_ranks
 from siteward.operators.stand_ins import OUTCOMES, outcomes, read
 
 STATES = ["SHELTERED", "REFUSED_ALL_FULL", "UNREACHABLE", "WALKING"]
@@ -45,15 +46,10 @@ def agg_census(spark, sf_dir):
 @query("agg_summary", f"""WITH {OUTCOMES} SELECT arm, count(*) AS n, round(avg(dose_ug), 4) AS mean, round(min(dose_ug), 4) AS low, round(quantile_cont(dose_ug, 0.25), 4) AS p25, round(quantile_cont(dose_ug, 0.5), 4) AS median,
  round(quantile_cont(dose_ug, 0.75), 4) AS p75, round(quantile_cont(dose_ug, 0.9), 4) AS p90, round(max(dose_ug), 4) AS high, round(sum(dose_ug), 2) AS total FROM outcomes GROUP BY arm""")
 def agg_summary(spark, sf_dir):
-    q = outcomes(spark, sf_dir).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dose_ug"), 4).alias("mean"), F.round(F.min("dose_ug"), 4).alias("low"), F.percentile("dose_ug", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9)))).alias("q"), F.round(F.max("dose_ug"), 4).alias("high"), F.round(F.sum("dose_ug"), 2).alias("total"))
-    return q.select("arm", "n", "mean", "low", *(F.round(F.col("q")[k], 4).alias(x) for k, x in enumerate(("p25", "median", "p75", "p90"))), "high", "total")
-
-
-def value_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, value, n, below): how often each value comes and how many rows lie below it. Rows of one group are counted by
-    value before they meet, and running sums go over ranges of values, so no task gets a whole group's rows."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("below", F.sum("n").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["below"])
+    o = outcomes(spark, sf_dir)
+    g = o.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dose_ug"), 4).alias("mean"), F.round(F.min("dose_ug"), 4).alias("low"), F.round(F.max("dose_ug"), 4).alias("high"), F.round(F.sum("dose_ug"), 2).alias("total"))
+    q = quantiles(o, ["arm"], "dose_ug", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9})
+    return g.join(q, "arm", "left").select("arm", "n", "mean", "low", *(F.round(c, 4).alias(c) for c in ("p25", "median", "p75", "p90")), "high", "total")
 
 
 @query("agg_gini", f"WITH {OUTCOMES}, r AS (SELECT arm, dose_ug AS x, row_number() OVER (PARTITION BY arm ORDER BY dose_ug) AS i, count(*) OVER (PARTITION BY arm) AS n FROM outcomes) SELECT arm, round(CASE WHEN avg(x) = 0 THEN 0 ELSE sum((2.0 * i - n - 1) * x) / (any_value(n)::DOUBLE * any_value(n) * avg(x)) END, 6) AS gini FROM r GROUP BY arm")

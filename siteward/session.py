@@ -12,7 +12,11 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/siteward"
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = LOCAL_CHECKPOINTS
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -34,3 +38,10 @@ def discard(df: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._siteward_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame) -> bool:
+    """Whether a table written by materialize() is still there."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._siteward_path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
