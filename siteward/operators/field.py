@@ -48,12 +48,6 @@ def agg_peak(spark, sf_dir):
     return f.groupBy("county").agg(F.round(F.greatest(F.coalesce(F.max("c"), F.lit(0.0)), F.lit(0.0)), 6).alias("peak"), F.max_by("hour", F.struct("c", -F.col("hour"))).alias("peak_hour"))
 
 
-@query("src_aqs", f"WITH {MONITORS} SELECT monitor_id, ts, c FROM monitors WHERE lower(county) = 'click' AND c IS NOT NULL")
-def src_aqs(spark, sf_dir):
-    """Measurements of one county, its name compared without case."""
-    return monitors(spark, sf_dir).where((F.lower("county") == COUNTY) & F.col("c").isNotNull()).select("monitor_id", "ts", "c")
-
-
 @query("flt_time_window", f"WITH {MONITORS} SELECT county, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM monitors WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{START}' + INTERVAL {HOURS} HOUR GROUP BY county")
 def flt_time_window(spark, sf_dir):
     """The half-open window of the event; the range of ts reaches the scan."""

@@ -466,19 +466,6 @@ def st_logit(spark, sf_dir, rounds: int = 25):
     return spark.createDataFrame([(t, float(x), float(s), float(x / s)) for t, x, s in zip(["intercept", *FEATURES, "age"], beta, se)], "term string, estimate double, se double, z double")
 
 
-@query("snk_deck_numbers", f"WITH {OUTCOMES} SELECT 'people.' || arm AS key, count(*)::DOUBLE AS value, 'orders' AS source FROM outcomes GROUP BY arm UNION ALL SELECT 'dose.' || arm, round(avg(dose_ug), 3), 'orders' FROM outcomes GROUP BY arm")
-def snk_deck_numbers(spark, sf_dir):
-    g = outcomes(spark, sf_dir).groupBy("arm").agg(F.count(F.lit(1)).cast("double").alias("people"), F.round(F.avg("dose_ug"), 3).alias("dose"))
-    return g.select(F.explode(F.array(*(F.struct(F.concat(F.lit(f"{k}."), "arm").alias("key"), F.col(k).alias("value"), F.lit("orders").alias("source")) for k in ("people", "dose")))).alias("f")).select("f.*")
-
-
-@query("snk_readable", f"WITH {OUTCOMES} SELECT person_id, CASE state WHEN 'SHELTERED' THEN 'Got inside' WHEN 'REFUSED_ALL_FULL' THEN 'Turned away' WHEN 'UNREACHABLE' THEN 'Could not reach' ELSE state END AS outcome, round(distance_m / 1000, 3) AS distance_km, round((arrive_tick - depart_tick) / 60.0, 2) AS walk_h FROM outcomes")
-def snk_readable(spark, sf_dir):
-    """States by name with the state itself where there is none; kilometres and hours."""
-    names = F.create_map(*(F.lit(x) for p in {"SHELTERED": "Got inside", "REFUSED_ALL_FULL": "Turned away", "UNREACHABLE": "Could not reach"}.items() for x in p))
-    return outcomes(spark, sf_dir).select("person_id", F.coalesce(names[F.col("state")], F.col("state")).alias("outcome"), F.round(F.col("distance_m") / 1000, 3).alias("distance_km"), F.round((F.col("arrive_tick") - F.col("depart_tick")) / 60.0, 2).alias("walk_h"))
-
-
 @query("agg_freeway_bytype", "SELECT l_returnflag AS type, count(*) AS n, round(sum(l_quantity) / 1000, 4) AS km FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_returnflag")
 def agg_freeway_bytype(spark, sf_dir):
     """What the freeway filter leaves out, by type."""

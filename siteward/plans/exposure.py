@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.catalog import query
-from siteward.operators.admission import BROADCAST_SITES, haversine
+from siteward.functions.ranks import running
+from siteward.operators.admission import haversine
+from siteward.operators.behaviour import SITE_ROWS
 from siteward.operators.field import HOURLY, field_of
 from siteward.operators.stand_ins import COUNTY, OUTCOMES, outcomes, people, read, sites
 from siteward.session import materialize
 
+# Cubic metres breathed an hour, walking and resting.
 WALKING, RESTING = 1.62, 0.61
 
 
@@ -46,31 +49,49 @@ def sim_exposure(spark, sf_dir):
     return e.select("person_id", *(F.round(c, 7).alias(c) for c in ("exposure", "on_the_way", "dose")))
 
 
-def p_median(demand: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """step, site_id, mean_m: k sites chosen one after the other, each the one that lowers the mean distance of the demand
-    (person_id, lon, lat) to its nearest chosen site most; of equals the least id. Candidates are broadcast, their number
-    checked; a round is one pass with a sum for each candidate, partly added up before the shuffle."""
-    n = candidates.count()
-    if n > BROADCAST_SITES:
-        raise ValueError(f"{n} candidates; at most {BROADCAST_SITES}")
+#: What a bed that no one takes costs, as metres.
+UNUSED_M = 60_000.0
+
+
+def p_median(demand: DataFrame, candidates: DataFrame, capacities: list[int]) -> DataFrame:
+    """step, site_id, capacity, served, cost_m: a place for each capacity, one after the other: the candidate (site_id, lon, lat) whose
+    nearest open demand (group_id, lon, lat, units), up to its capacity, costs least, a bed that stays empty counting UNUSED_M; of
+    equals the least id. What is served is no demand any more.
+
+    A round is one pass: units are summed up by distance from each candidate over ranges of distance, so that no candidate's demand
+    is one task's. Demand is grouped by place beforehand; candidates are broadcast up to SITE_ROWS."""
     spark = demand.sparkSession
-    all_ = F.broadcast(candidates.agg(F.collect_list(F.struct("site_id", F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("all")))
-    far = F.transform("all", lambda s: F.struct(s["site_id"].alias("site_id"), F.round(haversine(F.col("lon"), F.col("lat"), s["x"], s["y"]), 3).alias("d")))
-    pairs = materialize(demand.join(all_).select("person_id", F.explode(far).alias("f")).select("person_id", "f.*"), "pairs")
-    best = materialize(demand.select("person_id", F.lit(60_000.0).alias("now")), "now")
+    n = candidates.count()
+    if n > SITE_ROWS:
+        raise ValueError(f"{n} candidates; at most {SITE_ROWS}")
+    left = materialize(demand.select("group_id", "lon", "lat", F.col("units").cast("long").alias("units")), "demand")
+    open_ = candidates.select("site_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     out = []
-    for step in range(min(k, n)):
-        gain = pairs.join(best, "person_id").groupBy("site_id").agg(F.round(F.sum(F.least("d", "now")), 0).alias("total"), F.avg(F.least("d", "now")).alias("mean_m"))
-        r = gain.orderBy("total", "site_id").first()
-        out.append((step, r.site_id, round(r.mean_m, 1)))
-        mine = pairs.where(F.col("site_id") == r.site_id).select("person_id", "d")
-        best = materialize(best.join(mine, "person_id").select("person_id", F.least("now", "d").alias("now")), "now")
-    return spark.createDataFrame(out, "step int, site_id long, mean_m double")
+    for step, capacity in enumerate(capacities[:n]):
+        taken = [r[1] for r in out]
+        listed = F.broadcast(open_.where(~F.col("site_id").isin(taken) if taken else F.lit(True)).agg(F.collect_list(F.struct("site_id", "x", "y")).alias("all")))
+        pairs = left.join(listed).select("group_id", "units", "lon", "lat", F.explode("all").alias("s"))
+        pairs = pairs.select("group_id", "units", F.col("s.site_id").alias("site_id"), F.round(haversine(F.col("lon"), F.col("lat"), F.col("s.x"), F.col("s.y")), 3).alias("d"))
+        near = running(pairs, ["site_id"], ["d", "group_id"], "units", "before").where(F.col("before") < capacity)
+        near = near.withColumn("take", F.least(F.col("units"), capacity - F.col("before")))
+        cost = near.groupBy("site_id").agg(F.sum(F.col("d") * F.col("take")).alias("walk"), F.sum("take").alias("served"))
+        cost = cost.withColumn("cost", F.round(F.col("walk") + (capacity - F.col("served")) * UNUSED_M, 0))
+        best = cost.orderBy("cost", "site_id").first()
+        if best is None:
+            break
+        out.append((step, best.site_id, capacity, best.served, float(best.cost)))
+        used = near.where(F.col("site_id") == best.site_id).select("group_id", "take")
+        after = left.join(used, "group_id", "left").withColumn("units", F.col("units") - F.coalesce("take", F.lit(0))).drop("take")
+        left = materialize(after.where("units > 0"), "demand")
+    return spark.createDataFrame(out, "step int, site_id long, capacity int, served long, cost_m double")
 
 
 @query("st_pmedian")
 def st_pmedian(spark, sf_dir):
-    return p_median(people(spark, sf_dir), sites(spark, sf_dir).where("operating AND site_id % 4 = 1"), 3)
+    """Three new sites of 40, 25 and 25 beds among all operating places, for the people of each square of 0.05 degrees."""
+    p = people(spark, sf_dir).groupBy(F.floor(F.col("lon") * 20).alias("a"), F.floor(F.col("lat") * 20).alias("b")).agg(F.count(F.lit(1)).alias("units"))
+    d = p.select((F.col("a") * 100_000 + F.col("b")).alias("group_id"), (F.col("a") / 20 + 0.025).alias("lon"), (F.col("b") / 20 + 0.025).alias("lat"), "units")
+    return p_median(d, sites(spark, sf_dir).where("operating").select("site_id", "lon", "lat"), [40, 25, 25])
 
 
 @query("tx_training_table", """SELECT o_orderkey, c_mktsegment AS band, c_acctbal AS balance, (o_orderstatus = 'F')::INT AS sheltered FROM orders JOIN customer ON c_custkey = o_custkey""")

@@ -1,3 +1,3 @@
 """File sources; importing this registers their queries."""
 
-from siteward.sources import files  # noqa: F401
+from siteward.sources import files, shapes  # noqa: F401
