@@ -17,16 +17,17 @@ all with all. Candidates are therefore the trie's links and the pairs that share
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from siteward.llm.common import table
 from siteward.llm.components import components
-from siteward.session import materialize
+from siteward.session import discard, materialize
 
 BITS = 64
 #: Fingerprints that a bucket should have on average, and so the choice of `free`.
@@ -35,6 +36,10 @@ BUCKET = 4096
 SIMILAR = (4, 5)
 #: A pair of similarity s shares no band with probability (1 - s**SKETCH_ROWS)**SKETCH_BANDS: 1.5e-5 at 0.8.
 SKETCH_BANDS, SKETCH_ROWS = 28, 5
+#: Parts of a set by hash: what two sets have in common is at most the sum of the lesser numbers of their parts.
+PARTS = 64
+#: Keys that may be broadcast because they are hot.
+HOT_KEYS = 10_000
 
 
 def _digests(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
@@ -234,7 +239,8 @@ def near_links(prints: DataFrame, errors: int = 4, count: int | None = None, buc
     # Buckets over the bound, which are few: each has at least bucket_rows of the rows.
     hot = rows.groupBy("trie", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     hot = hot.select("trie", "top", F.ceil(2 * F.col("n") / bucket_rows).cast("int").alias("slices"))
-    rows = rows.join(F.broadcast(hot), ["trie", "top"], "left")
+    hot = materialize(hot, "hot-buckets")
+    rows = rows.join(F.broadcast(hot) if hot.count() <= HOT_KEYS else hot, ["trie", "top"], "left")
     # Slice i of a hot bucket goes to each pair (i, j): on side 1 if it is the lesser, on side 2 if the greater, 0 if alone.
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     other = F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -261,21 +267,26 @@ def near_links(prints: DataFrame, errors: int = 4, count: int | None = None, buc
 
 def near_classes(docs: DataFrame, id_col: str, text_col: str, errors: int = 4, width: int = 4, seed: int = 42, bucket_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has each row's id as doc_id and its fingerprint fp; classes has, for each distinct fp, the
-    least doc_id of its class. Null doc_ids count only where a class has no other."""
+    least doc_id of its class, and n, its rows. Null doc_ids count only where a class has no other."""
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "fingerprints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
     links = near_links(prints.select("fp"), errors, None, bucket_rows)
     roots = components(links)
-    classes = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = prints.join(roots, prints.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, classes.join(least, "root").select("fp", "component_id")
+    return rows, classes.join(least, "root").select("fp", "n", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id. Null, empty and word-less
-    texts have fingerprint zero and link like others; equal rows stay apart; an empty table gives an empty one."""
+    texts have fingerprint zero and link like others; equal rows stay apart; an empty table gives an empty one. The classes of
+    fingerprints with so many rows that there are HOT_KEYS of them at most are broadcast to the rows, the others joined by shuffle."""
     rows, classes = near_classes(docs, id_col, text_col, errors, width, seed)
-    out = rows.join(classes, "fp")
+    classes = materialize(classes, "classes")
+    most = max(HOT_KEYS, (classes.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(classes.where(F.col("n") > most).select("fp", "component_id"))
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(classes.where(F.col("n") <= most).select("fp", "component_id"), "fp")
+    out = rest.select("doc_id", "fp", "component_id").unionByName(rows.join(hot, "fp").select("doc_id", "fp", "component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -318,12 +329,35 @@ def _sizes_near(a: str, b: str) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def similar_classes(texts: DataFrame, nodes: DataFrame, errors: int, width: int) -> DataFrame:
+def live_parts(sets: DataFrame) -> DataFrame:
+    """(node, live): for sets (node, shingles), how many of a set's shingles in each part another of the sets has as well. What no
+    other has is found by counting, so that no shingle's sets meet."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = alone.groupBy("node").agg(F.collect_list("shingle").alias("own"))  # a set's own shingles at most
+
+    @F.pandas_udf("array<int>")
+    def parts(batch: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.asarray(x, dtype=np.int64).view(np.uint64) % np.uint64(PARTS), minlength=PARTS).astype(np.int32) for x in batch], dtype=object)
+
+    shared = F.when(F.col("own").isNull(), F.col("shingles")).otherwise(F.array_except("shingles", "own"))
+    return sets.join(own, "node", "left").select("node", parts(shared).alias("live"))
+
+
+def may_be_similar(size: str, other_size: str, live: str, other_live: str) -> Column:
+    """Whether the parts of two sets leave room for enough in common."""
+    num, den = SIMILAR
+    common = F.aggregate(F.zip_with(live, other_live, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return (num + den) * common >= num * (F.col(size) + F.col(other_size))
+
+
+def similar_classes(texts_of: Callable[[DataFrame], DataFrame], nodes: DataFrame, errors: int, width: int) -> DataFrame:
     """(node, root) for the nodes with a near-copy: components of all candidates that are similar by exact count.
 
-    nodes: node, fp, size, bands; texts: node, text. Two rounds check each bucket's sets against one centre only, which
-    joins up a large group of near-copies at the cost of its size; then all pairs that share a bucket and are in different
-    components by then are checked, so that no candidate is left out that could still join two components."""
+    nodes: node, fp, size, bands; texts_of gives (node, text) of a table of some nodes, perhaps more than once. Two rounds check each bucket's sets against one centre only, which
+    joins up a large group of near-copies at the cost of its size; then all pairs that share a bucket, are in different
+    components by then, and may be similar by the parts of their sets are checked, so that no candidate is left out that could
+    still join two components. The bound on pairs is a condition of the join: what it rules out is never a row."""
     alone = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     near = near_links(alone.select("fp"), errors)
     trie = near.join(alone.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(alone.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
@@ -332,22 +366,26 @@ def similar_classes(texts: DataFrame, nodes: DataFrame, errors: int, width: int)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     wanted = buckets.select("node").union(trie.select("a")).union(trie.select("b")).distinct()
-    sets = texts.join(wanted, "node").select("node", shingles_of(F.col("text"), width).alias("shingles"))
-    sets = materialize(sets, "sets")
+    sets = texts_of(wanted).select("node", shingles_of(F.col("text"), width).alias("shingles"))
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
     roots, links = None, None
     for step in range(3):
         now = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if step < 2:
             centre = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(step)).alias("h"), "node", "size", "root")).alias("c"))
             found = now.join(centre, "key").select("node", "size", "root", F.col("c.node").alias("other"), F.col("c.size").alias("other_size"), F.col("c.root").alias("other_root"))
-            found = found.where("root != other_root")
+            found = found.where("root != other_root").where(_sizes_near("size", "other_size"))
         else:
-            # Only buckets that more than one component meets in.
+            # Only buckets that more than one component meets in, and only sets of which enough is not theirs alone.
             mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
             now = materialize(now.join(mixed, "key"), "mixed")
-            other = now.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-            found = now.join(other, "key").where("root < other_root")
-        pairs = found.where(_sizes_near("size", "other_size")).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
+            live = live_parts(sets.join(now.select("node").distinct(), "node"))
+            now = now.join(live, "node").where(may_be_similar("size", "size", "live", "live"))
+            now = materialize(now, "mixed-parts")
+            other = now.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"), F.col("live").alias("other_live"))
+            room = (F.col("root") < F.col("other_root")) & _sizes_near("size", "other_size") & may_be_similar("size", "other_size", "live", "other_live")
+            found = now.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & room)
+        pairs = found.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
         if step == 0:
             pairs = pairs.union(trie.select(F.least("a", "b"), F.greatest("a", "b")))
         new = materialize(similar_links(pairs.distinct(), sets), "similar")
@@ -356,23 +394,38 @@ def similar_classes(texts: DataFrame, nodes: DataFrame, errors: int, width: int)
     return roots
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two hashes over all columns, which tell unequal rows apart; maps are taken as their sorted entries."""
+    cols = [F.sort_array(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in df.schema]
+    return [F.xxhash64(*cols).alias("_sw_k1"), F.xxhash64(F.lit("_sw"), *cols).alias("_sw_k2")]
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 4, width: int = 5) -> DataFrame:
     """The rows of docs without near-copies, texts whose sets of `width`-word shingles have a Jaccard similarity of 0.8 or more,
     directly or over others: of each class the row of least doc_id stays (null last); of several with that id, the one whose
-    columns have the least hash; of equal rows, one. Texts without words are copies of each other."""
-    cols = docs.columns
-    marked = docs.withColumn("_sw_row", F.xxhash64(*(F.col(c) for c in cols)))
-    prints = marked.select(F.col(id_col).alias("doc_id"), "_sw_row", sketch(F.col(text_col), width).alias("s"))
-    prints = materialize(prints.select("doc_id", "_sw_row", "s.*"), "sketches")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sw_row")).alias("least")
+    columns have the least hash; of equal rows, one. Texts without words are copies of each other.
+
+    Rows are known by hashes of all their columns; whole texts are only moved to be joined with the keys of those that stay, and to
+    make the sets of those that share a bucket."""
+    cols, keys = docs.columns, ["_sw_k1", "_sw_k2"]
+    marked = docs.select("*", *row_keys(docs))
+    prints = marked.select(F.col(id_col).alias("doc_id"), *keys, sketch(F.col(text_col), width).alias("s"))
+    prints = materialize(prints.select("doc_id", *keys, "s.*"), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("least")
     distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.max("size").alias("size"), F.max("bands").alias("bands"), least), "distinct")
-    first = distinct.select("node", F.col("least.doc_id").alias("_sw_id"), F.col("least._sw_row").alias("_sw_row"))
-    found = marked.select(F.col(id_col).alias("_sw_doc"), "_sw_row", F.col(text_col).alias("text")).join(first, "_sw_row").where(F.col("_sw_doc").eqNullSafe(F.col("_sw_id")))
-    roots = similar_classes(found.select("node", "text").dropDuplicates(["node"]), distinct, errors, width)
+    discard(prints)
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        of = some.join(distinct, "node").select("node", *(F.col(f"least.{k}").alias(k) for k in keys))
+        return marked.select(*keys, F.col(text_col).alias("text")).join(of, keys).select("node", "text")
+
+    roots = similar_classes(texts_of, distinct, errors, width)
     classes = distinct.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    stay = materialize(classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_sw_id"), F.col("least._sw_row").alias("_sw_row")), "stay")
-    kept = marked.join(stay, marked[id_col].eqNullSafe(stay._sw_id) & (marked._sw_row == stay._sw_row), "left_semi")
-    return kept.dropDuplicates(cols).select(*cols)
+    stay = classes.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col(f"least.{k}").alias(k) for k in keys))
+    # The join has sorted the rows by their keys, so that equal rows lie together.
+    kept = marked.join(materialize(stay, "stay"), keys)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return kept.withColumn("_sw_first", first).where("_sw_first = 1").select(*cols)
 
 
 def op6_simhash_neardup(spark, sf_dir: str) -> DataFrame:

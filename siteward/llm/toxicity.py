@@ -36,7 +36,8 @@ WINDOW = 6
 FEATURES = ["plain_exact", "plain_near", "quoted_exact", "quoted_near", "clustered"]
 PRIOR = np.array([3.0, 2.0, -0.3, -0.3, 0.7, -4.0])
 PLAIN = 2  # the first features, whose weights are not below 0
-STATES = 200_000
+#: States of the automaton, and words with their errors, that a worker keeps before it begins anew.
+STATES, WORDS_KEPT = 20_000, 200_000
 #: A word within the errors of another that so many times as many toxic documents have is a misspelling of it.
 RARE = 10
 
@@ -164,7 +165,7 @@ class Detector:
         for k, w in enumerate(words):
             e = seen.get(w)
             if e is None:
-                if len(seen) > STATES:
+                if len(seen) > WORDS_KEPT:
                     seen.clear()
                 e = seen[w] = max((self.lexicon.errors(x) for x in WORD.findall(w)), key=lambda e: (e >= 0, -e), default=-1)
             if e >= 0:
