@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteward.functions.ranks import numbered
 from siteward.llm.common import table
 from siteward.session import materialize
 
@@ -168,6 +169,20 @@ def between(units: DataFrame) -> DataFrame:
     return by_key(both, ["conv", "up"], ["part"]).mapInPandas(descend, schema)
 
 
+def by_rank_where_crowded(turns: DataFrame, order: list[str]) -> DataFrame:
+    """turns (conv, part and the columns of `order`) in which no part has more than twice PART turns: conversations with such a part
+    are parted by the rank of their turns instead."""
+    full = turns.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * PART)
+    full = materialize(full.select(F.col("conv").alias("full")).distinct(), "crowded")
+    if full.isEmpty():
+        return turns
+    same = F.col("conv").eqNullSafe(F.col("full"))
+    rows = turns.join(full, same, "left_semi").withColumns({"_c": F.coalesce("conv", F.lit("\x00null")), "_u": F.monotonically_increasing_id()})
+    ranked = numbered(materialize(rows, "crowded-turns"), ["_c"], [*order, "_u"], "_rank")
+    ranked = ranked.withColumn("part", F.floor(F.col("_rank") / PART).cast("long")).select(*turns.columns)
+    return turns.join(full, same, "left_anti").unionByName(ranked)
+
+
 def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Pieces of the repaired conversations: conv_id, part, piece, turn, role (as it was; null for empty turns put in),
     new_role, action (keep, merge, relabel, relabel+merge, insert), cost, rendered. A conversation's rendered texts in the
@@ -175,11 +190,12 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     empty line between them. Roles are compared in lower case without white space around; other roles, and null, may become
     any. Turns go by number, then role and text; null numbers come last; equal rows stay, as turns of their own. A null
     conv_id is a conversation of its own; null texts are empty; an empty table gives an empty one. A part holds the turns of
-    PART successive turn numbers."""
+    PART successive turn numbers, or PART turns in order in conversations where many share a number or have none."""
     t = turns.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     t = t.withColumn("part", F.when(F.col("turn").isNull(), F.lit(2**53)).otherwise(F.floor(F.col("turn") / PART)).cast("long"))
     t = t.withColumn("late", F.col("turn").isNull())
     order = ["late", "turn", "role", "text"]
+    t = by_rank_where_crowded(t, order)
 
     def multiply(batches):
         for (conv, part), rows in groups(batches, ["conv", "part"]):

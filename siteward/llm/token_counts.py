@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +19,6 @@ from pyspark.sql import functions as F
 
 from siteward.llm.common import table, tokenizer_path
 
-#: Characters on whose classes all regular-expression engines agree: a text of these only may be counted by ranks.
-PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
-
-
 @functools.lru_cache(4)
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -32,18 +27,6 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(4)
-def load_ranks(path: str):
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def special_strings(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
@@ -84,49 +67,42 @@ def count_resynchronised(tokenizer, text: str, chunk: int = 16_384, overlap: int
     return total + before[-1] - done
 
 
-def count_texts(texts: list[str | None], path: str, max_chars: int, ranks: str | None = None) -> list[int]:
-    """Counts by the library; by the same vocabulary's ranks, which is faster, where a text is plain and holds no special
-    string."""
+def count_texts(texts: list[str | None], path: str, max_chars: int) -> list[int]:
+    """Counts by the library, of texts over max_chars by chunks."""
     tokenizer = load(path)
-    ranked, special = load_ranks(ranks).encode_ordinary if ranks else None, special_strings(tokenizer)
     out, rest = [0] * len(texts), []
     for k, text in enumerate(texts):
-        if not text:
-            continue
-        if len(text) > max_chars:
+        if text and len(text) > max_chars:
             out[k] = count_resynchronised(tokenizer, text)
-        elif ranked and PLAIN.fullmatch(text) and not any(s in text for s in special):
-            out[k] = len(ranked(text))
-        else:
+        elif text:
             rest.append(k)
     for k, e in zip(rest, tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
         out[k] = len(e.ids)
     return out
 
 
-def token_count(text: Column, tokenizer: str, max_chars: int = 32_768, ranks: str | None = None) -> Column:
+def token_count(text: Column, tokenizer: str, max_chars: int = 32_768) -> Column:
     """The number of tokens of a text column (null and empty: 0), without special tokens added; special strings inside a
-    text count as the library's default has it. tokenizer: a .json file's path or public name; ranks: the same vocabulary
-    as ranks, if there is such a file."""
-    path, ranks_path = tokenizer_path(tokenizer), tokenizer_path(ranks) if ranks else None
+    text count as the library's default has it. tokenizer: a .json file's path or public name."""
+    path = tokenizer_path(tokenizer)
 
     @F.pandas_udf("long")
     def count(batch: pd.Series) -> pd.Series:
         texts, out = batch.tolist(), []
         for k in range(0, len(texts), 256):
-            out += count_texts(texts[k : k + 256], path, max_chars, ranks_path)
+            out += count_texts(texts[k : k + 256], path, max_chars)
         return pd.Series(out, dtype="int64")
 
     return count(text)
 
 
-def with_token_counts(docs: DataFrame, tokenizer: str, limit: int, text_col: str = "text", max_chars: int = 32_768, ranks: str | None = None) -> DataFrame:
+def with_token_counts(docs: DataFrame, tokenizer: str, limit: int, text_col: str = "text", max_chars: int = 32_768) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit; columns of these names are replaced, others kept. Rows with null or empty
     texts have 0, 0, false; equal rows stay apart; an empty table gives an empty one."""
-    out = docs.withColumn("n_tokens", token_count(F.col(text_col), tokenizer, max_chars, ranks))
+    out = docs.withColumn("n_tokens", token_count(F.col(text_col), tokenizer, max_chars))
     return out.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "over_limit": F.col("n_tokens") > limit})
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_token_counts(docs, "byte_bpe_50k.json", 512, ranks="byte_bpe_50k.tiktoken").select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return with_token_counts(docs, "byte_bpe_50k.json", 512).select("doc_id", "n_bytes", "n_tokens", "over_limit")

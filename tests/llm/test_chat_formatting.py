@@ -70,6 +70,23 @@ def test_long_conversation_in_parts_equals_whole(spark, monkeypatch):
         assert text.startswith("<|") and text.endswith("<|end|>\n") and text.count("<|end|>") == text.count("<|user|>") + text.count("<|assistant|>") + text.count("<|system|>")
 
 
+def test_turns_that_share_a_number_are_dealt_out_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(cf, "PART", 4)
+    monkeypatch.setattr(cf, "FAN", 3)
+    r = random.Random(6)
+    rows = [(c, t, r.choice([*cf.ROLES, "bot", None]), f"c{c}t{k:03}", "x") for c in (1, 2, None) for t in (0, None) for k in range(60)]
+    rows += [(5, 0, "user", "same", "x")] * 30 + [(6, k, "user", "u", "x") for k in range(3)]
+    pieces = cf.repair_roles(frame(spark, rows))
+    sizes = pieces.where("action != 'insert'").groupBy("conv_id", "part").count().collect()
+    assert max(x["count"] for x in sizes) <= 8 and sum(x["count"] for x in sizes) == len(rows)
+    got = {x.conv_id: x for x in cf.joined(pieces).collect()}
+    for c in (1, 2, None, 5, 6):
+        own = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2] is not None, x[2] or "", x[3]))
+        assert got[c].cost == cheapest([cf.known(x[2]) for x in own])
+        at = [got[c].text.index(x[3]) for x in own]
+        assert at == sorted(at)
+
+
 def test_nulls_repeats_and_order(spark):
     rows = [(1, None, "assistant", "z", "p"), (1, 0, " USER ", "a", "p"), (None, 0, None, None, "p"), (2, 0, "user", "same", "p"), (2, 0, "user", "same", "p"), (3, 0, "system", "only", "p")]
     got = {x.conv_id: (x.cost, x.text) for x in cf.joined(cf.repair_roles(frame(spark, rows))).collect()}

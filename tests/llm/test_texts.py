@@ -28,7 +28,7 @@ def test_token_counts_are_the_librarys(spark, real):
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     docs = documents(spark, ODD).select("doc_id", "text").union(real.select("doc_id", "text"))
     for limit in (2_000, 32_768):
-        got = token_counts.with_token_counts(docs, "byte_bpe_50k.json", 512, max_chars=limit, ranks="byte_bpe_50k.tiktoken").collect()
+        got = token_counts.with_token_counts(docs, "byte_bpe_50k.json", 512, max_chars=limit).collect()
         for r in got:
             n = len(t.encode(r.text or "", add_special_tokens=False).ids)
             assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 512, len((r.text or "").encode()))
@@ -69,6 +69,61 @@ def test_sharding_moves_rows_only_into_the_new_shard(spark):
     assert len({r.shard for r in rows if r.doc_id == 0}) == 1
 
 
+def xx(*parts):
+    """Spark's xxhash64 of strings, as an unsigned number."""
+    import xxhash
+
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.encode(), seed)
+    return seed
+
+
+def rendezvous(key, weights):
+    import math
+
+    draw = [((xx(str(key), f"shard-{s}") >> 11) + 0.5) / 2**53 for s in range(len(weights))]
+    return max(range(len(weights)), key=lambda s: (-weights[s] / math.log(draw[s]), s))
+
+
+def test_unequal_weights_are_rendezvous_hashing(spark):
+    weights = [1.0, 5.0, 0.5, 2.0]
+    docs = documents(spark, ["t"] * 4000)
+    rows = sharding.shard_rows(docs, weights, [*weights, 3.0]).collect()
+    assert all((r.shard, r.grown_shard) == (rendezvous(r.doc_id, weights), rendezvous(r.doc_id, [*weights, 3.0])) for r in rows)
+    for s, w in enumerate(weights):
+        share = sum(r.shard == s for r in rows) / len(rows)
+        assert abs(share - w / sum(weights)) < 0.03
+    moved = sum(r.shard != r.grown_shard for r in rows) / len(rows)
+    assert abs(moved - 3 / (3 + sum(weights))) < 0.03
+    with pytest.raises(ValueError):
+        sharding.shard_rows(docs, [1.0, 0.0], [1.0, 1.0])
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    """Every operator on texts takes a table without rows, and one whose other columns have the names of its own."""
+    odd = documents(spark, [None, "", "a b c", "a b c"])
+    for c in ("n_tokens", "n_bytes", "over_limit", "shard", "slot", "size", "score", "predicted", "ids", "matches", "n_items", "fingerprint", "fp", "node", "root", "component_id", "law"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    from siteward.llm import simhash
+
+    for f in (
+        lambda d: token_counts.with_token_counts(d, "byte_bpe_50k.json", 512),
+        lambda d: sharding.shard_rows(d, [1.0] * 3, [1.0] * 4),
+        lambda d: toxicity.score_documents(d, labels),
+        lambda d: decontamination.contaminated(d, items),
+        lambda d: sentencepiece_stream.encoded(d),
+        lambda d: simhash.near_duplicates(d),
+    ):
+        assert f(odd).count() == 4
+        assert f(odd.limit(0)).count() == 0
+    kept = simhash.keep_one_of_each(odd.withColumn("m", F.create_map(F.lit("k"), F.lit(1))))
+    assert kept.count() == 2 and kept.columns == [*odd.columns, "m"]
+    assert [x.n_items for x in decontamination.contaminated(odd, items).orderBy("doc_id").collect()] == [0, 0, 1, 1]
+
+
 def repeated_words(words, width=5):
     windows = [tuple(words[k : k + width]) for k in range(len(words) - width + 1)]
     twice = {w for w in windows if windows.count(w) > 1}
