@@ -74,8 +74,8 @@ def test_turns_that_share_a_number_are_dealt_out_by_rank(spark, monkeypatch):
     monkeypatch.setattr(cf, "PART", 4)
     monkeypatch.setattr(cf, "FAN", 3)
     r = random.Random(6)
-    rows = [(c, t, r.choice([*cf.ROLES, "bot", None]), f"c{c}t{k:03}", "x") for c in (1, 2, None) for t in (0, None) for k in range(60)]
-    rows += [(5, 0, "user", "same", "x")] * 30 + [(6, k, "user", "u", "x") for k in range(3)]
+    rows = [(c, t, r.choice([*cf.ROLES, "bot", None]), f"c{c}n{t}t{k:03}", "x") for c in (1, 2, None) for t in (0, None) for k in range(60)]
+    rows += [(5, 0, "user", "same", "x")] * 30 + [(6, k, "user", "six", "x") for k in range(3)]
     pieces = cf.repair_roles(frame(spark, rows))
     sizes = pieces.where("action != 'insert'").groupBy("conv_id", "part").count().collect()
     assert max(x["count"] for x in sizes) <= 8 and sum(x["count"] for x in sizes) == len(rows)
@@ -84,7 +84,7 @@ def test_turns_that_share_a_number_are_dealt_out_by_rank(spark, monkeypatch):
         own = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2] is not None, x[2] or "", x[3]))
         assert got[c].cost == cheapest([cf.known(x[2]) for x in own])
         at = [got[c].text.index(x[3]) for x in own]
-        assert at == sorted(at)
+        assert at == sorted(at) and all(got[c].text.count(x[3]) == sum(y[3] == x[3] for y in own) for x in own)
 
 
 def test_nulls_repeats_and_order(spark):
