@@ -27,8 +27,8 @@ def test_token_counts_are_the_librarys(spark, real):
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     docs = documents(spark, ODD).select("doc_id", "text").union(real.select("doc_id", "text"))
-    for limit in (2_000, 32_768):
-        got = token_counts.with_token_counts(docs, "byte_bpe_50k.json", 512, max_chars=limit).collect()
+    for limit, ranks in ((2_000, "byte_bpe_50k.tiktoken"), (32_768, "byte_bpe_50k.tiktoken"), (32_768, None)):
+        got = token_counts.with_token_counts(docs, "byte_bpe_50k.json", 512, max_chars=limit, ranks=ranks).collect()
         for r in got:
             n = len(t.encode(r.text or "", add_special_tokens=False).ids)
             assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 512, len((r.text or "").encode()))
