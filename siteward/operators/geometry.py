@@ -96,8 +96,8 @@ def nearest_stretched(who: DataFrame, where: DataFrame, most: int = BROADCAST_SI
     broadcast array, beyond that rings of grid cells are searched."""
     s = where.select("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
     if where.count() > most:
-        found = nearest_by_rings(who, s, 0.05, stretched, lambda reach: F.lit(reach * 0.999))
-        return found.withColumnRenamed("dist_m", "dist")
+        found = nearest_by_rings(who.select("person_id", "lon", "lat"), s, None, stretched, lambda reach: F.lit(reach * 0.999))
+        return found.select("person_id", "site_id", F.col("dist_m").alias("dist"))
     listed = F.broadcast(s.agg(F.collect_list(F.struct("site_id", "s_lon", "s_lat")).alias("all")))  # at most `most` structs
     dist = F.transform("all", lambda x: F.struct(F.round(stretched(F.col("lon"), F.col("lat"), x["s_lon"], x["s_lat"]), 6).alias("dist"), x["site_id"].alias("site_id")))
     return who.join(listed).withColumn("_b", F.array_min(dist)).select("person_id", "_b.site_id", "_b.dist")
