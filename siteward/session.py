@@ -45,3 +45,31 @@ def kept(df: DataFrame) -> bool:
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._siteward_path)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def signature(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
+    """Path, length and time of change of the files of a folder's tables, part files included."""
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    todo = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet") for n in names]
+    while todo:
+        path = todo.pop()
+        for f in path.getFileSystem(conf).listStatus(path):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+#: What a session has built of a folder's tables, so that a dozen queries do not build it a dozen times: (key, signature, value).
+_BUILT: dict[tuple, tuple[tuple, object]] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str, build, tables):
+    """build() for these tables of a folder, or what it gave earlier in this session, if their files are still the same and the
+    tables that it wrote, tables(value), are still there."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, what), signature(spark, sf_dir, names)
+    was = _BUILT.get(key)
+    if was is None or was[0] != now or not all(kept(t) for t in tables(was[1])):
+        was = _BUILT[key] = now, build()
+    return was[1]
