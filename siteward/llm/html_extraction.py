@@ -8,7 +8,9 @@ so in a template, of which the class of the outermost element is the root. What
 is fixed text of the template; what is left are slots. The main text is the slots of the region: of the element that has
 all of the host's articles or, without articles, of the innermost element of the root class that has all slots but
 little ones beside its heaviest. Slots that are mostly links are menus. Elements that are navigation, forms and the like
-by tag, or by the words of their class, are no slots at all.
+by tag are no slots at all. A class, id or role that says so ("comments", as a whole name) counts outside articles; inside one
+it does so only where the element is in a valid class of the host, but for comments and adverts, and never for a paragraph or
+for an article below it.
 
 Paths are hashes, and vectors are sums of hashes, so that a host's pages meet in sums only, which are partly added up before
 any shuffle. A class's tokens all come in one page, so that no group is larger than the tokens of a page.
@@ -44,6 +46,10 @@ NO_CONTENT_WORDS = {
     "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
 HEADER_WORDS = {"header", "head"}
+#: Names that leave no doubt inside articles either: readers' comments and adverts.
+SURE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "disqus"}
+#: What an article is made of: no name of theirs hides them there.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "blockquote", "pre", "figcaption"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Elements that an opening tag ends: {tag: (open elements it ends, elements at which the search stops)}.
 P_END = BLOCKS - {"body", "html", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li", "legend", "summary", "figcaption", "template"}
@@ -52,14 +58,13 @@ ENDS |= {t: ({"p"}, {"td", "th", "li", "div", "article", "section", "main", "bod
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORDS = re.compile(r"[a-z]+")
 #: Pages from which on tokens are believed; the share of links that makes a menu, of fixed words that makes a template's block,
 #: of the heaviest slot below which a slot beside it is little, and of the letters that the heaviest must have.
 PAGES, LINKS, WORDY, LITTLE, HEAVY = 3, 0.6, 0.8, 0.1, 0.6
 #: Of an article's letters, the share from which on repeated text means copies and not a template.
 COPIES = 0.5
 #: Kinds of tokens.
-ELEMENT, ARTICLE, HEADING, TEXT, WORD = range(5)
+ELEMENT, ARTICLE, HEADING, MARKED, TEXT, WORD = range(6)
 #: Bytes of all templates up to which they are broadcast, and tokens that a task holds before it hands them on.
 BROADCAST_BYTES, HELD = 32 * 2**20, 100_000
 SALT = 16
@@ -72,25 +77,34 @@ def digest(text: str, seed: int = 0) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "path", "no_content", "article", "link")
+    """no_content: by its tag or one above; marked: so named, outside articles or itself; named: its own name says so."""
 
-    def __init__(self, tag, path, no_content, article, link):
-        self.tag, self.path, self.no_content, self.article, self.link = tag, path, no_content, article, link
+    __slots__ = ("tag", "path", "no_content", "article", "link", "marked", "named")
+
+    def __init__(self, tag, path, no_content=False, article=False, link=False, marked=False, named=False):
+        self.tag, self.path, self.no_content, self.article, self.link, self.marked, self.named = tag, path, no_content, article, link, marked, named
+
+    @property
+    def content(self) -> bool:
+        return not self.no_content and not self.marked
 
 
 def opened(tag: str, attributes: str, up: Element) -> Element:
     names: dict[str, str] = {}
     for k, a, b, c in ATTRIBUTE.findall(attributes):
         names.setdefault(k.lower(), (a or b or c).lower())
-    label = " ".join(names.get(k, "") for k in ("class", "id", "role"))
-    words = set(WORDS.findall(label))
-    article = up.article or tag in ("article", "main") or names.get("role") in ("main", "article")
+    words = {w for k in ("class", "id", "role") for w in names.get(k, "").split()}
+    holds = tag in ("article", "main") or names.get("role") in ("main", "article")
+    article = up.article or holds
     hidden = "hidden" in names or names.get("aria-hidden") == "true"
-    no_content = up.no_content or hidden or tag in NO_CONTENT or bool(words & NO_CONTENT_WORDS) or (not article and (tag == "header" or bool(words & HEADER_WORDS)))
+    no_content = up.no_content or hidden or tag in NO_CONTENT or (not article and tag == "header")
     if tag in ("article", "main", "body", "html") and not up.no_content and not hidden:
         no_content = False
+    named = bool(words & NO_CONTENT_WORDS) or (not article and bool(words & HEADER_WORDS))
+    named = named and not holds and tag not in ("body", "html") and not (article and tag in PROSE)
+    marked = not holds and (up.marked or (named and (not article or bool(words & SURE_WORDS))))
     step = tag + ("." + ".".join(sorted(names.get("class", "").split())) if names.get("class") else "")
-    return Element(tag, digest(step, up.path) if tag in BLOCKS else up.path, no_content, article, up.link or tag == "a")
+    return Element(tag, digest(step, up.path) if tag in BLOCKS else up.path, no_content, article, up.link or tag == "a", marked, named)
 
 
 class Page:
@@ -101,7 +115,7 @@ class Page:
     def __init__(self, page: str):
         self.blocks: list[tuple[int, str, int, bool, bool]] = []
         self.elements: dict[int, list] = {}
-        stack, count = [Element("", 0, False, False, False)], {}
+        stack, count = [Element("", 0)], {}
         held, linked, at = [], 0, None
 
         def flush() -> None:
@@ -109,7 +123,7 @@ class Page:
             if held:
                 text = " ".join(html.unescape("".join(held)).split())
                 if text:
-                    self.blocks.append((at.path, text, linked, not at.no_content, at.article))
+                    self.blocks.append((at.path, text, linked, at.content, at.article))
             held, linked, at = [], 0, None
 
         def cut(k: int) -> None:
@@ -126,7 +140,7 @@ class Page:
                 piece = m.group(0)
                 if piece[0] != "<" or piece == "<":
                     top = stack[-1]
-                    if at is not None and at is not top and at.no_content != top.no_content:
+                    if at is not None and at is not top and at.content != top.content:
                         flush()
                     at = at or top
                     held.append(piece)
@@ -157,7 +171,7 @@ class Page:
             up = stack[-1]
             e = opened(tag, m.group(3), up)
             if tag in BLOCKS:
-                kind = ELEMENT if e.no_content else ARTICLE if e.article and not up.article else HEADING if tag in HEADINGS else ELEMENT
+                kind = ELEMENT if not e.content else ARTICLE if e.article and not up.article else MARKED if e.named else HEADING if tag in HEADINGS else ELEMENT
                 self.elements.setdefault(e.path, [up.path, 0, kind])[1] += 1
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
@@ -267,6 +281,8 @@ class Template:
         self.dropped: list[int] = []
         self.region = self.main()
         for p in self.of:
+            if self.kind[p] == MARKED and self.of[p] in self.nested:
+                self.dropped.append(p)
             if self.linked[p] > LINKS * max(self.letters[p], 1) and not any(self.kind[q] == ARTICLE for q in self.above(p)):
                 self.dropped.append(p)
         self.dropped = sorted(set(self.dropped) - set(self.above(self.region) if self.region is not None else ()))

@@ -58,6 +58,31 @@ def test_no_names_are_needed(spark):
         lines = r.text.split("\n")
         assert lines[0] == f"Title {r.page_id}" and len(lines) == 3 + r.page_id % 4
         assert all(x.startswith(f"Long paragraph {r.page_id} ") for x in lines[1:])
+        assert r.text != html_extraction.slots(nameless(r.page_id), None, None, None)  # the template changes each page
+
+
+def test_names_of_everyday_classes_hide_nothing(spark):
+    article = "<article><p>Hello world text</p>{}</article>"
+    sources = [
+        '<div class="content has-sidebar">' + article.format("") + "</div>",
+        '<div class="post no-comments">' + article.format("") + "</div>",
+        '<div class="comments">' + article.format("") + "</div>",
+        article.format('<p class="share price">Up by ten</p><div class="related-work">Others</div><section id="responses">Answers</section>'),
+    ]
+    want = ["Hello world text"] * 3 + ["Hello world text\nUp by ten\nOthers\nAnswers"]
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, [(n, f"http://s{n}.example/", x) for n, x in enumerate(sources)])).collect()}
+    assert [got[n] for n in range(4)] == want
+
+
+def test_names_in_articles_go_by_their_class(spark):
+    """A section of responses inside the article is the host's template, whatever its text; a page of another host keeps one.
+    Comments go everywhere."""
+    page = '<article><h1>Title {n}</h1><p>Text {n} goes on.</p><section class="{name}"><div>Reader {n} says</div></section></article>'
+    rows = [(n, f"http://a.example/{n}", page.format(n=n, name="responses")) for n in range(5)]
+    rows += [(8, "http://b.example/", page.format(n=8, name="responses")), (9, "http://c.example/", page.format(n=9, name="comments box"))]
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    assert all(got[n] == f"Title {n}\nText {n} goes on." for n in (0, 1, 2, 3, 4, 9))
+    assert got[8] == "Title 8\nText 8 goes on.\nReader 8 says"
 
 
 def test_copies_are_no_template(spark):
