@@ -6,9 +6,9 @@ into groups; the ranks found say which tokens of the longer list a token of the
 (each text's ends moved behind those of the last), cut into lanes that gallop side by side; where a lane starts is found by
 galloping over the lanes' first ends.
 
-Counts of linked pairs over the corpus are made in parts, bounded by bytes of text: a part's pairs are counted in its task, so
-that the shuffle carries a part's different pairs and not its links. Totals come back to the parts by a join, and each part's
-links meet them again: no table of pairs is held whole anywhere.
+Counts of linked pairs over the corpus are made in parts, bounded by their text: a part's pairs are counted in its task, so that
+the shuffle carries a part's different pairs and not its links. A text keeps the numbers, in its part's list, of the pairs that it
+has. Totals come back to the parts by a join and meet these numbers: no table of pairs is held whole anywhere.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from siteward.llm.token_counts import PLAIN, load_ranks
 from siteward.session import materialize
 
 #: Elements that one lane looks up one after the other; characters of text encoded at once, and of a part (one text may be more).
-LANE, CHUNK_CHARS, PART_CHARS = 16, 250_000, 16_000_000
-ALIGNED = "id long, part long, n_a long, n_b long, n_groups long, n_links long, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, groups_sha256 string, pairs array<long>, pair_links array<long>"
+LANE, CHUNK_CHARS, PART_CHARS = 16, 250_000, 8_000_000
+ALIGNED = "id long, part long, n_a long, n_b long, n_groups long, n_links long, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, groups_sha256 string, n_pairs int, pairs binary, links binary, part_pairs array<long>, part_links array<long>"
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -184,8 +184,15 @@ class Alignment:
         text, a, b = self.links()
         return text, a.astype(np.int64) * len(self.t.b_bytes) + b
 
-    def per_text(self) -> pd.DataFrame:
-        """ALIGNED without id, part and the pairs of a part."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's different keys in order with their links, and where each text's begin (and the last's end)."""
+        text, key = self.keys()
+        size = len(self.t.a_bytes) * len(self.t.b_bytes)
+        both, n = np.unique(text * size + key, return_counts=True)
+        return both % size, n, np.searchsorted(both, np.arange(len(self.n_a) + 1) * size)
+
+    def per_text(self, ids: bool) -> pd.DataFrame:
+        """The columns of ALIGNED that say how a text is aligned; without `ids`, those of ids and cuts are null."""
         until_a, until_b = np.cumsum(self.n_a), np.cumsum(self.n_b)
         starts_a, starts_b = until_a - self.n_a, until_b - self.n_b
         upto = np.searchsorted(self.cut_a, until_a)  # cuts before each text's end
@@ -204,7 +211,8 @@ class Alignment:
         for k in range(len(self.n_a)):
             a, b, c, n = starts_a[k], starts_b[k], upto[k] - n_groups[k], n_groups[k]
             whole = "".join(written[a + b : until_a[k] + until_b[k]])
-            rows.append((self.n_a[k], self.n_b[k], n, self.n_a[k] + self.n_b[k] - n, self.a[a : until_a[k]], self.b[b : until_b[k]], self.cut_a[c : c + n] + 1 - a, self.cut_b[c : c + n] + 1 - b, hashlib.sha256(whole.encode()).hexdigest() if whole else ""))
+            arrays = (self.a[a : until_a[k]], self.b[b : until_b[k]], self.cut_a[c : c + n] + 1 - a, self.cut_b[c : c + n] + 1 - b) if ids else (None,) * 4
+            rows.append((self.n_a[k], self.n_b[k], n, self.n_a[k] + self.n_b[k] - n, *arrays, hashlib.sha256(whole.encode()).hexdigest() if whole else ""))
         return pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "n_links", "a_ids", "b_ids", "a_cuts", "b_cuts", "groups_sha256"])
 
 
@@ -220,51 +228,80 @@ def pieces_of(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of (keys, numbers) lists by key, the keys in order."""
-    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)  # sums far below 2^53
+def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the numbers by key, the keys in order."""
+    names, at = np.unique(keys, return_inverse=True)
+    return names, np.bincount(at, n, len(names)).astype(np.int64)  # sums far below 2^53
+
+
+def packed(whole: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest."""
+    return whole.astype(np.min_scalar_type(int(whole.max()))).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
+
+
+class Part:
+    """Aligned chunks that will share a list of pairs."""
 
+    def __init__(self, number: int):
+        self.number, self.chars, self.frames, self.found = number, 0, [], []
 
-def aligned(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, chars: int, ids: np.ndarray, alignment: Alignment, with_ids: bool) -> None:
+        frame = alignment.per_text(with_ids)
+        frame.insert(0, "id", ids)
+        frame.insert(1, "part", self.number)
+        self.chars += chars
+        self.frames.append(frame)
+        self.found.append(alignment.pairs())
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        """The chunks' rows; the part's last one has its pairs."""
+        if not self.frames:
+            return
+        names, n = merged(*(np.concatenate([f[k] for f in self.found]) for k in (0, 1)))
+        for k, (frame, (keys, links, starts)) in enumerate(zip(self.frames, self.found)):
+            at = np.searchsorted(names, keys)
+            spans = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+            frame["n_pairs"] = np.diff(starts)
+            frame["pairs"] = [packed(at[i:j]) if j > i else None for i, j in spans]
+            frame["links"] = [packed(links[i:j]) if j > i else None for i, j in spans]
+            frame["part_pairs"] = frame["part_links"] = None
+            if k == len(self.frames) - 1:
+                frame.at[len(frame) - 1, "part_pairs"], frame.at[len(frame) - 1, "part_links"] = names, n
+            yield frame
+
+
+def aligned(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """ALIGNED for each row of docs: ids of both tokenizers, how many tokens of each lie before the end of each group (a_cuts,
-    b_cuts), and a digest of the groups. A text that is null, empty, or not spelt by either's tokens after one space has no
-    tokens: zeros, empty arrays, ''. Equal rows stay apart; an empty table gives an empty one.
+    b_cuts; ids=False leaves these four null), and a digest of the groups. A text that is null, empty, or not spelt by either's
+    tokens after one space has no tokens: zeros, empty arrays, ''. Equal rows stay apart; an empty table gives an empty one.
 
     part: a number for at most PART_CHARS characters of text, or one longer text, that one task read. A part's last row has its
-    linked pairs (A's id times the size of B's vocabulary, plus B's id) and how many links hold each; other rows have nulls."""
+    linked pairs (A's id times the size of B's vocabulary, plus B's id) and how many links hold each; other rows have nulls there.
+    n_pairs, pairs, links: how many different pairs a text has, packed their places in that list, and how many links hold each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, part, used, counts = load_pair(pair), TaskContext.get().partitionId() << 32, 0, []
-        held = None  # the rows of the last chunk, which may end its part
+        t, part = load_pair(pair), Part(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for rows in pieces_of([len(x or "") for x in batch["text"]], CHUNK_CHARS):
                 of = batch.iloc[rows]
                 size = int(sum(len(x or "") for x in of["text"]))
-                if held is not None:
-                    if used + size > PART_CHARS:
-                        held.at[len(held) - 1, "pairs"], held.at[len(held) - 1, "pair_links"] = merged(counts)
-                        part, used, counts = part + 1, 0, []
-                    yield held
-                used += size
-                found = Alignment(t, *t.encode(of["text"].tolist()))
-                counts.append(np.unique(found.keys()[1], return_counts=True))
-                if len(counts) > 8:
-                    counts = [merged(counts)]
-                held = found.per_text().assign(pairs=None, pair_links=None)
-                held.insert(0, "id", of["id"].to_numpy())
-                held.insert(1, "part", part)
-        if held is not None:
-            held.at[len(held) - 1, "pairs"], held.at[len(held) - 1, "pair_links"] = merged(counts)
-            yield held
+                if part.frames and part.chars + size > PART_CHARS:
+                    yield from part.rows()
+                    part = Part(part.number + 1)
+                part.add(size, of["id"].to_numpy(), Alignment(t, *t.encode(of["text"].tolist())), ids)
+        yield from part.rows()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, ALIGNED)
 
 
 def part_pairs(alignments: DataFrame) -> DataFrame:
     """(part, pair, n): how many links of a part hold the two ids, a row for each."""
-    both = alignments.where("pairs IS NOT NULL").select("part", F.explode(F.arrays_zip("pairs", "pair_links")).alias("p"))
-    return both.select("part", F.col("p.pairs").alias("pair"), F.col("p.pair_links").alias("n"))
+    both = alignments.where("part_pairs IS NOT NULL").select("part", F.explode(F.arrays_zip("part_pairs", "part_links")).alias("p"))
+    return both.select("part", F.col("p.part_pairs").alias("pair"), F.col("p.part_links").alias("n"))
 
 
 def pair_counts(pairs: DataFrame, b_size: int) -> DataFrame:
@@ -281,21 +318,18 @@ def with_link_counts(alignments: DataFrame, pair: Pair) -> DataFrame:
     counts = materialize(pair_counts(pairs, len(t.b_bytes)), "pair-counts")
     known = pairs.select(F.col("part").alias("of_part"), "pair").join(counts, "pair")
 
-    def run(key: tuple, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["pair"].to_numpy())
-        names, count, best = (known[c].to_numpy()[order] for c in ("pair", "count", "best"))
-        n_best, count_sum = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-        a, b = docs["a_ids"].tolist(), docs["b_ids"].tolist()
-        for rows in pieces_of([*map(len, a)], CHUNK_CHARS // 4):
-            text, keys = Alignment(load_pair(pair), a[rows], b[rows]).keys()
-            at = np.searchsorted(names, keys)
-            np.add.at(n_best, rows.start + text, best[at].astype(np.int64))
-            np.add.at(count_sum, rows.start + text, count[at])
-        return docs.drop(columns=["part", "a_ids", "b_ids"]).assign(n_best=n_best, count_sum=count_sum)
+    def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("pair")  # the part's list again
+        count, best = known["count"].to_numpy(), known["best"].to_numpy()
+        rows = []
+        for n, pairs, links in zip(docs["n_pairs"], docs["pairs"], docs["links"]):
+            at, links = unpacked(pairs, n), unpacked(links, n)
+            rows.append((int(links[best[at]].sum()), int(links @ count[at])))
+        return docs[columns].assign(n_best=[r[0] for r in rows], count_sum=[r[1] for r in rows])
 
     columns = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     schema = "id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    some = alignments.where("n_links > 0").select("part", *columns, "a_ids", "b_ids")
+    some = alignments.where("n_links > 0").select("part", *columns, "n_pairs", "pairs", "links")
     out = some.groupBy("part").cogroup(known.groupBy("of_part")).applyInPandas(run, schema)
     zero = F.lit(0).cast("long")
     return out.unionByName(alignments.where("n_links = 0").select(*columns, zero.alias("n_best"), zero.alias("count_sum")))
@@ -303,5 +337,5 @@ def with_link_counts(alignments: DataFrame, pair: Pair) -> DataFrame:
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
     pair = Pair(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.tiktoken"))
-    rest = materialize(aligned(table(spark, sf_dir, "documents"), pair).drop("a_cuts", "b_cuts"), "aligned")
+    rest = materialize(aligned(table(spark, sf_dir, "documents"), pair, ids=False).drop("a_ids", "b_ids", "a_cuts", "b_cuts"), "aligned")
     return with_link_counts(rest, pair).withColumnRenamed("id", "doc_id").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
