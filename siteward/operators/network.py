@@ -22,7 +22,7 @@ from siteward.functions.ranks import numbered
 from siteward.operators.admission import nearest_by_rings
 from siteward.operators.graph import components
 from siteward.operators.stand_ins import PEOPLE, SITES, people, read, sites
-from siteward.session import kept, materialize
+from siteward.session import materialize, once
 
 # Tolerances of places, of corrections and of edges that span more than they are long; types of freeways.
 CLUSTER_M, REATTACH_M = 100.0, 10.0
@@ -182,18 +182,9 @@ class Graph:
         return self.nodes.select("node", (F.floor(F.col("lon") / TILE) * 100_000 + F.floor(F.col("lat") / TILE)).alias("tile"))
 
 
-#: What a session has built of a folder's tables, so that a dozen queries do not build it a dozen times.
-_BUILT: dict[tuple, Graph] = {}
-_FORESTS: dict[tuple, tuple[Graph, DataFrame]] = {}
-
-
 def graph(spark, sf_dir: str) -> Graph:
-    """The walkable graph: built once a session and folder, and anew where its tables are gone."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    g = _BUILT.get(key)
-    if g is None or not all(kept(t) for t in (g.judged, g.junctions, g.edges)):
-        g = _BUILT[key] = Graph(segments(spark, sf_dir).where(~F.col("type").isin(*FREEWAY_TYPES)))
-    return g
+    """The walkable graph: built once a session while the folder's files are the same."""
+    return once(spark, sf_dir, ("customer",), "graph", lambda: Graph(segments(spark, sf_dir).where(~F.col("type").isin(*FREEWAY_TYPES))), lambda g: (g.judged, g.junctions, g.edges))
 
 
 @query("jn_cluster_claim", f"WITH {GRAPH} SELECT a.attr, a.place, sum(a.claims)::BIGINT AS claims FROM assigned a GROUP BY ALL")
@@ -409,10 +400,53 @@ _STEPS = """steps(node, here, hops, nodes) AS MATERIALIZED (WITH RECURSIVE s(nod
 paths AS (SELECT s.node, f.site_id, f.dist, s.nodes FROM steps s JOIN forest f ON f.node = s.node JOIN forest g ON g.node = s.here WHERE g.dist = 0)"""
 
 
+def search_nearest(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Labels (distance, site) that get better inside one tile, and of the nodes next to it: node, tile, dist, site_id, outside."""
+    next_to: dict[int, list] = {}
+    for src, dst, cm, tile, to in zip(edges["src"].tolist(), edges["dst"].tolist(), edges["cm"].tolist(), edges["tile"].tolist(), edges["to_tile"].tolist()):
+        next_to.setdefault(src, []).append((dst, cm, None if to == tile else to))
+    home = int(state["tile"].iloc[0])
+    rows = list(zip(state["dist"].tolist(), state["site_id"].tolist(), state["node"].tolist()))
+    label = {n: (d, s) for d, s, n in rows}
+    heap = [r for r, new in zip(rows, state["new"].tolist()) if new]
+    heapq.heapify(heap)
+    better: dict[int, int | None] = {}
+    while heap:
+        d, site, node = heapq.heappop(heap)
+        if (d, site) > label[node]:
+            continue
+        for to, cm, tile in next_to.get(node, ()):
+            if (d + cm, site) < label.get(to, (math.inf, 0)):
+                label[to], better[to] = (d + cm, site), tile
+                if tile is None:
+                    heapq.heappush(heap, (d + cm, site, to))
+    return pd.DataFrame([(n, home if t is None else t, *label[n], t is not None) for n, t in better.items()], columns=["node", "tile", "dist", "site_id", "outside"])
+
+
+def nearest_by_way(streets: DataFrame, tiles: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, dist, site_id): the nearest site of each node by way, in centimetres, of equals the least. starts: site_id, node. All
+    sites are one search, in which a node has one label, so that the result and what is written grow with the nodes, not with nodes
+    x sites; a round takes up the tiles whose nodes got a better label from outside, and reads what is known of these tiles only."""
+    start = starts.join(tiles, "node").groupBy("node", "tile").agg(F.min("site_id").alias("site_id")).select("node", "tile", F.lit(0).cast("long").alias("dist"), "site_id")
+    known = front = materialize(start, "way-labels")
+    both = streets.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cm").unionByName(streets.select(F.col("b").alias("src"), F.col("a").alias("dst"), "cm"))
+    edges = materialize(both.join(tiles.select(F.col("node").alias("src"), "tile"), "src").join(tiles.select(F.col("node").alias("dst"), F.col("tile").alias("to_tile")), "dst").withColumnRenamed("tile", "of_tile"), "way-edges")
+    least = F.min(F.struct("dist", "site_id")).alias("l")
+    while not front.isEmpty():
+        best = known.join(front.select("tile").distinct(), "tile", "left_semi").groupBy("node", "tile").agg(least).select("node", "tile", "l.*")
+        state = best.join(front.select("node", F.lit(True).alias("new")).distinct(), "node", "left").select("node", "tile", "dist", "site_id", F.coalesce("new", F.lit(False)).alias("new"))
+        found = state.groupBy("tile").cogroup(edges.groupBy("of_tile")).applyInPandas(lambda s, e: search_nearest(s, e.rename(columns={"of_tile": "tile"})) if len(s) else pd.DataFrame(columns=["node", "tile", "dist", "site_id", "outside"]), "node long, tile long, dist long, site_id long, outside boolean")
+        found = found.groupBy("node", "tile").agg(F.min(F.struct("dist", "site_id", "outside")).alias("f")).select("node", "tile", "f.*")
+        reached = known.join(found.select("node"), "node", "left_semi").groupBy("node").agg(least)
+        new = materialize(found.join(reached, "node", "left").where("l IS NULL OR struct(dist, site_id) < l").drop("l"), "way-labels")
+        known, front = known.unionByName(new.select(*known.columns)), new.where("outside").select(*known.columns)
+    return known.groupBy("node").agg(least).select("node", "l.*")
+
+
 def forest(g: Graph, reached: DataFrame) -> DataFrame:
-    """node, site_id, dist, up: the nearest site of each node by way, of equals the least, and the next node towards it (null at
-    the site's own), of equals the least."""
-    best = materialize(reached.groupBy("node").agg(F.min(F.struct("dist", "site_id")).alias("b")).select("node", "b.*"), "nearest-by-way")
+    """node, site_id, dist, up: labels of nearest_by_way() with the next node towards the site (null at the site's own), of equals the
+    least."""
+    best = materialize(reached.select("node", "dist", "site_id"), "nearest-by-way")
     s = g.streets
     ways = s.select(F.col("a").alias("up"), F.col("b").alias("node"), "cm").unionByName(s.select(F.col("b").alias("up"), F.col("a").alias("node"), "cm"))
     u = best.select(F.col("node").alias("up"), F.col("dist").alias("u_dist"), F.col("site_id").alias("u_site"))
@@ -437,11 +471,11 @@ def paths(tree: DataFrame, hop: Column | None = None, most: int = 1 << 20) -> Da
 
 
 def nearest_forest(spark, sf_dir) -> tuple[Graph, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    g = graph(spark, sf_dir)
-    if key not in _FORESTS or _FORESTS[key][0] is not g or not kept(_FORESTS[key][1]):
-        _FORESTS[key] = g, materialize(forest(g, site_trees(spark, sf_dir, g)), "forest")
-    return _FORESTS[key]
+    def build() -> tuple[Graph, DataFrame]:
+        g = graph(spark, sf_dir)
+        return g, materialize(forest(g, nearest_by_way(g.streets, g.tiles, doors(spark, sf_dir, g))), "forest")
+
+    return once(spark, sf_dir, ("customer", "supplier"), "forest", build, lambda v: (v[0].edges, v[1]))
 
 
 @query("gr_nodepath", f"WITH RECURSIVE {TREE}, {_FOREST}, {_STEPS} SELECT node, site_id, dist AS dist_cm, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(range(len(nodes)), lambda i: i * 2), '>') AS offsets FROM paths")
