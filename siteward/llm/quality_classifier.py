@@ -27,8 +27,8 @@ from siteward.session import discard, materialize
 
 #: The bound of the labelled sample.
 TRAIN_DOCS = 8_000
-#: The table of vectors has BUCKETS rows of DIMS floats: 16 MB. Index vectors have NONZERO components.
-BUCKETS, DIMS, NONZERO, WINDOW = 65_536, 64, 4, 2
+#: The table of vectors has BUCKETS rows of DIMS floats: 8 MB. Index vectors have NONZERO components.
+BUCKETS, DIMS, NONZERO, WINDOW = 65_536, 32, 2, 2
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 SHAPES = ["lower", "capital", "upper", "digits", "mixed", "symbols"]
 FEATURES = DIMS + len(SHAPES) + 3
@@ -67,21 +67,21 @@ class Words:
 
     def add_contexts(self, to: np.ndarray, place: np.ndarray, sign: np.ndarray) -> None:
         """Add to each word's row the index vectors of the words around it, and its own."""
-        names, local = np.unique(self.bucket, return_inverse=True)
-        sums = np.zeros(len(names) * DIMS)
-
-        def put(at: np.ndarray, of: np.ndarray) -> None:
-            for j in range(NONZERO):
-                sums[:] += np.bincount(local[at] * DIMS + place[self.bucket[of], j], sign[self.bucket[of], j], len(sums))
-
-        every = np.arange(len(self.bucket))
-        put(every, every)
+        names, local, n = np.unique(self.bucket, return_inverse=True, return_counts=True)
+        place, sign, every = place[names], sign[names], np.arange(len(local))
+        at, of = [], []
         for step in range(1, WINDOW + 1):
             left = every[: len(every) - step]
             left = left[self.text[left] == self.text[left + step]]
-            put(left, left + step)
-            put(left + step, left)
-        to[names] += sums.reshape(-1, DIMS)
+            at += [local[left], local[left + step]]
+            of += [local[left + step], local[left]]
+        at.append(np.arange(len(names)))  # itself, as often as it comes
+        of.append(at[-1])
+        often = np.ones(sum(map(len, at)))
+        often[len(often) - len(names) :] = n
+        at, of = np.concatenate(at) * DIMS, np.concatenate(of)
+        for j in range(NONZERO):
+            to[names] += np.bincount(at + place[of, j], sign[of, j] * often, len(names) * DIMS).reshape(-1, DIMS)
 
     def pooled(self, vectors: np.ndarray) -> np.ndarray:
         """FEATURES for each text; zeros for one without words."""
@@ -90,7 +90,7 @@ class Words:
         some = np.flatnonzero(self.counts)
         if len(some):
             starts = (np.cumsum(self.counts) - self.counts)[some]
-            out[some, :DIMS] = np.add.reduceat(vectors[self.bucket], starts, axis=0, dtype=np.float64)
+            out[some, :DIMS] = np.add.reduceat(vectors[self.bucket], starts, axis=0)
             for k in range(len(SHAPES)):
                 out[:, DIMS + k] = np.bincount(self.text[self.shape == k], minlength=n)
             again = (self.code[1:] == self.code[:-1]) & (self.text[1:] == self.text[:-1])
