@@ -12,17 +12,30 @@ from pyspark.sql import functions as F
 from siteward.session import materialize
 
 
+#: Up to this size by Spark's own estimate a group may be one task's; ranges would cost a sample, a write and a read for nothing.
+SMALL_BYTES = 32 * 2**20
+
+
+def with_groups(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df joined with `other` by equal keys, null being equal to null; the keys of df stay."""
+    renamed = other.select(*(F.col(c).alias(f"_k{k}") if c in keys else F.col(c) for k, c in enumerate(other.columns)))
+    places = {c: f"_k{k}" for k, c in enumerate(other.columns) if c in keys}
+    return df.join(renamed, [F.col(c).eqNullSafe(F.col(places[c])) for c in keys]).drop(*places.values())
+
+
 def running(df: DataFrame, group: list[str], order: list[str], amount: str, name: str = "below", parts: int | None = None) -> DataFrame:
-    """df with `name`: the sum of the long `amount` over the rows of the same group that come before this one by `order`, which
-    should tell a group's rows apart. Rows with a null in a group column are left out."""
-    spark = df.sparkSession
+    """df with `name`: the sum of the long `amount` over the rows of the same group (null is one, too) that come before this one by
+    `order`, which should tell a group's rows apart. Small tables are one window, others go over ranges; parts: always so many."""
+    spark, zero = df.sparkSession, F.lit(0).cast("long")
+    before_this = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if parts is None and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES:
+        return df.withColumn(name, F.coalesce(F.sum(amount).over(before_this(*group)), zero))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = materialize(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = cut.groupBy(*group, "_range").agg(F.sum(amount).alias("_sum"))
     upto = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    before = sums.select(*group, "_range", F.coalesce(upto, F.lit(0).cast("long")).alias("_before"))  # a row for each group and range
-    inside = F.sum(amount).over(Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = cut.withColumn("_inside", F.coalesce(inside, F.lit(0).cast("long"))).join(before, [*group, "_range"])
+    before = sums.select(*group, "_range", F.coalesce(upto, zero).alias("_before"))  # a row for each group and range
+    out = with_groups(cut.withColumn("_inside", F.coalesce(F.sum(amount).over(before_this("_range", *group)), zero)), before, [*group, "_range"])
     return out.withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)
 
 
@@ -42,7 +55,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, flo
     """A row for each group with the exact quantiles {column: share}, interpolated between neighbours. Nulls are skipped."""
     v = value_ranks(df.where(F.col(value).isNotNull()), group, value)
     total = v.groupBy(*group).agg((F.sum("n") - 1).alias("_last"))
-    v = v.join(total, group) if group else v.join(F.broadcast(total))
+    v = with_groups(v, total, group) if group else v.join(F.broadcast(total))
     picks = []
     for c, p in shares.items():
         for end, at in (("lo", F.floor(F.col("_last") * p)), ("hi", F.ceil(F.col("_last") * p))):

@@ -119,12 +119,11 @@ def admit_first(arrived: DataFrame, capacities: DataFrame, key: str, order: list
     """The admitted rows only, without a whole site in one task: each of `salt` slices of a site keeps its own first
     `capacity` rows (a rank limit that Spark applies before the shuffle too), and the site ranks what the slices keep. Rows of
     sites without a limit are not ranked. capacities (key, capacity) has a row a site; Spark chooses how to join it."""
-    a = arrived.join(capacities.select(key, "capacity"), key)
-    free = a.where("capacity IS NULL")
-    part = a.where("capacity IS NOT NULL").withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(salt)))
-    part = part.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy(*order))).where("_r <= capacity")
-    part = part.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r <= capacity")
-    return part.drop("_s", "_r", "capacity").unionByName(free.drop("capacity"))
+    a = arrived.join(capacities.select(key, "capacity"), key).withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(salt)))
+    first = lambda df, slices: df.withColumn("_r", F.row_number().over(Window.partitionBy(key, slices).orderBy(*order))).where("capacity IS NULL OR _r <= capacity")
+    # Sites without a limit stay in their slices, so that arrivals are read once.
+    part = first(first(a, "_s").withColumn("_s", F.when(F.col("capacity").isNull(), F.col("_s"))), "_s")
+    return part.drop("_s", "_r", "capacity")
 
 
 ORDER = ["tick", "person_id", "tie", "tie2", "price"]

@@ -6,16 +6,18 @@ and arrival. Siting goes in rounds, each a distributed choice of the best site b
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.catalog import query
 from siteward.functions.ranks import running
 from siteward.operators.admission import haversine
-from siteward.operators.behaviour import SITE_ROWS
 from siteward.operators.field import HOURLY, field_of
 from siteward.operators.stand_ins import COUNTY, OUTCOMES, outcomes, people, read, sites
-from siteward.session import materialize
+from siteward.session import discard, materialize
 
 # Cubic metres breathed an hour, walking and resting.
 WALKING, RESTING = 1.62, 0.61
@@ -53,29 +55,63 @@ def sim_exposure(spark, sf_dir):
 UNUSED_M = 60_000.0
 
 
+def nearest_units(candidates: DataFrame, demand: DataFrame, capacity: int) -> DataFrame:
+    """(site_id, group_id, d, whole): of each candidate (site_id, x, y) the groups (group_id, lon, lat, units) within a distance, by
+    cells of that size, doubled until they have `capacity` units or it holds all demand (whole). No candidate has more rows than
+    twice that distance gives."""
+    ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    a, b = ends(demand, "lon", "lat"), ends(candidates, "x", "y")
+    if a[0] is None or b[0] is None:
+        return candidates.select("site_id", F.lit(None).cast("long").alias("group_id"), F.lit(0.0).alias("d"), F.lit(True).alias("whole")).limit(0)
+    level = math.cos(math.radians(min(max(map(abs, (*a[2:], *b[2:]))), 89.0)))
+    widest = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])) * 112_000 + 1
+    units = demand.agg(F.sum("units")).first()[0]
+    metres = max(widest * math.sqrt(capacity / max(units, 1)), widest / 1000)
+    todo, done = candidates, []
+    while True:
+        x, y = metres / (111_000 * level), metres / 110_500
+        g = demand.select("group_id", "units", "lon", "lat", F.floor(F.col("lon") / x).alias("cx"), F.floor(F.col("lat") / y).alias("cy"))
+        about = F.array(*(F.struct((F.floor(F.col("x") / x) + i).alias("cx"), (F.floor(F.col("y") / y) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        met = todo.select("site_id", "x", "y", F.inline(about)).join(g, ["cx", "cy"])
+        met = met.withColumn("d", F.round(haversine(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")), 3)).where(F.col("d") <= metres * 0.98)
+        whole = metres * 0.98 > 2 * widest
+        met = materialize(met.select("site_id", "group_id", "units", "d"), "near-demand")
+        enough = met.groupBy("site_id").agg(F.sum("units").alias("n")).where(F.lit(whole) | (F.col("n") >= capacity)).select("site_id")
+        done.append(met.join(enough, "site_id", "left_semi").select("site_id", "group_id", "d", F.lit(whole).alias("whole")))
+        todo = materialize(todo.join(enough, "site_id", "left_anti"), "candidates")
+        if whole or todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        metres *= 2
+
+
 def p_median(demand: DataFrame, candidates: DataFrame, capacities: list[int]) -> DataFrame:
     """step, site_id, capacity, served, cost_m: a place for each capacity, one after the other: the candidate (site_id, lon, lat) whose
     nearest open demand (group_id, lon, lat, units), up to its capacity, costs least, a bed that stays empty counting UNUSED_M; of
     equals the least id. What is served is no demand any more.
 
-    A round is one pass: units are summed up by distance from each candidate over ranges of distance, so that no candidate's demand
-    is one task's. Demand is grouped by place beforehand; candidates are broadcast up to SITE_ROWS."""
+    Each candidate has a list of near demand that is as long as its beds need, and gets a new one only when what others took has left
+    it too short: what is written grows with the beds of the candidates and not with demand times candidates. A round sums up the
+    lists over ranges of distance, so that no candidate's demand is one task's."""
     spark = demand.sparkSession
-    n = candidates.count()
-    if n > SITE_ROWS:
-        raise ValueError(f"{n} candidates; at most {SITE_ROWS}")
-    left = materialize(demand.select("group_id", "lon", "lat", F.col("units").cast("long").alias("units")), "demand")
-    open_ = candidates.select("site_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    out = []
-    for step, capacity in enumerate(capacities[:n]):
-        taken = [r[1] for r in out]
-        listed = F.broadcast(open_.where(~F.col("site_id").isin(taken) if taken else F.lit(True)).agg(F.collect_list(F.struct("site_id", "x", "y")).alias("all")))
-        pairs = left.join(listed).select("group_id", "units", "lon", "lat", F.explode("all").alias("s"))
-        pairs = pairs.select("group_id", "units", F.col("s.site_id").alias("site_id"), F.round(haversine(F.col("lon"), F.col("lat"), F.col("s.x"), F.col("s.y")), 3).alias("d"))
+    left = materialize(demand.select("group_id", "lon", "lat", F.col("units").cast("long").alias("units")).where("units > 0"), "demand")
+    open_ = materialize(candidates.select("site_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "candidates")
+    out, lists = [], None
+    for step, capacity in enumerate(capacities):
+        if open_.isEmpty():
+            break
+        if lists is None:
+            lists = materialize(nearest_units(open_, left, max(capacities)), "lists")
+        else:
+            now = lists.join(left.select("group_id", "units"), "group_id").groupBy("site_id").agg(F.sum("units").alias("n"), F.max("whole").alias("whole"))
+            short = materialize(open_.join(now, "site_id", "left").where(~F.coalesce("whole", F.lit(False)) & (F.coalesce("n", F.lit(0)) < capacity)).select("site_id", "x", "y"), "short")
+            new = nearest_units(short, left, max(capacities)) if not short.isEmpty() else lists.limit(0)
+            was, lists = lists, materialize(lists.join(open_, "site_id", "left_semi").join(short, "site_id", "left_anti").unionByName(new), "lists")
+            discard(was)
+        pairs = lists.join(left.select("group_id", "units"), "group_id").select("group_id", "units", "site_id", "d")
         near = running(pairs, ["site_id"], ["d", "group_id"], "units", "before").where(F.col("before") < capacity)
         near = near.withColumn("take", F.least(F.col("units"), capacity - F.col("before")))
-        cost = near.groupBy("site_id").agg(F.sum(F.col("d") * F.col("take")).alias("walk"), F.sum("take").alias("served"))
-        cost = cost.withColumn("cost", F.round(F.col("walk") + (capacity - F.col("served")) * UNUSED_M, 0))
+        cost = open_.select("site_id").join(near.groupBy("site_id").agg(F.sum(F.col("d") * F.col("take")).alias("walk"), F.sum("take").alias("served")), "site_id", "left")
+        cost = cost.withColumn("cost", F.round(F.col("walk") + (capacity - F.col("served")) * UNUSED_M, 0)).where("served > 0")
         best = cost.orderBy("cost", "site_id").first()
         if best is None:
             break
@@ -83,6 +119,7 @@ def p_median(demand: DataFrame, candidates: DataFrame, capacities: list[int]) ->
         used = near.where(F.col("site_id") == best.site_id).select("group_id", "take")
         after = left.join(used, "group_id", "left").withColumn("units", F.col("units") - F.coalesce("take", F.lit(0))).drop("take")
         left = materialize(after.where("units > 0"), "demand")
+        open_ = materialize(open_.where(F.col("site_id") != best.site_id), "candidates")
     return spark.createDataFrame(out, "step int, site_id long, capacity int, served long, cost_m double")
 
 

@@ -166,15 +166,15 @@ def test_long_chains_of_rejections(spark):
 
 def test_running_sums_and_quantiles(spark):
     r = random.Random(5)
-    rows = [(r.choice("ab"), r.choice([1.5, 2.0, 7.25, r.random()])) for _ in range(300)] + [("a", None)]
+    rows = [(r.choice(["a", "b", None]), r.choice([1.5, 2.0, 7.25, r.random()])) for _ in range(300)] + [("a", None)]
     df = spark.createDataFrame(rows, "g string, x double")
-    for parts in (1, 7):
+    for parts in (None, 1, 7):
         got = {(v.g, v.x): (v.n, v.below) for v in ranks.running(df.where("x IS NOT NULL").groupBy("g", "x").agg(F.count(F.lit(1)).alias("n")), ["g"], ["x"], "n", parts=parts).collect()}
         for (g, x), (n, below) in got.items():
             mine = [v for h, v in rows if h == g and v is not None]
             assert (n, below) == (mine.count(x), sum(v < x for v in mine))
     q = {v.g: (v.lo, v.mid, v.hi) for v in ranks.quantiles(df, ["g"], "x", {"lo": 0.0, "mid": 0.37, "hi": 1.0}).collect()}
-    for g in "ab":
+    for g in ("a", "b", None):
         mine = sorted(v for h, v in rows if h == g and v is not None)
         at = 0.37 * (len(mine) - 1)
         k = int(at)
