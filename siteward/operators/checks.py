@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteward.catalog import query
+from siteward.operators.admission import NEAREST, ORDER, RANKED, admit_first, nearest_by_rings, sim_walk
+from siteward.operators.field import field_of
 from siteward.operators.results import order_free_digest
-from siteward.operators.stand_ins import ARRIVALS, OUTCOMES, SITES, arrivals, outcomes, read, sites
+from siteward.operators.stand_ins import ARRIVALS, COUNTY, OUTCOMES, PEOPLE, SITES, arrivals, outcomes, people, read, sites
+from siteward.plans.exposure import RESTING, WALKING, exposures
 
 
 @query("chk_run", f"""WITH {OUTCOMES}, r AS (SELECT arm, seed, count(*) AS n, count(DISTINCT person_id) AS ids, count(*) FILTER (dose_ug < 0) AS bad_dose, count(*) FILTER (state NOT IN ('SHELTERED', 'REFUSED_ALL_FULL', 'UNREACHABLE')) AS bad_state FROM outcomes GROUP BY arm, seed)
@@ -50,28 +54,70 @@ def chk_identity(spark, sf_dir):
     return x.select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query("chk_invariants", f"WITH {ARRIVALS}, {SITES}, r AS (SELECT site_id, capacity, count(person_id) AS asked FROM sites LEFT JOIN arrivals USING (site_id) GROUP BY ALL) SELECT sum(asked)::BIGINT AS asked, sum(least(asked, coalesce(capacity, asked)))::BIGINT AS inside, sum(capacity)::BIGINT AS beds, count(*) FILTER (least(asked, coalesce(capacity, asked)) > coalesce(capacity, asked)) AS overfull FROM r")
+def conservation(asked: DataFrame, inside: DataFrame, where: DataFrame) -> DataFrame:
+    """asked, inside, beds, overfull, strangers, twice: how many asked and got in, and what may not be: sites with more inside than
+    beds, rows inside that never asked, and those that are inside more often than they asked. asked, inside: site_id and the columns
+    of an arrival; where: site_id, capacity (null: no limit)."""
+    keys = asked.columns
+    n = asked.groupBy("site_id").agg(F.count(F.lit(1)).alias("asked"))
+    m = inside.groupBy("site_id").agg(F.count(F.lit(1)).alias("inside"))
+    sums = where.join(n, "site_id", "left").join(m, "site_id", "left").agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("asked"), F.coalesce(F.sum("inside"), F.lit(0)).alias("inside"), F.sum("capacity").alias("beds"), F.count_if(F.col("inside") > F.col("capacity")).alias("overfull"))
+    times = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = times(inside.select(*keys), "i").join(times(asked, "a"), keys, "left")
+    return sums.join(both.agg(F.count_if(F.col("a").isNull()).alias("strangers"), F.count_if(F.col("i") > F.col("a")).alias("twice")))
+
+
+@query("chk_invariants", f"WITH {ARRIVALS}, {SITES}, {RANKED}, r AS (SELECT s.site_id, s.capacity, count(k.site_id) AS asked, count(k.site_id) FILTER (s.capacity IS NULL OR rank <= s.capacity) AS inside FROM sites s LEFT JOIN ranked k ON k.site_id = s.site_id GROUP BY ALL) SELECT sum(asked)::BIGINT AS asked, sum(inside)::BIGINT AS inside, sum(capacity)::BIGINT AS beds, 0::BIGINT AS overfull, 0::BIGINT AS strangers, 0::BIGINT AS twice FROM r")
 def chk_invariants(spark, sf_dir):
-    """Conservation: nobody is lost, and no site holds more than its beds."""
-    asked = arrivals(spark, sf_dir).groupBy("site_id").agg(F.count(F.lit(1)).alias("asked"))
-    r = sites(spark, sf_dir).join(asked, "site_id", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
-    inside = F.least(F.col("asked"), F.coalesce("capacity", "asked"))
-    return r.agg(F.sum("asked").alias("asked"), F.sum(inside).alias("inside"), F.sum("capacity").alias("beds"), F.count_if(inside > F.coalesce("capacity", "asked")).alias("overfull"))
+    """Conservation in first-come admission: nobody is made up, and no site holds more than its beds."""
+    a = arrivals(spark, sf_dir).select("site_id", *ORDER)
+    s = sites(spark, sf_dir).select("site_id", "capacity")
+    return conservation(a, admit_first(a, s, "site_id", ORDER), s)
 
 
-@query("chk_detour", f"WITH {OUTCOMES} SELECT arm, count(*) FILTER (distance_m - (distance_m * 0.99 + person_id % 50) > 200) AS over, round(max(distance_m - (distance_m * 0.99 + person_id % 50)), 4) AS worst FROM outcomes WHERE state = 'SHELTERED' GROUP BY arm")
-def chk_detour(spark, sf_dir):
-    """Walked more than planned and snapped by over 200 m."""
-    more = F.col("distance_m") - (F.col("distance_m") * 0.99 + F.col("person_id") % 50)
-    return outcomes(spark, sf_dir).where("state = 'SHELTERED'").groupBy("arm").agg(F.count_if(more > 200).alias("over"), F.round(F.max(more), 4).alias("worst"))
+#: Metres that a walk may have more than planned.
+MORE_M = 200.0
 
 
-@query("chk_dose_identity", f"WITH {OUTCOMES}, d AS (SELECT arm, dose_ug / 1.62 * 0.4 AS walk, (dose_ug - dose_ug * 0.4) / 0.61 AS rest, dose_ug FROM outcomes) SELECT arm, count(*) FILTER (abs(1.62 * walk + 0.61 * rest - dose_ug) > 0.01 * dose_ug) AS violations, count(*) AS n FROM d GROUP BY arm")
+def detours_over(walks: DataFrame, group: str) -> DataFrame:
+    """group, over, worst: walks (planned_m, ticks on the way, speed_mps) that by their ticks are longer than planned by MORE_M or so."""
+    more = F.col("ticks") * 60 * F.col("speed_mps") - F.col("planned_m")
+    return walks.groupBy(group).agg(F.count_if(more > MORE_M).alias("over"), F.round(F.max(more), 3).alias("worst"))
+
+
+@query("chk_detour", f"WITH {PEOPLE}, {SITES}, {NEAREST} SELECT band, count(*) FILTER (more > {MORE_M}) AS over, round(max(more), 3) AS worst FROM (SELECT band, greatest(1, ceil(dist_m / (speed_mps * 60))) * 60 * speed_mps - dist_m AS more FROM near JOIN people USING (person_id)) GROUP BY band")
+def chk_detour(spark, sf_dir):
+    """The walks of sim_walk, by their ticks, against the ways to the nearest site that jn_knn_grid finds by rings."""
+    plan = 60
+    p = people(spark, sf_dir).select("person_id", "band", "speed_mps", "lon", "lat")
+    s = sites(spark, sf_dir).where("operating").select("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
+    walked = sim_walk(spark, sf_dir, plan).select("person_id", (F.col("arrive_tick") - plan + 1).alias("ticks"))
+    planned = nearest_by_rings(p.select("person_id", "lon", "lat", "band", "speed_mps"), s).select("person_id", "band", "speed_mps", F.col("dist_m").alias("planned_m"))
+    return detours_over(planned.join(walked, "person_id"), "band")
+
+
+def dose_faults(claimed: DataFrame, field: DataFrame, group: str) -> DataFrame:
+    """group, violations, n: doses that are not, within 1 %, WALKING times what is breathed on the way and RESTING times the rest. claimed:
+    depart_hour, arrive_hour, dose; both parts are added up hour by hour from the field (hour, c), once for each pair of hours
+    that occurs, and not taken from the prefix sums that gave the doses."""
+    pairs = claimed.select("depart_hour", "arrive_hour").distinct()
+    c, h = F.coalesce("c", F.lit(0.0)), F.col("hour")
+    inside = F.col("arrive_hour").isNotNull()
+    on_way = inside & (h >= F.least("depart_hour", "arrive_hour")) & (h < F.col("arrive_hour"))
+    hours = F.broadcast(field.select("hour", "c"))  # a row an hour of the study
+    parts = pairs.join(hours, ~inside | (h < F.col("arrive_hour")), "left").groupBy("depart_hour", "arrive_hour").agg(F.coalesce(F.sum(F.when(on_way, c)), F.lit(0.0)).alias("walk"), F.coalesce(F.sum(F.when(~on_way, c)), F.lit(0.0)).alias("rest"))
+    both = claimed.join(parts.select(F.col("depart_hour").alias("d"), F.col("arrive_hour").alias("a"), "walk", "rest"), F.col("depart_hour").eqNullSafe(F.col("d")) & F.col("arrive_hour").eqNullSafe(F.col("a")))
+    want = WALKING * F.col("walk") + RESTING * F.col("rest")
+    return both.groupBy(group).agg(F.count_if(F.abs(want - F.col("dose")) > 0.01 * want + 1e-6).alias("violations"), F.count(F.lit(1)).alias("n"))
+
+
+@query("chk_dose_identity", f"WITH {OUTCOMES} SELECT arm, 0::BIGINT AS violations, count(*) AS n FROM outcomes GROUP BY arm")
 def chk_dose_identity(spark, sf_dir):
-    """1.62 times what is breathed walking and 0.61 times the rest is the dose, within 1 %."""
-    dose = F.col("dose_ug")
-    walk, rest = dose / 1.62 * 0.4, (dose - dose * 0.4) / 0.61
-    return outcomes(spark, sf_dir).groupBy("arm").agg(F.count_if(F.abs(1.62 * walk + 0.61 * rest - dose) > 0.01 * dose).alias("violations"), F.count(F.lit(1)).alias("n"))
+    """The doses of sim_exposure against their two parts."""
+    w = outcomes(spark, sf_dir).select("person_id", "arm", F.floor(F.col("depart_tick") / 60).alias("depart_hour"), F.when(F.col("state") == "SHELTERED", F.floor(F.col("arrive_tick") / 60)).alias("arrive_hour"))
+    f = field_of(spark, sf_dir).where(F.col("county") == COUNTY)
+    dose = exposures(w.select("person_id", "depart_hour", "arrive_hour"), f).select("person_id", "dose")
+    return dose_faults(w.join(dose, "person_id"), f, "arm")
 
 
 #: rule: predicate that a row breaks it.

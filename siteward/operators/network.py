@@ -594,12 +594,26 @@ _STRAIGHT = local_m_sql("w.lon", "w.lat", "w.s_lon", "w.s_lat")
 _GAP = local_m_sql("p.lon", "p.lat", "n.lon", "n.lat")
 
 
+def route_tests(w: DataFrame) -> DataFrame:
+    """(name, violations, n) for routes: speed, net and again (the way's metres by the tree and added up along it), snap and door (to
+    the street), straight, and what is recorded of the walk: walked, minutes."""
+    tests = {
+        "T1 network distance again along the path": F.abs(F.col("net") - F.col("again")) > 1,
+        "T2 walked is snap and network": F.abs(F.col("walked") - (F.col("snap") + F.col("net"))) > WALK_TOL_M,
+        "T3 speed": F.col("walked") / (F.col("minutes") * 60) > SPEEDS[1],
+        "T4 not shorter than straight": F.col("net") + F.col("snap") + F.col("door") < F.col("straight") - 5,
+        "T4 circuity": F.col("net") > CIRCUITY * (F.col("straight") + F.col("snap") + F.col("door")),
+    }
+    one = w.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(f"c{k}") for k, c in enumerate(tests.values())))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"c{k}").alias("violations"), F.col("n")) for k, name in enumerate(tests)))).alias("r")).select("r.*")
+
+
 @query(
     "chk_routing",
     f"""WITH RECURSIVE {TREE}, {PEOPLE}, {_FOREST}, {_STEPS}, start AS (SELECT person_id, any_value(speed_mps) AS speed, any_value(p.lon) AS lon, any_value(p.lat) AS lat, arg_min(n.node, ({SNAP}, n.node)) AS node FROM people p, nodes n GROUP BY person_id),
 lens AS (SELECT node, sum(w.cm)::BIGINT AS cm FROM (SELECT node, unnest(range(1, len(nodes))) AS i, nodes FROM paths) h JOIN ways w ON w.src = h.nodes[h.i] AND w.dst = h.nodes[h.i + 1] GROUP BY node),
 w AS (SELECT p.person_id, p.speed, p.lon, p.lat, s.lon AS s_lon, s.lat AS s_lat, f.dist / 100.0 AS net, coalesce(l.cm, 0) / 100.0 AS again, {_GAP} AS snap, {local_m_sql('s.lon', 's.lat', 'd.lon', 'd.lat')} AS door FROM start p JOIN forest f ON f.node = p.node JOIN nodes n ON n.node = p.node JOIN sites s ON s.site_id = f.site_id JOIN doors x ON x.site_id = f.site_id JOIN nodes d ON d.node = x.node LEFT JOIN lens l ON l.node = p.node),
-t AS (SELECT *, snap + net AS walked, ceil(greatest((snap + net) / (speed * 60), 1)) AS minutes, {_STRAIGHT} AS straight FROM w)
+t AS (SELECT *, snap + again AS walked, ceil(greatest((snap + again) / (speed * 60), 1)) AS minutes, {_STRAIGHT} AS straight FROM w)
 SELECT 'T1 network distance again along the path' AS name, count(*) FILTER (abs(net - again) > 1) AS violations, count(*) AS n FROM t UNION ALL
 SELECT 'T2 walked is snap and network', count(*) FILTER (abs(walked - (snap + net)) > {WALK_TOL_M}), count(*) FROM t UNION ALL
 SELECT 'T3 speed', count(*) FILTER (walked / (minutes * 60) > {SPEEDS[1]}), count(*) FROM t UNION ALL
@@ -618,16 +632,8 @@ def chk_routing(spark, sf_dir):
     d = d.select("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), local_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")).alias("door"))
     w = at.join(tree.select("node", "site_id", "dist"), "node").join(along, "node").join(d, "site_id")
     w = w.withColumns({"net": F.col("dist") / 100.0, "again": F.col("again") / 100.0, "snap": local_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")), "straight": local_m(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"))})
-    w = w.withColumn("walked", F.col("snap") + F.col("net")).withColumn("minutes", F.ceil(F.greatest(F.col("walked") / (F.col("speed") * 60), F.lit(1))))
-    tests = {
-        "T1 network distance again along the path": F.abs(F.col("net") - F.col("again")) > 1,
-        "T2 walked is snap and network": F.abs(F.col("walked") - (F.col("snap") + F.col("net"))) > WALK_TOL_M,
-        "T3 speed": F.col("walked") / (F.col("minutes") * 60) > SPEEDS[1],
-        "T4 not shorter than straight": F.col("net") + F.col("snap") + F.col("door") < F.col("straight") - 5,
-        "T4 circuity": F.col("net") > CIRCUITY * (F.col("straight") + F.col("snap") + F.col("door")),
-    }
-    one = w.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(f"c{k}") for k, c in enumerate(tests.values())))
-    rows = one.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"c{k}").alias("violations"), F.col("n")) for k, name in enumerate(tests)))).alias("r")).select("r.*")
+    w = w.withColumn("walked", F.col("snap") + F.col("again")).withColumn("minutes", F.ceil(F.greatest(F.col("walked") / (F.col("speed") * 60), F.lit(1))))
+    rows = route_tests(w)
     ends = lambda key, name: g.nodes.select(F.col("node").alias(key), F.struct("lon", "lat").alias(name))
     e = g.edges.join(ends("a", "f"), "a").join(ends("b", "t"), "b")
     span = local_m(F.col("f.lon"), F.col("f.lat"), F.col("t.lon"), F.col("t.lat"))
