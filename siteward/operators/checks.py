@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from siteward.catalog import query
 from siteward.operators.admission import NEAREST, ORDER, RANKED, admit_first, nearest_by_rings, sim_walk
-from siteward.operators.field import field_of
 from siteward.operators.results import order_free_digest
-from siteward.operators.stand_ins import ARRIVALS, COUNTY, OUTCOMES, PEOPLE, SITES, arrivals, outcomes, people, read, sites
-from siteward.plans.exposure import RESTING, WALKING, exposures
+from siteward.operators.stand_ins import ARRIVALS, OUTCOMES, PEOPLE, SITES, arrivals, outcomes, people, read, sites
 
 
 @query("chk_run", f"""WITH {OUTCOMES}, r AS (SELECT arm, seed, count(*) AS n, count(DISTINCT person_id) AS ids, count(*) FILTER (dose_ug < 0) AS bad_dose, count(*) FILTER (state NOT IN ('SHELTERED', 'REFUSED_ALL_FULL', 'UNREACHABLE')) AS bad_state FROM outcomes GROUP BY arm, seed)
@@ -96,30 +94,6 @@ def chk_detour(spark, sf_dir):
     return detours_over(planned.join(walked, "person_id"), "band")
 
 
-def dose_faults(claimed: DataFrame, field: DataFrame, group: str) -> DataFrame:
-    """group, violations, n: doses that are not, within 1 %, WALKING times what is breathed on the way and RESTING times the rest. claimed:
-    depart_hour, arrive_hour, dose; both parts are added up hour by hour from the field (hour, c), once for each pair of hours
-    that occurs, and not taken from the prefix sums that gave the doses."""
-    pairs = claimed.select("depart_hour", "arrive_hour").distinct()
-    c, h = F.coalesce("c", F.lit(0.0)), F.col("hour")
-    inside = F.col("arrive_hour").isNotNull()
-    on_way = inside & (h >= F.least("depart_hour", "arrive_hour")) & (h < F.col("arrive_hour"))
-    hours = F.broadcast(field.select("hour", "c"))  # a row an hour of the study
-    parts = pairs.join(hours, ~inside | (h < F.col("arrive_hour")), "left").groupBy("depart_hour", "arrive_hour").agg(F.coalesce(F.sum(F.when(on_way, c)), F.lit(0.0)).alias("walk"), F.coalesce(F.sum(F.when(~on_way, c)), F.lit(0.0)).alias("rest"))
-    both = claimed.join(parts.select(F.col("depart_hour").alias("d"), F.col("arrive_hour").alias("a"), "walk", "rest"), F.col("depart_hour").eqNullSafe(F.col("d")) & F.col("arrive_hour").eqNullSafe(F.col("a")))
-    want = WALKING * F.col("walk") + RESTING * F.col("rest")
-    return both.groupBy(group).agg(F.count_if(F.abs(want - F.col("dose")) > 0.01 * want + 1e-6).alias("violations"), F.count(F.lit(1)).alias("n"))
-
-
-@query("chk_dose_identity", f"WITH {OUTCOMES} SELECT arm, 0::BIGINT AS violations, count(*) AS n FROM outcomes GROUP BY arm")
-def chk_dose_identity(spark, sf_dir):
-    """The doses of sim_exposure against their two parts."""
-    w = outcomes(spark, sf_dir).select("person_id", "arm", F.floor(F.col("depart_tick") / 60).alias("depart_hour"), F.when(F.col("state") == "SHELTERED", F.floor(F.col("arrive_tick") / 60)).alias("arrive_hour"))
-    f = field_of(spark, sf_dir).where(F.col("county") == COUNTY)
-    dose = exposures(w.select("person_id", "depart_hour", "arrive_hour"), f).select("person_id", "dose")
-    return dose_faults(w.join(dose, "person_id"), f, "arm")
-
-
 #: rule: predicate that a row breaks it.
 PART_RULES = {"size in range": "p_size NOT BETWEEN 1 AND 50", "price positive": "p_retailprice <= 0", "brand known": "p_brand NOT LIKE 'Brand#%'", "big parts cost": "p_size > 40 AND p_retailprice < 1000"}
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -306,23 +306,60 @@ def src_run_resolve(spark, sf_dir):
 STATUSES = ["forbidden", "superseded", "allowed"]
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A registry of claims in YAML's flow style, which is JSON: id, pattern, status and the flags, which are false by default. A claim
-    without a pattern, with an unknown status, or a superseded one without replacement fails."""
-    schema = "deliverables array<string>, claims array<struct<id:string,pattern:string,regex:boolean,case_insensitive:boolean,status:string,replacement:string,note:string>>"
-    c = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("claims"))
+def checked_rules(c: DataFrame) -> DataFrame:
+    """Claims with what is left out as it counts. A claim without a pattern, with an unknown status, or a superseded one without
+    replacement fails."""
     bad = F.col("pattern").isNull() | F.col("id").isNull() | ~F.coalesce(F.col("status").isin(STATUSES), F.lit(False)) | ((F.col("status") == "superseded") & F.col("replacement").isNull())
     status = F.when(bad, F.raise_error(F.concat(F.lit("bad claim "), F.coalesce("id", F.lit("without id")))).cast("string")).otherwise(F.col("status"))
     return c.select("id", "pattern", F.coalesce("regex", F.lit(False)).alias("regex"), F.coalesce("case_insensitive", F.lit(False)).alias("case_insensitive"), status.alias("status"), "replacement")
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A registry of claims in YAML's flow style, which is JSON: id, pattern, status and the flags, which are false by default."""
+    schema = "deliverables array<string>, claims array<struct<id:string,pattern:string,regex:boolean,case_insensitive:boolean,status:string,replacement:string,note:string>>"
+    return checked_rules(spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("claims")))
+
+
+#: A line of a block: what it is indented by, whether an item begins, its key, and its value; a value in quotes may hold anything.
+ENTRY = r"""^( *)(- +)?([A-Za-z_][A-Za-z0-9_]*):(?: +('(?:[^']|'')*'|"(?:[^"\\]|\\.)*"|[^'"#].*?))?(?: *| +#.*)$"""
+
+
+def read_block_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The same registry in YAML's block style: under `claims:`, items of `key: value` lines, values plain or in quotes. Comments and
+    empty lines are skipped; other top-level keys are, with what is under them. Another kind of line under claims, or a key twice in
+    an item, fails with its file and number. An empty list of claims is an empty table. A registry is one file, read as one row."""
+    line = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    line = line.select("file", (F.col("n") + 1).alias("n"), F.rtrim("line").alias("line")).where((F.trim("line") != "") & ~F.ltrim("line").startswith("#") & ~F.col("line").isin("---", "..."))
+    part = lambda k: F.regexp_extract("line", ENTRY, k)
+    by_line = Window.partitionBy("file").orderBy("n")  # the lines of a registry
+    top = F.when(~F.col("line").rlike("^[ -]"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("?")))
+    line = line.withColumns({"key": part(3), "starts": part(2) != "", "value": part(4), "top": F.last(top, ignorenulls=True).over(by_line)})
+    line = line.where((F.col("top") == "claims") & ~F.col("line").rlike(r"^claims: *(\[ *\])? *(#.*)?$"))
+    line = line.withColumn("item", F.sum(F.col("starts").cast("int")).over(by_line))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("file", "item", "key"))
+    where = F.concat(F.lit("line "), F.col("n").cast("string"), F.lit(" of "), F.col("file"), F.lit(": "), F.col("line"))
+    key = F.when((F.col("key") == "") | (F.col("item") == 0) | (twice > 1), F.raise_error(where).cast("string")).otherwise(F.col("key"))
+    v = F.col("value")
+    inner = v.substr(F.lit(2), F.length(v) - 2)
+    escaped = F.regexp_replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), r"\\(.)", "$1")
+    text = F.when(v.startswith("'"), F.replace(inner, F.lit("''"), F.lit("'"))).when(v.startswith('"'), escaped).otherwise(F.nullif(v, F.lit("")))
+    rows = line.select("file", "item", key.alias("key"), text.alias("value"))
+    names = ["id", "pattern", "regex", "case_insensitive", "status", "replacement"]
+    one = rows.groupBy("file", "item").agg(*(F.max(F.when(F.col("key") == c, F.col("value"))).alias(c) for c in names))
+    true = lambda c: F.lower(c).isin("true", "yes", "on")
+    return checked_rules(one.withColumns({"regex": true(F.col("regex")), "case_insensitive": true(F.col("case_insensitive"))}))
+
+
 @query("src_yaml_rules", "SELECT 'R' || n_nationkey AS id, n_name AS pattern, n_nationkey % 2 = 0 AS regex, false AS case_insensitive, CASE WHEN n_nationkey % 3 = 0 THEN 'superseded' ELSE 'forbidden' END AS status, CASE WHEN n_nationkey % 3 = 0 THEN 'say so' END AS replacement FROM nation")
 def src_yaml_rules(spark, sf_dir):
+    """A registry made of nations, written in block style and read again."""
     k = F.col("n_nationkey")
-    one = F.struct(F.concat(F.lit("R"), k.cast("string")).alias("id"), F.col("n_name").alias("pattern"), F.when(k % 2 == 0, F.lit(True)).alias("regex"), F.when(k % 3 == 0, "superseded").otherwise("forbidden").alias("status"), F.when(k % 3 == 0, "say so").alias("replacement"))
+    quoted = F.concat(F.lit("'"), F.replace("n_name", F.lit("'"), F.lit("''")), F.lit("'"))
+    item = F.concat_ws("\n", F.concat(F.lit("  - id: R"), k.cast("string")), F.concat(F.lit("    pattern: "), quoted, F.lit("  # a name")), F.when(k % 2 == 0, F.lit("    regex: true")), F.concat(F.lit("    status: "), F.when(k % 3 == 0, "superseded").otherwise("forbidden")), F.when(k % 3 == 0, F.lit('    replacement: "say so"')))
     path = _scratch(spark, "rules")
-    spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.collect_list(one).alias("claims")).withColumn("deliverables", F.array(F.lit("docs/*.md"))).coalesce(1).write.json(path)  # a registry's rules
-    return read_rules(spark, path)
+    items = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.concat_ws("\n", F.lit("# claims"), F.lit("deliverables:\n  - docs/*.md\nclaims:"), F.sort_array(F.collect_list(item))).alias("value"))  # a registry's rules
+    items.coalesce(1).write.text(path)
+    return read_block_rules(spark, path)
 
 
 def text_glob(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, list[str]]:

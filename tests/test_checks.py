@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteward.operators import checks, network
+from siteward.plans import exposure
 
 
 def test_admission_that_is_not_conserved(spark):
@@ -27,12 +28,12 @@ def test_a_walk_that_takes_too_long(spark):
 def test_a_dose_that_is_not_its_parts(spark):
     field = spark.createDataFrame([(h, None if h == 3 else float(h + 1)) for h in range(10)], "hour long, c double")
     who = [(1, 2, 6), (2, 0, None), (3, 5, 4), (4, 9, 40)]
-    doses = checks.exposures(spark.createDataFrame(who, "person_id long, depart_hour long, arrive_hour long"), field).select("person_id", "dose")
+    doses = exposure.exposures(spark.createDataFrame(who, "person_id long, depart_hour long, arrive_hour long"), field).select("person_id", "dose")
     claimed = spark.createDataFrame(who, "person_id long, depart_hour long, arrive_hour long").join(doses, "person_id").withColumn("arm", F.lit("x"))
-    assert tuple(checks.dose_faults(claimed, field, "arm").first()) == ("x", 0, 4)
+    assert tuple(exposure.dose_faults(claimed, field, "arm").first()) == ("x", 0, 4)
     for k in (1, 2, 3, 4):
         wrong = claimed.withColumn("dose", F.when(F.col("person_id") == k, F.col("dose") * 1.02).otherwise(F.col("dose")))
-        assert checks.dose_faults(wrong, field, "arm").first().violations == 1
+        assert exposure.dose_faults(wrong, field, "arm").first().violations == 1
 
 
 @pytest.mark.parametrize("name, column, value", [("T1", "again", 1010.0), ("T2", "walked", 1100.0), ("T3", "minutes", 2), ("T4 not", "straight", 1500.0), ("T4 circuity", "straight", 100.0)])

@@ -136,3 +136,35 @@ def test_greedy_siting(spark):
         want.append((best[1], capacity, sum(best[2].values())))
     got = exposure.p_median(spark.createDataFrame(demand, "group_id long, lon double, lat double, units long"), spark.createDataFrame(sites, "site_id long, lon double, lat double"), [10, 7, 40])
     assert [(x.site_id, x.capacity, x.served) for x in got.orderBy("step").collect()] == want
+
+
+BLOCK = """# a registry
+deliverables:
+  - docs/*.md
+claims:
+  - id: R1
+    pattern: 'it''s # not a comment'
+    status: forbidden
+  - id: R2   # a comment
+    pattern: "say \\"so\\""
+    regex: true
+    case_insensitive: Yes
+
+    status: superseded
+    replacement: plain words: with a colon
+other: x
+"""
+
+
+def test_rules_in_block_style(spark, tmp_path):
+    def read(text):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.yaml"
+        path.write_text(text)
+        return [tuple(r) for r in files.read_block_rules(spark, str(path)).orderBy("id").collect()]
+
+    assert read(BLOCK) == [("R1", "it's # not a comment", False, False, "forbidden", None), ("R2", 'say "so"', True, True, "superseded", "plain words: with a colon")]
+    assert read(BLOCK.replace("\n", "\r\n"))[0][1] == "it's # not a comment"
+    assert read("claims: []\n") == [] and read("") == []
+    for text, what in ((BLOCK.replace("    status: forbidden", "    status forbidden"), "line 7 of"), (BLOCK.replace("    status: forbidden", "    id: again"), "of file"), (BLOCK.replace("forbidden", "maybe"), "bad claim R1"), ("claims:\n    id: x\n", "line 2 of")):
+        with pytest.raises(Exception, match=what):
+            read(text)
