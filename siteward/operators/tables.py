@@ -118,13 +118,24 @@ def fn_escape(spark, sf_dir):
 WALL_CLOCK = r"(^|_)(time|date|wall|timestamp)(_|$)|date$"
 
 
-@query("fn_regex_excl_cols", "SELECT 'orders' AS \"table\", unnest(['o_custkey', 'o_orderkey', 'o_orderpriority', 'o_orderstatus', 'o_totalprice']) AS \"column\" UNION ALL SELECT 'events', unnest(['event_id', 'event_type', 'props', 'ts', 'user_id', 'value'])")
+_KEPT = {"orders": ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"], "events": ["event_id", "event_type", "props", "ts", "user_id", "value"]}
+
+
+@query("fn_regex_excl_cols", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count({c}) AS filled, count(DISTINCT {c}) AS different FROM {t}" for t, names in _KEPT.items() for c in names))
 def fn_regex_excl_cols(spark, sf_dir):
-    """The columns that a comparison keeps: those whose names do not say that they hold times."""
+    """What a comparison looks at: of each column whose name does not say that it holds times, how many rows have it and how many
+    values differ. Each table is read once, the kept columns only; values are told apart by their text."""
     import re
 
-    rows = [(t, c) for t in ("orders", "events") for c in read(spark, sf_dir, t).columns if not re.search(WALL_CLOCK, c)]
-    return spark.createDataFrame(rows, "table string, column string")
+    out = []
+    for t in _KEPT:
+        df = read(spark, sf_dir, t)
+        kept = [c for c in df.columns if not re.search(WALL_CLOCK, c)]
+        cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in kept))).alias("c")).select("c.*")
+        values = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))  # partly before the shuffle
+        of = values.groupBy("column").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("filled"), F.count("value").alias("different"))
+        out.append(of.select(F.lit(t).alias("table"), "column", "filled", "different"))
+    return out[0].unionByName(out[1])
 
 
 @query("win_seq_number", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS number FROM orders")
