@@ -1,4 +1,4 @@
-"""Polyline shapefiles: read with Spark's binary reader, one file a row, and written a file a slice through pyarrow's file systems.
+"""Polyline shapefiles: read by a data source that splits them by their indexes, and written a file a slice, through pyarrow's file systems.
 
 A shapefile is a header of 100 bytes and records of a number, a length and a shape; its attributes are in a dBase file of the
 same name. Reading stops at the first record that makes no sense and keeps what came before, as the study's reader does.
@@ -6,24 +6,32 @@ same name. Reading stops at the first record that makes no sense and keeps what
 
 from __future__ import annotations
 
+import io
+import json
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siteward.catalog import query
 from siteward.operators.network import SEGMENTS, segments
 from siteward.operators.relations import R_MERCATOR
-from siteward.session import scratch_root
+from siteward.session import materialize, scratch_root
 
 # Fixed values of the formats.
 MAGIC, VERSION, NULL_SHAPE, POLYLINE = 9994, 1000, 0, 3
 HEADER, DBF_FIELD = 100, 32
 MERCATOR = 'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere"]'
 
+#: Bytes that a reader asks a file for at a time.
+BLOCK = 1 << 20
+
 
 def shape_bytes(lines: list[list[list[tuple[float, float]]]]) -> bytes:
     """A polyline shapefile of features, each a list of parts; a feature without parts is a null shape."""
@@ -44,30 +52,62 @@ def shape_bytes(lines: list[list[list[tuple[float, float]]]]) -> bytes:
     return struct.pack(">7i", MAGIC, 0, 0, 0, 0, 0, (HEADER + len(body)) // 2) + struct.pack("<2i8d", VERSION, POLYLINE, *box, 0.0, 0.0, 0.0, 0.0) + body
 
 
+def index_bytes(shapes: bytes) -> bytes:
+    """The index of a shapefile: where each record is and how long, in words of two bytes."""
+    entries, pos = [], HEADER
+    while pos + 8 <= len(shapes):
+        words = struct.unpack(">i", shapes[pos + 4 : pos + 8])[0]
+        entries.append(struct.pack(">2i", pos // 2, words))
+        pos += 8 + 2 * words
+    return shapes[:24] + struct.pack(">i", (HEADER + 8 * len(entries)) // 2) + shapes[28:HEADER] + b"".join(entries)
+
+
+def shape_of(body: bytes) -> list[list[tuple[float, float]]] | None:
+    """A record's parts; None if it is of another kind or makes no sense."""
+    kind = struct.unpack("<i", body[:4])[0]
+    if kind == NULL_SHAPE:
+        return []
+    if kind != POLYLINE or len(body) < 44:
+        return None
+    parts, n = struct.unpack("<2i", body[36:44])
+    if parts < 0 or n < 0 or 44 + 4 * parts + 16 * n > len(body):
+        return None
+    starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), n]
+    flat = struct.unpack(f"<{2 * n}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * n])
+    points = list(zip(flat[::2], flat[1::2]))
+    return [points[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def records_of(file, pos: int, end: int, size: int) -> Iterator[list[list[tuple[float, float]]] | None]:
+    """The parts of the records from a place of an open shapefile of `size` bytes up to another, read as they are asked for; None,
+    and no more, at the first that is cut off or makes no sense. An error if no record ends at `end`, but for the file's end."""
+    file.seek(pos)
+    held = b""
+
+    def take(n: int) -> bytes:
+        nonlocal held
+        while len(held) < n and (more := file.read(max(BLOCK, n - len(held)))):
+            held += more
+        out, held = held[:n], held[n:]
+        return out
+
+    while pos < end and pos + 12 <= size:
+        words = struct.unpack(">i", take(8)[4:])[0]
+        shape = None
+        if 4 <= 2 * words <= size - pos - 8:
+            shape = shape_of(take(2 * words))
+        yield shape
+        if shape is None:
+            return
+        pos += 8 + 2 * words
+    if pos != end and end < size:
+        raise ValueError(f"the index names byte {end}, where no record begins")
+
+
 def shapes_of(content: bytes) -> Iterator[list[list[tuple[float, float]]]]:
     """The features' parts, up to the first record that is cut off or of another kind."""
-    if len(content) < HEADER or struct.unpack(">i", content[:4])[0] != MAGIC:
-        return
-    pos = HEADER
-    while pos + 12 <= len(content):
-        size = struct.unpack(">i", content[pos + 4 : pos + 8])[0] * 2
-        body = content[pos + 8 : pos + 8 + size]
-        if len(body) < size or size < 4:
-            return
-        kind = struct.unpack("<i", body[:4])[0]
-        if kind == NULL_SHAPE:
-            yield []
-        elif kind == POLYLINE and size >= 44:
-            parts, n = struct.unpack("<2i", body[36:44])
-            if parts < 0 or n < 0 or 44 + 4 * parts + 16 * n > size:
-                return
-            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), n]
-            flat = struct.unpack(f"<{2 * n}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * n])
-            points = list(zip(flat[::2], flat[1::2]))
-            yield [points[a:b] for a, b in zip(starts, starts[1:])]
-        else:
-            return
-        pos += 8 + size
+    if len(content) >= HEADER and struct.unpack(">i", content[:4])[0] == MAGIC:
+        yield from (s for s in records_of(io.BytesIO(content), HEADER, len(content), len(content)) if s is not None)
 
 
 def table_bytes(fields: list[tuple[str, int]], rows: list[list[str]]) -> bytes:
@@ -78,24 +118,50 @@ def table_bytes(fields: list[tuple[str, int]], rows: list[list[str]]) -> bytes:
     return head + b"".join(b" " + b"".join(v.encode("utf-8")[:w].ljust(w) for v, (_, w) in zip(row, fields)) for row in rows) + b"\x1a"
 
 
-def rows_of(content: bytes) -> Iterator[dict[str, str | None]]:
-    """A dBase table's rows as trimmed texts, blanks as None; rows marked as deleted are kept, as they count for the shapes."""
-    if len(content) < 33:
-        return
-    n, head, width = struct.unpack("<IHH", content[4:12])
-    fields, pos = [], 32
-    while pos + DBF_FIELD <= head and content[pos : pos + 1] != b"\r":
-        fields.append((content[pos : pos + 11].split(b"\0")[0].decode(), content[pos + 16]))
+def layout_of(file) -> tuple[int, int, int, list[tuple[str, int]]]:
+    """Rows, bytes of the head and of a row, and fields (name, width) of an open dBase table; no rows where the head is cut off."""
+    start = file.read(32)
+    if len(start) < 32:
+        return 0, 0, 0, []
+    n, head, width = struct.unpack("<IHH", start[4:12])
+    rest, fields, pos = file.read(max(0, head - 32)), [], 0
+    while pos + DBF_FIELD <= len(rest) and rest[pos : pos + 1] != b"\r":
+        fields.append((rest[pos : pos + 11].split(b"\0")[0].decode(), rest[pos + 16]))
         pos += DBF_FIELD
-    for k in range(n):
-        row = content[head + k * width : head + (k + 1) * width]
-        if len(row) < width:
+    return n, head, width, fields
+
+
+def rows_from(file, first: int = 0) -> Iterator[dict[str, str | None]]:
+    """An open dBase table's rows from one on, as trimmed texts, blanks as None, read as they are asked for; rows marked as deleted
+    are kept, as they count for the shapes."""
+    n, head, width, fields = layout_of(file)
+    if not width:
+        return
+    file.seek(head + first * width)
+    k, some = first, max(1, BLOCK // width)
+    while k < n:
+        block = file.read(min(some, n - k) * width)
+        if len(block) < width:
             return
-        out, at = {}, 1
-        for name, w in fields:
-            out[name] = row[at : at + w].decode("utf-8", "replace").strip() or None
-            at += w
-        yield out
+        for i in range(len(block) // width):
+            row, out, at = block[i * width : (i + 1) * width], {}, 1
+            for name, w in fields:
+                out[name] = row[at : at + w].decode("utf-8", "replace").strip() or None
+                at += w
+            yield out
+        k += len(block) // width
+
+
+def rows_of(content: bytes) -> Iterator[dict[str, str | None]]:
+    """The rows of a dBase table in memory."""
+    return rows_from(io.BytesIO(content))
+
+
+def folder_of(path: str):
+    """pyarrow's file system of a path or URI, and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
 
 def write_shapefiles(df: DataFrame, path: str, fields: dict[str, int], rows: int = 20_000) -> None:
@@ -103,15 +169,14 @@ def write_shapefiles(df: DataFrame, path: str, fields: dict[str, int], rows: int
     fields: {column: width} of the attributes."""
 
     def put(batch: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
         batch = batch.sort_values("seq")
-        system, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system, root = folder_of(path)
         system.create_dir(root, recursive=True)
         name = f"{root}/part-{int(batch['seq'].iloc[0]):012d}"
         lines = [[[(p["x"], p["y"]) for p in part] for part in (parts if parts is not None else ())] for parts in batch["parts"]]
         texts = [["" if v is None or v != v else str(v) for v in row] for row in batch[list(fields)].itertuples(index=False)]
-        for end, content in (("shp", shape_bytes(lines)), ("dbf", table_bytes(list(fields.items()), texts)), ("prj", MERCATOR.encode())):
+        shapes = shape_bytes(lines)
+        for end, content in (("shp", shapes), ("shx", index_bytes(shapes)), ("dbf", table_bytes(list(fields.items()), texts)), ("prj", MERCATOR.encode())):
             with system.open_output_stream(f"{name}.{end}") as out:
                 out.write(content)
         return pd.DataFrame({"n": [len(batch)]})
@@ -121,42 +186,114 @@ def write_shapefiles(df: DataFrame, path: str, fields: dict[str, int], rows: int
     shaped = shaped.withColumn("parts", F.to_json("parts"))
 
     def decode(batch: pd.DataFrame) -> pd.DataFrame:
-        import json
-
         batch["parts"] = [json.loads(p) if p else [] for p in batch["parts"]]
         return put(batch)
 
     shaped.groupBy("_file").applyInPandas(decode, "n long").write.format("noop").mode("overwrite").save()
 
 
-def read_shapefiles(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+@dataclass
+class Split(InputPartition):
+    """Records of a shapefile, the last one not included; None: all that follow."""
+
+    base: str
+    first: int
+    last: int | None
+
+
+class ShapeReader(DataSourceReader):
+    """Splits files by their indexes, so that a task seeks its first record and holds one batch of features."""
+
+    def __init__(self, options: dict):
+        self.path, self.fields = options["path"], json.loads(options["fields"])
+        self.records, self.faults = int(options["records"]), options["faults"] == "true"
+
+    def partitions(self) -> list[Split]:
+        from pyarrow import fs
+
+        system, root = folder_of(self.path)
+        found = {i.path: i.size for i in system.get_file_info(fs.FileSelector(root)) if i.is_file}
+        out = []
+        for base in sorted(p[:-4] for p in found if p.endswith(".shp")):
+            n = max(0, (found.get(f"{base}.shx", 0) - HEADER) // 8)
+            firsts = list(range(0, n, self.records)) or [0]
+            out += [Split(base, k, after) for k, after in zip(firsts, [*firsts[1:], None])]
+        return out or [Split("", 0, None)]
+
+    def read(self, split: Split) -> Iterator:
+        import pyarrow as pa
+
+        if not split.base:
+            return
+        system, _ = folder_of(self.path)
+        there = lambda end: system.get_file_info(f"{split.base}.{end}").is_file
+        name = split.base.rsplit("/", 1)[-1]
+        with ExitStack() as files:
+            open_ = lambda end: files.enter_context(system.open_input_file(f"{split.base}.{end}"))
+            shp = open_("shp")
+            size = shp.size()
+            if size < HEADER or struct.unpack(">i", shp.read(4))[0] != MAGIC:
+                return
+            places = {0: HEADER, None: size}
+            for k in {split.first, split.last} - set(places):
+                index = open_("shx")
+                index.seek(HEADER + 8 * k)
+                places[k] = 2 * struct.unpack(">i", index.read(4))[0]
+            shapes = enumerate(records_of(shp, places[split.first], places[split.last], size), split.first)
+            if self.faults:
+                bad = [k for k, shape in shapes if shape is None]
+                if bad:
+                    yield pa.RecordBatch.from_pylist([{"file": name, "number": bad[0]}], schema=pa.schema([("file", pa.string()), ("number", pa.int64())]))
+                return
+            mercator = there("prj") and b"Mercator" in open_("prj").read()
+            rows = rows_from(open_("dbf"), split.first) if there("dbf") else iter(())
+            points = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+            schema = pa.schema([("file", pa.string()), ("number", pa.int64()), ("points", points), *((f, pa.string()) for f in self.fields), ("mercator", pa.bool_())])
+            held, n = [], 0
+            for k, shape in shapes:
+                if shape is None:
+                    break
+                row = next(rows, {})
+                held.append({"file": name, "number": k, "points": [[{"x": x, "y": y} for x, y in part] for part in shape], "mercator": mercator} | {f: row.get(f) for f in self.fields})
+                n += sum(map(len, shape))
+                if len(held) == 5_000 or n > 50_000:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+class ShapeSource(DataSource):
+    """Options: path (a folder), fields (a list as JSON), records (of a split), faults ("true": only the first bad record of each
+    split)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "siteward_shapes"
+
+    def schema(self) -> str:
+        if self.options["faults"] == "true":
+            return "file string, number long"
+        fields = "".join(f", `{f}` string" for f in json.loads(self.options["fields"]))
+        return f"file string, number long, points array<array<struct<x:double,y:double>>>{fields}, mercator boolean"
+
+    def reader(self, schema) -> ShapeReader:
+        return ShapeReader(self.options)
+
+
+def read_shapefiles(spark: SparkSession, path: str, fields: list[str], records: int = 50_000) -> DataFrame:
     """file, number, parts (array of arrays of lon, lat), and the fields as texts, of all shapefiles in a folder. Coordinates are
-    brought to degrees where the projection file names Web Mercator. A file is one task's; features come out as they are read."""
-    load = lambda end: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{end}").load(path).select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("file"), F.col("content").alias(end))
-    files = load("shp").join(load("dbf"), "file", "left").join(load("prj"), "file", "left")
-    schema = "file string, number long, points string, " + ", ".join(f"`{f}` string" for f in fields)
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-        from itertools import zip_longest
-
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                mercator = r.prj is not None and b"Mercator" in bytes(r.prj)
-                held = []
-                for k, (shape, row) in enumerate(zip_longest(shapes_of(bytes(r.shp)), rows_of(bytes(r.dbf or b"")))):
-                    if shape is None:
-                        break
-                    held.append((r.file, k, json.dumps([[{"x": x, "y": y} for x, y in part] for part in shape]), *((row or {}).get(f) for f in fields), mercator))
-                    if len(held) == 5_000:
-                        yield pd.DataFrame(held, columns=["file", "number", "points", *fields, "mercator"])
-                        held = []
-                yield pd.DataFrame(held, columns=["file", "number", "points", *fields, "mercator"])
-
-    raw = files.mapInPandas(features, schema + ", mercator boolean")
-    parts = F.from_json("points", "array<array<struct<x:double,y:double>>>")
+    brought to degrees where the projection file names Web Mercator. A task reads `records` records of a file with an index, or all
+    of one without. What follows a file's first bad record is left out, whichever task it is in: a pass over the shapes alone looks
+    for these first."""
+    spark.dataSource.register(ShapeSource)
+    load = lambda faults: spark.read.format(ShapeSource.name()).options(path=path, fields=json.dumps(fields), records=str(records), faults=faults).load()
+    raw = load("false")
+    bad = materialize(load("true").groupBy("file").agg(F.min("number").alias("bad")), "bad-shapes")
+    if not bad.isEmpty():
+        raw = raw.join(bad, "file", "left").where("bad IS NULL OR number < bad")
     degrees = lambda p: F.struct(F.when(F.col("mercator"), F.degrees(p["x"] / R_MERCATOR)).otherwise(p["x"]).alias("lon"), F.when(F.col("mercator"), F.degrees(F.atan(F.sinh(p["y"] / R_MERCATOR)))).otherwise(p["y"]).alias("lat"))
-    return raw.select("file", "number", F.transform(parts, lambda part: F.transform(part, degrees)).alias("parts"), *fields)
+    return raw.select("file", "number", F.transform("points", lambda part: F.transform(part, degrees)).alias("parts"), *fields)
 
 
 def _streets(spark, sf_dir: str) -> DataFrame:

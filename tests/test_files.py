@@ -25,6 +25,54 @@ def test_shapes_come_back_as_they_were():
     assert len(list(shapes.rows_of(table[:-8]))) == 2
 
 
+def put_shapes(folder, name, lines, rows, cut=0, index=True):
+    content = shapes.shape_bytes(lines)
+    (folder / f"{name}.shp").write_bytes(content[: len(content) - cut])
+    (folder / f"{name}.dbf").write_bytes(shapes.table_bytes([("ID", 3)], rows))
+    if index:
+        (folder / f"{name}.shx").write_bytes(shapes.index_bytes(content))
+
+
+def test_shapefiles_are_split_by_their_index(spark, tmp_path):
+    lines = [[[(float(k), 1.0), (2.0, float(k))]] if k % 5 else [] for k in range(23)]
+    rows = [[str(k)] for k in range(23)]
+    put_shapes(tmp_path, "whole", lines, rows)
+    put_shapes(tmp_path, "plain", lines, rows, index=False)
+    put_shapes(tmp_path, "short", lines, rows[:9])
+    # The last record is cut off; the index still names it.
+    put_shapes(tmp_path, "cut", lines, rows, cut=8)
+    df = shapes.read_shapefiles(spark, str(tmp_path), ["ID", "NONE"], records=4)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.file, {})[r.number] = ([[(p.lon, p.lat) for p in part] for part in r.parts], r.ID, r.NONE)
+    want = {k: (lines[k], str(k), None) for k in range(23)}
+    assert got["whole"] == got["plain"] == want
+    assert got["short"] == {k: (lines[k], str(k) if k < 9 else None, None) for k in range(23)}
+    assert got["cut"] == {k: want[k] for k in range(22)}
+    # Six splits a file with an index, one without; a task holds no more than a split.
+    assert df.rdd.getNumPartitions() >= 7
+
+
+def test_what_follows_a_bad_record_is_left_out_in_other_splits_too(spark, tmp_path):
+    lines = [[[(float(k), 1.0), (2.0, 3.0)]] for k in range(12)]
+    content = bytearray(shapes.shape_bytes(lines))
+    content[shapes.HEADER + 2 * (len(content) - shapes.HEADER) // 12 + 8] = 99  # the third record is of another kind
+    (tmp_path / "a.shp").write_bytes(bytes(content))
+    (tmp_path / "a.shx").write_bytes(shapes.index_bytes(bytes(content)))
+    (tmp_path / "b.shp").write_bytes(b"x" * 300)
+    assert sorted(r.number for r in shapes.read_shapefiles(spark, str(tmp_path), [], records=3).collect()) == [0, 1]
+
+
+def test_an_index_that_does_not_fit_is_an_error(spark, tmp_path):
+    content = shapes.shape_bytes([[[(float(k), 1.0), (2.0, 3.0)]] for k in range(6)])
+    index = bytearray(shapes.index_bytes(content))
+    index[shapes.HEADER + 8 * 3 + 3] += 2
+    (tmp_path / "a.shp").write_bytes(content)
+    (tmp_path / "a.shx").write_bytes(bytes(index))
+    with pytest.raises(Exception, match="no record begins"):
+        shapes.read_shapefiles(spark, str(tmp_path), [], records=3).collect()
+
+
 def test_tolerant_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('﻿id, name ,n\r\n1," padded ",2\r\n\r\n2,"say ""x"""\r\n3,a,b,surplus\r\n'.encode())
     rows = [tuple(r) for r in files.read_tolerant(spark, str(tmp_path / "a.csv")).orderBy("id").collect()]
