@@ -20,9 +20,9 @@ LATITUDE_WEIGHT = 1.42
 TERMS, FAR = 120, 8.0
 
 
-def ellipsoid_metres(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Lengths of geodesics between points in degrees, by iterating the longitude on the auxiliary sphere (Vincenty 1975); to
-    about 0.1 mm. NaN where an end is NaN or the ends are so nearly antipodal that the iteration does not settle."""
+def ellipsoid_inverse(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of geodesics between points in degrees, and the azimuths (radians) at which they set out, by iterating the longitude
+    on the auxiliary sphere (Vincenty 1975); to about 0.1 mm. NaN where an end is NaN or the ends are so nearly antipodal that the iteration does not settle."""
     a, f = WGS84_A, WGS84_F
     b = a * (1 - f)
     u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(x))) for x in (lat1, lat2))
@@ -48,7 +48,41 @@ def ellipsoid_metres(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2:
         big = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
         small = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
         turn = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-        return np.where(moved <= 1e-12, b * big * (sigma - turn), np.nan)
+        azimuth = np.arctan2(cu2 * sl, cu1 * su2 - su1 * cu2 * cl)
+        return np.where(moved <= 1e-12, b * big * (sigma - turn), np.nan), np.where(moved <= 1e-12, azimuth, np.nan)
+
+
+def ellipsoid_metres(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """The lengths of ellipsoid_inverse()."""
+    return ellipsoid_inverse(lon1, lat1, lon2, lat2)[0]
+
+
+def ellipsoid_direct(lon1: np.ndarray, lat1: np.ndarray, azimuth: np.ndarray, metres: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Where geodesics from points in degrees end that set out at an azimuth (radians) and are so long, by iterating the arc on the
+    auxiliary sphere; to about 0.1 mm. NaN where anything is NaN."""
+    a, f = WGS84_A, WGS84_F
+    b = a * (1 - f)
+    with np.errstate(all="ignore"):
+        u = np.arctan((1 - f) * np.tan(np.radians(lat1)))
+        su, cu, sz, cz = np.sin(u), np.cos(u), np.sin(azimuth), np.cos(azimuth)
+        start = np.arctan2(su, cu * cz)
+        sa = cu * sz
+        c2 = 1 - sa * sa
+        q = c2 * (a * a - b * b) / (b * b)
+        big = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
+        small = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
+        arc = metres / (b * big)
+        for _ in range(rounds):
+            ss, cs, cm = np.sin(arc), np.cos(arc), np.cos(2 * start + arc)
+            new = metres / (b * big) + small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+            moved, arc = np.abs(new - arc), new
+            if not (moved > 1e-13).any():
+                break
+        ss, cs, cm = np.sin(arc), np.cos(arc), np.cos(2 * start + arc)
+        lat2 = np.arctan2(su * cs + cu * ss * cz, (1 - f) * np.hypot(sa, su * ss - cu * cs * cz))
+        c = f / 16 * c2 * (4 + f * (4 - 3 * c2))
+        lon = np.arctan2(ss * sz, cu * cs - su * ss * cz) - (1 - c) * f * sa * (arc + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+        return (lon1 + np.degrees(lon) + 540) % 360 - 180, np.degrees(lat2)
 
 
 def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -68,6 +102,30 @@ def fn_geodesic(spark, sf_dir):
     return p.select("person_id", F.round(geodesic("lon", "lat", F.lit(-122.5), F.lit(45.5)), 4).alias("metres"))
 
 
+def step_along(lon1: Column, lat1: Column, lon2: Column, lat2: Column, metres: Column) -> Column:
+    """A struct (lon, lat, left) of who has gone so many metres of the geodesic from the first point to the second, and what is left of
+    it: the second point and 0 for whoever gets there. Nulls where ellipsoid_inverse() has no length or anything is null."""
+
+    @F.pandas_udf("lon double, lat double, left double")
+    def moved(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, m: pd.Series) -> pd.DataFrame:
+        x1, y1, x2, y2, go = (x.to_numpy(np.float64) for x in (a, b, c, d, m))
+        whole, azimuth = ellipsoid_inverse(x1, y1, x2, y2)
+        lon, lat = ellipsoid_direct(x1, y1, azimuth, go)
+        there = go >= whole
+        return pd.DataFrame({"lon": np.where(there, x2, lon), "lat": np.where(there, y2, lat), "left": np.where(there, 0.0, whole - go)})
+
+    s = moved(lon1, lat1, lon2, lat2, metres)
+    none = F.lit(None).cast("double")
+    return F.struct(*(F.nanvl(s[k], none).alias(k) for k in ("lon", "lat", "left")))
+
+
+@query("fn_geodesic_step")
+def fn_geodesic_step(spark, sf_dir, minutes: int = 60):
+    """Where each person is who walks towards a fixed point, after so many minutes."""
+    p = people(spark, sf_dir).select("person_id", step_along("lon", "lat", F.lit(-122.5), F.lit(45.5), F.col("speed_mps") * 60 * minutes).alias("s"))
+    return p.select("person_id", F.round("s.lon", 9).alias("lon"), F.round("s.lat", 9).alias("lat"), F.round("s.left", 4).alias("left_m"))
+
+
 def normal_cdf(x: Column) -> Column:
     """The standard normal distribution function by its series x + x^3/3 + x^5/15 + ..., in built-in functions only."""
     sq = x * x

@@ -40,19 +40,6 @@ def jn_anti(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-@query("jn_belief_exclusion", f"WITH {PEOPLE}, {SITES} SELECT person_id, count(*) AS choices, min(site_id) AS first_choice, sum(site_id)::BIGINT AS ids FROM people, sites WHERE operating AND site_id % 7 <> person_id % 7 AND NOT (site_id % 5 = 2 AND person_id % 8 = 0) GROUP BY person_id")
-def jn_belief_exclusion(spark, sf_dir):
-    """Each person's choice set without the sites that refused them, as its size and sums: what all sites give, less what the
-    refusals do. Refusals are rows (person, site); choice sets are not written out."""
-    s = sites(spark, sf_dir).where("operating").select("site_id", (F.col("site_id") % 7).alias("k"))
-    p = people(spark, sf_dir).select("person_id", (F.col("person_id") % 7).alias("k"), (F.col("person_id") % 8 == 0).alias("pet"))
-    # Sites by what they refuse: groups of a bounded number, which people meet by equality.
-    of = s.withColumn("pets_out", F.col("site_id") % 5 == 2).groupBy("k", "pets_out").agg(F.count(F.lit(1)).alias("n"), F.min("site_id").alias("first"), F.sum("site_id").alias("ids"))
-    all_ = of.select(F.col("k").alias("site_k"), "pets_out", "n", "first", "ids")
-    open_to = p.join(F.broadcast(all_), (F.col("k") != F.col("site_k")) & ~(F.col("pets_out") & F.col("pet")))
-    return open_to.groupBy("person_id").agg(F.sum("n").alias("choices"), F.min("first").alias("first_choice"), F.sum("ids").alias("ids"))
-
-
 #: id: (pattern, case-insensitive) of claims that a text may not make.
 RULES = {"R1": ("guarantee[ds]?", True), "R2": ("[0-9]{4}-[0-9]{2}-[0-9]{2}", False), "R3": ("licen[cs]ed? under", True), "R4": ("[A-Z]{6,}", False)}
 

@@ -180,3 +180,41 @@ def test_running_sums_and_quantiles(spark):
         k = int(at)
         assert q[g] == pytest.approx((mine[0], mine[k] + (mine[k + 1] - mine[k]) * (at - k), mine[-1]))
     assert sorted(v.number for v in ranks.numbered(df.where("x IS NOT NULL").select("x").distinct(), [], ["x"]).collect()) == list(range(df.select("x").distinct().count() - 1))
+
+
+def test_refusals_are_rows(spark):
+    d = "/root/testdata/sf0.001"
+    ends = {r.person_id: r for r in behaviour.study(spark, d).collect()}
+    seen = {}
+    for r in behaviour.sim_refusals(spark, d).collect():
+        seen.setdefault(r.person_id, []).append((r.nth, r.site_id))
+    assert {k: len(v) for k, v in seen.items()} == {k: e.refusals for k, e in ends.items() if e.refusals}
+    assert all([n for n, _ in sorted(v)] == list(range(1, len(v) + 1)) for v in seen.values())
+    assert all(ends[k].state != "SHELTERED" or ends[k].site_id not in {s for _, s in v} for k, v in seen.items())
+
+
+def test_choices_without_refusing_sites(spark):
+    r = random.Random(2)
+    # A third of all people at one point.
+    who = [(k, -122.5, 45.5, k % 7) if k % 3 == 0 else (k, r.uniform(-122.7, -122.3), r.uniform(45.4, 45.6), k % 7) for k in range(90)]
+    where = [(k, r.uniform(-122.7, -122.3), r.uniform(45.4, 45.6), (None, 0, 2, 5)[k % 4]) for k in range(12)]
+    w = spark.createDataFrame([*who, (900, None, None, 1)], "person_id long, lon double, lat double, tick int")
+    s = spark.createDataFrame(where, "site_id long, lon double, lat double, capacity int")
+
+    def metres(p, q):
+        a = math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(a))
+
+    asked = {}
+    for p in who:
+        asked.setdefault(min(where, key=lambda q: (round(metres(p, q), 6), q[0]))[0], []).append((p[3], p[0]))
+    beds = {q[0]: q[3] for q in where}
+    refused = {(p, q) for q, line in asked.items() if beds[q] is not None for _, p in sorted(line)[beds[q] :]}
+    got = behaviour.turned_away(w, s)
+    assert {tuple(x) for x in got.collect()} == refused and refused
+    want = {(p[0], q[0]) for p in who for q in where if metres(p, q) <= 9_000} - refused
+    left = behaviour.choices_left(w, s, got.unionByName(got), 9_000).collect()
+    assert {(x.person_id, x.site_id) for x in left} == want and len(left) == len(want)
+    nothing = got.limit(0)
+    assert behaviour.choices_left(w, s, nothing, 9_000).count() == len(want | {(p, q) for p, q in refused if metres(who[p], where[q]) <= 9_000})
+    assert behaviour.choices_left(w.limit(0), s, nothing).isEmpty() and behaviour.turned_away(w, s.limit(0)).isEmpty()

@@ -137,6 +137,20 @@ def test_known_geodesics(spark):
     assert got[4:] == [None, None]
 
 
+def test_steps_along_geodesics(spark):
+    r = random.Random(8)
+    rows = [(r.uniform(-180, 180), r.uniform(-89, 89), r.uniform(-180, 180), r.uniform(-89, 89), r.uniform(0, 9e6)) for _ in range(200)]
+    rows += [(0.0, 0.0, 2.0, 0.0, 111319.4908), (0.0, 0.0, 0.0, 90.0, 5e6), (10.0, 20.0, 10.0, 20.0, 0.0), (179.9, 0.0, -179.9, 0.0, 2e4), (1.0, 1.0, 1.001, 1.0, 1e6), (None, 0.0, 1.0, 1.0, 1.0), (0.0, 0.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, m double")
+    df = df.withColumn("s", geometry.step_along(*(F.col(c) for c in "abcdm"))).select("*", geometry.geodesic("a", "b", "c", "d").alias("whole"), geometry.geodesic("a", "b", "s.lon", "s.lat").alias("gone"), geometry.geodesic("s.lon", "s.lat", "c", "d").alias("rest"))
+    got = df.collect()
+    for x in got[:-2]:
+        # The way gone and the way that is left are one geodesic.
+        assert abs(x.gone - min(x.m, x.whole)) < 1e-3 and abs(x.rest - x.s.left) < 1e-3 and abs(x.gone + x.rest - x.whole) < 2e-3
+    assert abs(got[200].s.lon - 1) < 1e-8 and got[204].s.left == 0 and got[204].s.lon == 1.001
+    assert [tuple(x.s) for x in got[-2:]] == [(None,) * 3] * 2
+
+
 def test_normal_distribution(spark):
     import math
 
