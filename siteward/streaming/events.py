@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siteward.catalog import query
@@ -20,6 +21,10 @@ from siteward.operators.stand_ins import ARRIVALS, SITES, sites
 from siteward.session import scratch_root
 
 
+#: Milliseconds of a tick.
+TICK_MS = 60_000
+
+
 def stream_of(spark: SparkSession, sf_dir: str, name: str, files_a_trigger: int = 1) -> DataFrame:
     """A table's files as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -65,6 +70,57 @@ def admit_stream(arrived: DataFrame, capacities: DataFrame) -> DataFrame:
     return with_beds.groupBy("site_id").applyInPandasWithState(door, "site_id long, person_id long, tick long", "taken long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Doors(StatefulProcessor):
+    """A site's arrivals wait in a list until the watermark is past their tick, and are let in by (tick, person_id) then. Of a full site
+    only the number of beds taken is kept."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getValueState("taken", "n long")
+        self.waiting = handle.getListState("waiting", "tick long, person_id long, capacity long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        taken = self.taken.get()[0] if self.taken.exists() else 0
+        for batch in rows:
+            batch = batch[batch["capacity"].isna() | (batch["capacity"] > taken)]
+            if len(batch):
+                free = batch["capacity"].isna()
+                self.waiting.appendList([(int(t), int(p), -1 if f else int(c)) for t, p, c, f in zip(batch["tick"], batch["person_id"], batch["capacity"], free)])
+                for ms in set((batch["tick"] * TICK_MS).tolist()):
+                    self.handle.registerTimer(int(ms) + 1)
+        yield pd.DataFrame({"site_id": [], "person_id": [], "tick": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.getCurrentWatermarkInMs()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted(tuple(w) for w in waiting if w[0] * TICK_MS < past)
+        taken = self.taken.get()[0] if self.taken.exists() else 0
+        if due:
+            # The first of a trigger's timers takes all that is due; the others find nothing.
+            beds = due[0][2]
+            let_in = due if beds < 0 else due[: max(0, beds - taken)]
+            taken += len(let_in)
+            self.taken.update((taken,))
+            rest = [tuple(w) for w in waiting if w[0] * TICK_MS >= past] if beds < 0 or taken < beds else []
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            yield pd.DataFrame([(key[0], p, t) for t, p, _ in let_in], columns=["site_id", "person_id", "tick"]).astype("int64")
+        else:
+            yield pd.DataFrame({"site_id": [], "person_id": [], "tick": []}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def admit_ordered(arrived: DataFrame, capacities: DataFrame, late: str = "60 minutes") -> DataFrame:
+    """site_id, person_id, tick of those let in, whatever the order in which the stream brings arrivals (site_id, person_id, tick in
+    minutes), as long as it brings none later than `late`; later ones, and rows with nulls, count as not come. What waits is as
+    much as comes within `late`."""
+    arrived.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    a = arrived.where("site_id IS NOT NULL AND person_id IS NOT NULL AND tick IS NOT NULL").withColumn("at", F.timestamp_millis(F.col("tick") * TICK_MS)).withWatermark("at", late)
+    a = a.join(capacities.select("site_id", F.col("capacity").cast("long").alias("capacity")), "site_id")
+    return a.groupBy("site_id").transformWithStateInPandas(Doors(), "site_id long, person_id long, tick long", "append", "EventTime")
+
+
 def exposure_stream(events: DataFrame, level: float = 55.5) -> DataFrame:
     """user_id, n, total, over: each person's sums so far, after each trigger that changes them (update mode)."""
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("value") >= level).alias("over"))
