@@ -39,6 +39,22 @@ def test_places_are_those_of_claims_in_order(spark, seed):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+@pytest.mark.parametrize("lat", (80.0, 89.9995, 90.0, 120.0))
+def test_places_at_high_latitudes(spark, lat):
+    r = random.Random(9)
+    wide = 0.002 / max(abs(math.cos(math.radians(lat))), 1e-4)
+    claims = [(r.randrange(2), k, -122 + r.gauss(0, wide), lat + r.gauss(0, 0.0015)) for k in range(120)]
+    places: dict[int, list] = {}
+    for attr, k, lon, y in claims:
+        if not any(metres((lon, y), p[1:]) <= 100 for p in places.setdefault(attr, [])):
+            places[attr].append((k, lon, y))
+    got, assigned = network.cluster_claims(spark.createDataFrame(claims, "attr long, claim long, lon double, lat double"))
+    assert {(x.attr, x.place) for x in got.collect()} == {(a, p[0]) for a, ps in places.items() for p in ps}
+    rows = {(x.attr, x.lon, x.lat): x.place for x in assigned.collect()}
+    for attr, _, lon, y in claims:
+        assert rows[attr, lon, y] == next(p[0] for p in places[attr] if metres((lon, y), p[1:]) <= 100)
+
+
 def test_trees_by_tiles_are_dijkstras(spark):
     r = random.Random(3)
     n = 60
