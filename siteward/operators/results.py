@@ -162,11 +162,18 @@ def order_free_digest(cols: list[str]) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *(F.sum(part(k)).alias(f"h{k}") for k in range(4))]
 
 
+def wrapped(total: Column) -> Column:
+    """A whole decimal of 0 or more as the signed long that it is modulo 2^64; below 2^63 itself."""
+    low = total % F.lit(str(2**64)).cast("decimal(20,0)")
+    return F.when(low >= F.lit(str(2**63)).cast("decimal(20,0)"), low - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(low).cast("long")
+
+
 @query("agg_hash_group", f"""WITH {OUTCOMES}, h AS (SELECT arm, sha256(concat_ws(chr(31), coalesce(person_id::VARCHAR, chr(0)), coalesce(state, chr(0)))) AS h FROM outcomes)
 SELECT arm, count(*) AS n, sum(('0x' || substr(h, 1, 12))::BIGINT)::BIGINT AS h0, sum(('0x' || substr(h, 13, 12))::BIGINT)::BIGINT AS h1 FROM h GROUP BY arm""")
 def agg_hash_group(spark, sf_dir):
+    """Digests of the arms as longs: sums beyond 2^63, which the SQL's BIGINT has no room for, are taken modulo 2^64."""
     g = outcomes(spark, sf_dir).groupBy("arm").agg(*order_free_digest(["person_id", "state"]))
-    return g.select("arm", "n", F.col("h0").cast("long").alias("h0"), F.col("h1").cast("long").alias("h1"))
+    return g.select("arm", "n", wrapped(F.col("h0")).alias("h0"), wrapped(F.col("h1")).alias("h1"))
 
 
 @query("agg_realised_marginals", f"WITH {OUTCOMES}, b AS (SELECT arm, mobility_limited::INT + asthma::INT + copd::INT + chronic::INT AS barriers, mobility_limited, asthma FROM outcomes) SELECT arm, round(avg(mobility_limited::INT), 6) AS mobility, round(avg(asthma::INT), 6) AS asthma, round(avg((barriers >= 1)::INT), 6) AS any_barrier, round(avg((barriers >= 2)::INT), 6) AS two_barriers FROM b GROUP BY arm")

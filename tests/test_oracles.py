@@ -165,3 +165,11 @@ def test_stretched_nearest_by_rings_is_the_broadcast_one(spark):
     s = spark.createDataFrame([(k, r.uniform(-123, -122), r.uniform(45, 46)) for k in range(40)], "site_id long, lon double, lat double")
     got = [sorted(tuple(x) for x in geometry.nearest_stretched(who, s, most).collect()) for most in (100, 10)]
     assert got[0] == got[1] and len(got[0]) == 60
+
+
+def test_digests_beyond_a_long_wrap(spark):
+    from siteward.operators.results import wrapped
+
+    for n in (0, 5, 2**63 - 1, 2**63, 2**64 - 1, 3 * 2**64 + 7, 10**25):
+        got = spark.range(1).select(wrapped(F.lit(str(n)).cast("decimal(38,0)")).alias("w")).first().w
+        assert got == (n + 2**63) % 2**64 - 2**63
