@@ -127,12 +127,11 @@ def fn_geodesic_step(spark, sf_dir, minutes: int = 60):
 
 
 def normal_cdf(x: Column) -> Column:
-    """The standard normal distribution function by its series x + x^3/3 + x^5/15 + ..., in built-in functions only."""
-    sq = x * x
-    step = lambda s, k: F.struct((s["sum"] + s["term"] * sq / k).alias("sum"), (s["term"] * sq / k).alias("term"))
-    odd = F.transform(F.sequence(F.lit(1), F.lit(TERMS)), lambda n: (2 * n + 1).cast("double"))
-    total = F.aggregate(odd, F.struct(x.alias("sum"), x.alias("term")), step)["sum"]
-    inside = 0.5 + F.exp(-sq / 2) / math.sqrt(2 * math.pi) * total
+    """The standard normal distribution function by its series x + x^3/3 + x^5/15 + ..., nested from the last term on, in built-in
+    functions only; the list of divisors is a constant."""
+    odd = F.array(*(F.lit(2.0 * n + 1) for n in range(TERMS, 0, -1)))
+    chain = F.aggregate(odd, F.lit(1.0), lambda s, k: 1 + s * (x * x) / k)
+    inside = 0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * x * chain
     return F.when(x > FAR, 1.0).when(x < -FAR, 0.0).otherwise(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)))
 
 
@@ -141,7 +140,8 @@ SERIES = f"0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(rang
 
 @query("fn_norm_cdf", f"SELECT c_custkey, round(CASE WHEN z > {FAR} THEN 1 WHEN z < -{FAR} THEN 0 ELSE least(greatest({SERIES}, 0), 1) END, 8) AS p FROM (SELECT c_custkey, c_acctbal / 2000 AS z FROM customer)")
 def fn_norm_cdf(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey", F.round(normal_cdf(F.col("c_acctbal") / 2000), 8).alias("p"))
+    who = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").repartition("c_custkey")  # one file would be one task
+    return who.select("c_custkey", F.round(normal_cdf(F.col("c_acctbal") / 2000), 8).alias("p"))
 
 
 def stretched(lon1, lat1, lon2, lat2) -> Column:

@@ -173,3 +173,12 @@ def test_digests_beyond_a_long_wrap(spark):
     for n in (0, 5, 2**63 - 1, 2**63, 2**64 - 1, 3 * 2**64 + 7, 10**25):
         got = spark.range(1).select(wrapped(F.lit(str(n)).cast("decimal(38,0)")).alias("w")).first().w
         assert got == (n + 2**63) % 2**64 - 2**63
+
+
+@pytest.mark.parametrize("name", ("sim_awareness", "fn_norm_cdf"))
+def test_people_of_one_file_are_dealt_out(spark, name):
+    assert "RepartitionByExpression" in catalog.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_asked_pairs_are_not_made(spark):
+    assert "Join Inner" not in catalog.QUERIES["gr_has_edge"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
