@@ -234,3 +234,30 @@ def test_choices_without_refusing_sites(spark):
     nothing = got.limit(0)
     assert behaviour.choices_left(w, s, nothing, 9_000).count() == len(want | {(p, q) for p, q in refused if metres(who[p], where[q]) <= 9_000})
     assert behaviour.choices_left(w.limit(0), s, nothing).isEmpty() and behaviour.turned_away(w, s.limit(0)).isEmpty()
+
+
+def test_a_search_ends_at_its_goal():
+    import pandas as pd
+
+    n = 200
+    edges = pd.DataFrame([(a, b, 10, 1, 1) for k in range(n) for a, b in ((k, k + 1), (k + 1, k))], columns=["src", "dst", "cm", "tile", "to_tile"])
+    state = pd.DataFrame([(7, 0, 1, 0, True, -1, -1, 3)], columns=["source", "node", "tile", "dist", "new", "ban_a", "ban_b", "goal"])
+    got = network.search_tile(state, edges, None)
+    assert dict(zip(got["node"], got["dist"]))[3] == 30
+    assert len(got) <= 4
+    all_ = network.search_tile(state.assign(goal=network.NOWHERE), edges, None)
+    assert len(all_) == n
+
+
+def test_a_map_keeps_few_sites_of_a_door():
+    import numpy as np
+    import pandas as pd
+
+    n = 1500
+    r = np.random.default_rng(1)
+    rows = pd.DataFrame({"site_id": range(n), "lon": r.random(n), "lat": 45 + r.random(n), "capacity": 1, "opens": 0, "closes": 9, "pets": True, "adults_only": False, "own": True, "m_level": 0, "x": 0, "y": 0})
+    m = behaviour.Map(rows, behaviour.Grid(1.0, (0.0, 1.0, 45.0, 46.0)), behaviour.Hours([(0, n)], [(9, n)]))
+    for door in range(40):
+        got = list(m.by_distance(0.5, 45.5, door))
+        assert sorted(k for k, _ in got) == list(range(n)) and [d for _, d in got] == sorted(d for _, d in got)
+    assert len(m.between) == 40 and sum(x.nbytes for known in m.between.values() for x in known) <= 40 * 12 * behaviour.NEAR
