@@ -28,6 +28,9 @@ from siteward.session import materialize, scratch_root
 MAGIC, VERSION, NULL_SHAPE, POLYLINE = 9994, 1000, 0, 3
 HEADER, DBF_FIELD = 100, 32
 MERCATOR = 'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere"]'
+DEGREES = 'GEOGCS["GCS_WGS_1984"]'
+#: Web Mercator ends here; what lies beyond is kept in degrees.
+MERCATOR_LAT = 85.0
 
 #: Bytes that a reader asks a file for at a time.
 BLOCK = 1 << 20
@@ -164,7 +167,7 @@ def folder_of(path: str):
     return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
 
-def write_shapefiles(df: DataFrame, path: str, fields: dict[str, int], rows: int = 20_000) -> None:
+def write_shapefiles(df: DataFrame, path: str, fields: dict[str, int], rows: int = 20_000, projection: str = MERCATOR) -> None:
     """df (seq, parts, others) as shapefiles of the features of `rows` consecutive seq each, with projection files beside them.
     fields: {column: width} of the attributes."""
 
@@ -176,7 +179,7 @@ def write_shapefiles(df: DataFrame, path: str, fields: dict[str, int], rows: int
         lines = [[[(p["x"], p["y"]) for p in part] for part in (parts if parts is not None else ())] for parts in batch["parts"]]
         texts = [["" if v is None or v != v else str(v) for v in row] for row in batch[list(fields)].itertuples(index=False)]
         shapes = shape_bytes(lines)
-        for end, content in (("shp", shapes), ("shx", index_bytes(shapes)), ("dbf", table_bytes(list(fields.items()), texts)), ("prj", MERCATOR.encode())):
+        for end, content in (("shp", shapes), ("shx", index_bytes(shapes)), ("dbf", table_bytes(list(fields.items()), texts)), ("prj", projection.encode())):
             with system.open_output_stream(f"{name}.{end}") as out:
                 out.write(content)
         return pd.DataFrame({"n": [len(batch)]})
@@ -297,14 +300,17 @@ def read_shapefiles(spark: SparkSession, path: str, fields: list[str], records:
 
 
 def _streets(spark, sf_dir: str) -> DataFrame:
-    """The segments as shapefiles in Web Mercator, read again: every seventh has two parts, every fortieth none."""
+    """The segments as shapefiles in Web Mercator, but for those beyond its latitudes, whose files are in degrees; read again: every
+    seventh has two parts, every fortieth none."""
     path = f"{scratch_root(spark)}/siteward-shapes-{uuid.uuid4().hex}"
     meters = lambda p: F.struct((F.radians(p["lon"]) * R_MERCATOR).alias("x"), (F.log(F.tan(F.pi() / 4 + F.radians(p["lat"]) / 2)) * R_MERCATOR).alias("y"))
-    line = F.transform("pts", meters)
+    inside = F.forall("pts", lambda p: F.abs(p["lat"]) <= MERCATOR_LAT)
+    line = F.when(inside, F.transform("pts", meters)).otherwise(F.transform("pts", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))))
     parts = F.when(F.col("seq") % 40 == 5, F.array().cast("array<array<struct<x:double,y:double>>>")).when(F.col("seq") % 7 == 0, F.array(line, F.reverse(line))).otherwise(F.array(line))
-    s = segments(spark, sf_dir).select("seq", parts.alias("parts"), F.col("seq").alias("SEQ_ID"), F.when(F.col("seq") % 50 != 7, F.col("f_node")).alias("PDX_F_NODE"), F.col("t_node").alias("PDX_T_NODE"), F.col("name").alias("FULL_NAME"), F.col("type").alias("TYPE"))
+    s = segments(spark, sf_dir).select("seq", parts.alias("parts"), F.col("seq").alias("SEQ_ID"), F.when(F.col("seq") % 50 != 7, F.col("f_node")).alias("PDX_F_NODE"), F.col("t_node").alias("PDX_T_NODE"), F.col("name").alias("FULL_NAME"), F.col("type").alias("TYPE"), inside.alias("inside"))
     fields = {"SEQ_ID": 12, "PDX_F_NODE": 12, "PDX_T_NODE": 12, "FULL_NAME": 40, "TYPE": 6}
-    write_shapefiles(s, path, fields)
+    for chosen, projection in ((F.col("inside"), MERCATOR), (~F.col("inside"), DEGREES)):
+        write_shapefiles(s.where(chosen).drop("inside"), path, fields, projection=projection)
     read = read_shapefiles(spark, path, list(fields))
     return read.select(F.col("SEQ_ID").cast("long").alias("seq"), "parts", F.col("PDX_F_NODE").cast("long").alias("f_node"), F.col("PDX_T_NODE").cast("long").alias("t_node"), F.col("FULL_NAME").alias("name"), F.col("TYPE").cast("long").alias("type"))
 
