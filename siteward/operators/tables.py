@@ -12,7 +12,7 @@ from siteward.functions.ranks import numbered, running
 from siteward.operators.admission import HAVERSINE, haversine
 from siteward.operators.relations import _uniform_sql, norm_name, uniform
 from siteward.operators.stand_ins import ARRIVALS, MONITORS, OUTCOMES, PEOPLE, SITES, arrivals, monitors, outcomes, people, read, sites
-from siteward.session import materialize
+from siteward.session import discard, materialize
 
 # Names of states, and of the classes of a daily series with their bounds in ug/m3.
 STATE_NAMES = {"SHELTERED": "Got inside", "REFUSED_ALL_FULL": "Turned away", "UNREACHABLE": "Could not reach"}
@@ -213,31 +213,27 @@ def tx_person_sheet(spark, sf_dir):
 def absorb(demand: DataFrame, where: DataFrame) -> DataFrame:
     """(group_id, site_id, units, dist_m): demand (group_id, lon, lat, units), the largest first, of equals the least id, takes what it
     needs of the nearest site (site_id, lon, lat, capacity) with room, of equals the least id, and goes on to the next; what finds
-    no room is left out. Rounds: all that is open asks its next site; a site keeps by that order, in part if need be, and whoever
-    is put out asks on. As sites rank alike, this ends as one after the other would; each round settles the first that is open."""
+    no room is left out. Rounds: each group takes along its whole list what those before it left by the last round. The first
+    group is right at once, another one a round after those before it, so that rounds are as many as groups at most, and few
+    where they seldom meet."""
     sites_ = where.select("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), F.col("capacity").cast("long").alias("capacity")).where("capacity > 0")
-    listed = F.broadcast(sites_.agg(F.sort_array(F.collect_list(F.struct("site_id", "s_lon", "s_lat"))).alias("all")))  # facilities, not people
-    ranked = numbered(demand.withColumn("_neg", -F.col("units")), [], ["_neg", "group_id"], "rank")
-    far = F.transform("all", lambda s: F.struct(F.round(haversine(F.col("lon"), F.col("lat"), s["s_lon"], s["s_lat"]), 6).alias("d"), s["site_id"].alias("site_id")))
-    choices = materialize(ranked.join(listed).select("group_id", "rank", "units", F.array_sort(far).alias("choices")), "choices")
-    # What each group asks of each site it has got to: all that the sites before it have not given.
-    asks = choices.select("group_id", "rank", "units", F.lit(1).alias("at"))
+    ranked = materialize(numbered(demand.withColumn("_neg", -F.col("units")), [], ["_neg", "group_id"], "rank").drop("_neg"), "demand")
+    ranked = running(ranked, [], ["rank"], "units", "others")
+    pairs = sites_.crossJoin(F.broadcast(ranked)).withColumn("d", F.round(haversine(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat")), 6))
+    pairs = materialize(pairs.select("group_id", "rank", "units", "others", "site_id", "capacity", "d"), "choices")
+    # Those before a group take no more than they need: beyond what all of them and it need, nothing is asked for.
+    pairs = running(pairs, ["group_id"], ["d", "site_id"], "capacity", "nearer").where("nearer < others + units")
+    now = materialize(pairs.select("group_id", "rank", "units", "site_id", "capacity", "d", F.lit(0).cast("long").alias("given")), "given")
     while True:
-        got = asks.join(choices.select("group_id", "choices"), "group_id").where(F.col("at") <= F.size("choices"))
-        got = got.select("group_id", "rank", "units", "at", F.get("choices", F.col("at") - 1).alias("c")).select("group_id", "rank", "units", "at", "c.site_id", "c.d")
-        room = running(got, ["site_id"], ["rank"], "units", "before").join(sites_.select("site_id", "capacity"), "site_id")
-        given = materialize(room.withColumn("given", F.greatest(F.lit(0), F.least(F.col("units"), F.col("capacity") - F.col("before")))), "given")
-        # The asks that follow: of each group, in the order of its sites, what is left over goes to the next.
-        total = given.groupBy("group_id").agg(F.sum("given").alias("held"), F.max("at").alias("last"), F.max(F.struct("at", F.col("given"), F.col("units"))).alias("end"))
-        new = choices.select("group_id", "rank", F.col("units").alias("need"), F.size("choices").alias("sites")).join(total, "group_id")
-        more = new.where((F.col("end.given") < F.col("end.units")) & (F.col("last") < F.col("sites"))).select("group_id", "rank", (F.col("end.units") - F.col("end.given")).alias("units"), (F.col("last") + 1).alias("at"))
-        # An ask after one that now gives less grows by the difference.
-        w = Window.partitionBy("group_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row a site that the group has got to
-        want = given.join(choices.select("group_id", F.col("units").alias("need")), "group_id").withColumn("want", F.col("need") - F.coalesce(F.sum("given").over(w), F.lit(0)))
-        changed = want.where("want != units")
-        if more.isEmpty() and changed.isEmpty():
-            return given.where("given > 0").select("group_id", "site_id", F.col("given").alias("units"), F.col("d").alias("dist_m"))
-        asks = materialize(want.select("group_id", "rank", F.greatest("want", F.lit(0)).alias("units"), "at").unionByName(more), "asks")
+        left = running(now, ["site_id"], ["rank"], "given", "before").withColumn("room", F.greatest(F.lit(0), F.col("capacity") - F.col("before")))
+        took = running(left, ["group_id"], ["d", "site_id"], "room", "ahead")
+        given = F.greatest(F.lit(0), F.least(F.col("room"), F.col("units") - F.col("ahead")))
+        new = materialize(took.select("group_id", "rank", "units", "site_id", "capacity", "d", given.alias("given"), (given != F.col("given")).alias("changed")), "given")
+        discard(now)
+        if new.where("changed").isEmpty():
+            return new.where("given > 0").select("group_id", "site_id", F.col("given").alias("units"), F.col("d").alias("dist_m"))
+        now = new.drop("changed")
+        now._siteward_path = new._siteward_path
 
 
 @query("st_greedy_absorb")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siteward import plans  # noqa: F401
 from siteward.operators import results, tables
 from siteward.plans import exposure
+from siteward.session import materialize
 from siteward.sources import files, shapes
 
 LINES = [[[(0.0, 1.0), (2.0, 3.0)]], [], [[(1.0, 1.0), (2.0, 2.0)], [(5.0, 5.0), (6.0, 7.0), (8.0, 9.0)]]]
@@ -160,6 +161,21 @@ def test_greedy_absorption(spark):
     assert {(x.group_id, x.site_id): x.units for x in got.collect()} == want
 
 
+def test_greedy_absorption_takes_many_sites_in_a_round(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(tables, "materialize", lambda df, name="step": calls.append(name) or materialize(df, name))
+    where = [(k, 0.01 * k, 0.0, 1) for k in range(40)]
+    got = tables.absorb(spark.createDataFrame([(1, 0.0, 0.0, 30)], "group_id long, lon double, lat double, units long"), spark.createDataFrame(where, "site_id long, lon double, lat double, capacity int"))
+    assert sorted(x.site_id for x in got.collect()) == list(range(30))
+    assert calls.count("given") <= 4
+
+
+def test_shapes_beyond_mercator(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (3, 500_000)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.seq: r.lat for r in shapes.src_shapefile(spark, str(tmp_path)).collect()}
+    assert got[2 * 3] == pytest.approx(45.2, abs=1e-7) and got[2 * 500_000] == pytest.approx(95.2, abs=1e-7)
+
+
 def test_greedy_siting(spark):
     r = random.Random(4)
     demand = [(k, r.uniform(0, 0.3), r.uniform(0, 0.3), r.randrange(1, 9)) for k in range(12)]
