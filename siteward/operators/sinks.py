@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,17 @@ def snk_results_csv(spark, sf_dir):
     return spark.read.schema(sheet.schema).option("header", True).csv(path).select(*sheet.columns)
 
 
+def printed(c: Column, digits: int) -> Column:
+    """A number with so many digits as C's printf has it: the nearest to the binary value, of equals the even one. Spark's own
+    format_string goes by the shortest decimal and rounds halves up."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}").astype(object)
+
+    return text(c.cast("double"))
+
+
 @query("snk_shelters", f"""WITH {ARRIVALS}, {SITES}, {RANKED}, a AS (SELECT * FROM ranked WHERE capacity IS NULL OR rank <= capacity), r AS (SELECT site_id, count(*) AS asked FROM arrivals GROUP BY site_id)
 SELECT s.site_id, s.name, printf('%.6f', s.lon) AS lon, printf('%.6f', s.lat) AS lat, s.capacity, s.operating, count(a.person_id) AS final_occupancy, coalesce(any_value(asked), 0) - count(a.person_id) AS refused_count, CASE WHEN s.capacity > 0 THEN printf('%.4f', count(a.person_id) / s.capacity::DOUBLE) END AS utilization,
  CASE WHEN count(a.person_id) > 0 THEN printf('%.1f', avg(a.price)) END AS mean_travel_dist_m_admitted FROM sites s LEFT JOIN a USING (site_id) LEFT JOIN r USING (site_id) GROUP BY s.site_id, s.name, s.lon, s.lat, s.capacity, s.operating""")
@@ -61,18 +73,17 @@ def snk_shelters(spark, sf_dir):
     inside = admit_first(arrivals(spark, sf_dir), s, "site_id", ORDER).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("mean"))
     asked = arrivals(spark, sf_dir).groupBy("site_id").agg(F.count(F.lit(1)).alias("asked"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    fixed = lambda p, c: F.when(c.isNotNull(), F.format_string(p, c))
     t = s.join(inside, "site_id", "left").join(asked, "site_id", "left").select(
         "site_id",
         "name",
-        fixed("%.6f", F.col("lon")).alias("lon"),
-        fixed("%.6f", F.col("lat")).alias("lat"),
+        printed(F.col("lon"), 6).alias("lon"),
+        printed(F.col("lat"), 6).alias("lat"),
         "capacity",
         "operating",
         zero(F.col("n")).alias("final_occupancy"),
         (zero(F.col("asked")) - zero(F.col("n"))).alias("refused_count"),
-        F.when(F.col("capacity") > 0, F.format_string("%.4f", zero(F.col("n")) / F.col("capacity").cast("double"))).alias("utilization"),
-        fixed("%.1f", F.col("mean")).alias("mean_travel_dist_m_admitted"),
+        printed(F.when(F.col("capacity") > 0, zero(F.col("n")) / F.col("capacity").cast("double")), 4).alias("utilization"),
+        printed(F.col("mean"), 1).alias("mean_travel_dist_m_admitted"),
     )
     return through_csv(t, "shelters")
 

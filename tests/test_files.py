@@ -232,3 +232,11 @@ def test_rules_in_block_style(spark, tmp_path):
     for text, what in ((BLOCK.replace("    status: forbidden", "    status forbidden"), "line 7 of"), (BLOCK.replace("    status: forbidden", "    id: again"), "of file"), (BLOCK.replace("forbidden", "maybe"), "bad claim R1"), ("claims:\n    id: x\n", "line 2 of")):
         with pytest.raises(Exception, match=what):
             read(text)
+
+
+def test_numbers_are_printed_as_c_does(spark):
+    from siteward.operators.sinks import printed
+
+    values = [12.25, 12.35, 33663.45, 0.05, -0.25, 1e9 + 0.25, None]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(printed(F.col("v"), 1).alias("t")).collect()]
+    assert got == [None if v is None else "%.1f" % v for v in values]
