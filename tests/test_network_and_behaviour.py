@@ -100,6 +100,14 @@ def test_rings_keep_those_without_a_place(spark):
     assert nearest_by_rings(who.limit(0), s).count() == 0
 
 
+def test_people_of_one_file_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(admission, "PEOPLE_A_TASK", 10)
+    who = spark.range(200).coalesce(1).select(F.col("id").alias("person_id"), (F.col("id") / 200).alias("lon"), F.lit(45.0).alias("lat"))
+    s = spark.range(30).select(F.col("id").alias("site_id"), (F.col("id") / 30).alias("s_lon"), F.lit(45.0).alias("s_lat"))
+    each = [x["count"] for x in nearest_by_rings(who, s).groupBy(F.input_file_name()).count().collect()]
+    assert sum(each) == 200 and max(each) <= 30
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_many_sites_by_rings_are_the_nearest(spark, seed):
     r = random.Random(seed)
