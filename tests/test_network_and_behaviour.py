@@ -244,6 +244,33 @@ def test_choices_without_refusing_sites(spark):
     assert behaviour.choices_left(w.limit(0), s, nothing).isEmpty() and behaviour.turned_away(w, s.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("place", ((-122.5, 45.5), (179.95, -20.0), (10.0, 89.5)))
+def test_choices_are_counted_without_pairs(spark, monkeypatch, place):
+    monkeypatch.setattr(behaviour, "BLOCK_SITES", 20)
+    monkeypatch.setattr(behaviour, "CROWD", 7)
+    r = random.Random(4)
+    turned = lambda x: (x + 180) % 360 - 180
+    spot = lambda: (turned(place[0] + r.uniform(-0.3, 0.3)), place[1] + r.uniform(-0.2, 0.2))
+    who, where = [(k, *spot()) for k in range(40)] + [(77, None, 1.0)], [(k, *spot()) for k in range(300)]
+    w, s = spark.createDataFrame(who, "person_id long, lon double, lat double"), spark.createDataFrame(where, "site_id long, lon double, lat double")
+    refused = spark.createDataFrame([(k % 40, k * 7 % 300) for k in range(600)] * 2, "person_id long, site_id long")
+    want = {}
+    for x in behaviour.choices_left(w, s, refused, 9_000).collect() if place[1] < 80 and place[0] < 0 else by_hand(who, where, {tuple(x) for x in refused.collect()}, 9_000):
+        want.setdefault(x[0], []).append((x[2], x[1]))
+    got = {x.person_id: (x.choices, x.first_choice, x.ids) for x in behaviour.choices_counted(w, s, refused, 9_000).collect()}
+    assert got == {k: (len(v), min(v)[1], sum(i for _, i in v)) for k, v in want.items()} and len(got) > 30
+    assert behaviour.choices_counted(w, s.limit(0), refused).isEmpty() and behaviour.choices_counted(w.limit(0), s, refused).isEmpty()
+
+
+def by_hand(who, where, refused, most):
+    for p, x, y in who[:-1]:
+        for q, v, u in where:
+            a = math.sin(math.radians(u - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(u)) * math.sin(math.radians(v - x) / 2) ** 2
+            d = 2 * 6_371_000 * math.asin(math.sqrt(a))
+            if d <= most and (p, q) not in refused:
+                yield p, q, round(d, 6)
+
+
 def test_a_search_ends_at_its_goal():
     import pandas as pd
 
