@@ -85,6 +85,32 @@ def test_trees_by_tiles_are_dijkstras(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("most", (2_000, 30, 0))
+def test_nearest_by_way_is_dijkstras(spark, monkeypatch, most):
+    monkeypatch.setattr(network, "MERGE_NODES", most)
+    r = random.Random(5)
+    n = 120
+    where = {k: (r.uniform(0, 1), r.uniform(0, 2)) for k in range(n)}
+    edges = {}
+    for a in range(n):
+        for b in sorted(range(n), key=lambda v: math.dist(where[a], where[v]))[1 : 2 + r.randrange(3)]:
+            edges[min(a, b), max(a, b)] = r.randrange(1, 6)
+    starts = [(40, 3), (41, 3), (-7, 80), (9, 50), (12, 119)]
+    label, heap = {}, sorted((0, s, v) for s, v in starts)
+    while heap:
+        d, s, u = heapq.heappop(heap)
+        if u in label:
+            continue
+        label[u] = (d, s)
+        for (a, b), w in edges.items():
+            if u in (a, b):
+                heapq.heappush(heap, (d + w, s, b if u == a else a))
+    streets = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, cm long")
+    tiles = spark.createDataFrame([(k, int(x * 5) * 100_000 + int(y * 5) - 3) for k, (x, y) in where.items()], "node long, tile long")
+    found = network.nearest_by_way(streets, tiles, spark.createDataFrame(starts, "site_id long, node long")).collect()
+    assert {x.node: (x.dist, x.site_id) for x in found} == label and len(found) == len(label) > 60
+
+
 def test_ways_by_doubling(spark):
     tree = spark.createDataFrame([(k, 1, k, k - 1 if k else None) for k in range(37)] + [(100, 2, 0, None)], "node long, site_id long, dist long, up long")
     got = {x.node: x.steps for x in network.paths(tree).collect()}
