@@ -111,6 +111,16 @@ def test_nearest_by_way_is_dijkstras(spark, monkeypatch, most):
     assert {x.node: (x.dist, x.site_id) for x in found} == label and len(found) == len(label) > 60
 
 
+def test_sites_with_one_door_are_one_search(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    searched = []
+    monkeypatch.setattr(network, "doors", lambda *_: spark.createDataFrame([(5, 1), (6, 1), (7, 2)], "site_id long, node long"))
+    monkeypatch.setattr(network, "trees", lambda streets, tiles, sources: (searched.extend(sources.collect()), sources.withColumn("dist", F.lit(0)))[1])
+    got = {tuple(x) for x in network.site_trees(spark, "", SimpleNamespace(streets=None, tiles=None)).collect()}
+    assert got == {(5, 1, 0), (6, 1, 0), (7, 2, 0)} and len(searched) == 2
+
+
 def test_ways_by_doubling(spark):
     tree = spark.createDataFrame([(k, 1, k, k - 1 if k else None) for k in range(37)] + [(100, 2, 0, None)], "node long, site_id long, dist long, up long")
     got = {x.node: x.steps for x in network.paths(tree).collect()}
