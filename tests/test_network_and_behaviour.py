@@ -144,6 +144,25 @@ def test_people_of_one_file_are_many_tasks(spark, monkeypatch):
     assert sum(each) == 200 and max(each) <= 30
 
 
+def test_people_of_a_wider_ring_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(admission, "PEOPLE_A_TASK", 20)
+    # All sites are further off than the first ring and within the second.
+    who = spark.range(60).coalesce(1).select(F.col("id").alias("person_id"), (F.col("id") / 60).alias("lon"), F.lit(45.1).alias("lat"))
+    s = spark.range(30).select(F.col("id").alias("site_id"), (F.col("id") / 30).alias("s_lon"), F.lit(45.0).alias("s_lat"))
+    got = nearest_by_rings(who, s).select("person_id", "site_id", F.input_file_name().alias("f")).collect()
+    assert len(got) == 60 and all(abs(x.site_id * 2 - x.person_id) <= 1 for x in got)
+    each = [sum(x.f == f for x in got) for f in {x.f for x in got}]
+    assert len(each) >= 5 and max(each) <= 20
+
+
+def test_rings_shuffled_by_cells_and_half_places(spark, monkeypatch):
+    monkeypatch.setattr(admission, "BROADCAST_CELLS", 0)
+    who = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, None), (3, None, None), (4, 0.6, 0.6)], "person_id long, lon double, lat double")
+    s = spark.createDataFrame([(7, 0.1, 0.1), (8, 0.5, 0.5), (9, 0.0, None)], "site_id long, s_lon double, s_lat double")
+    assert {x.person_id: x.site_id for x in nearest_by_rings(who, s).collect()} == {1: 7, 2: None, 3: None, 4: 8}
+    assert [x.site_id for x in nearest_by_rings(who, s.where("site_id = 9")).collect()] == [None] * 4
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_many_sites_by_rings_are_the_nearest(spark, seed):
     r = random.Random(seed)
