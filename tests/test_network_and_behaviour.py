@@ -111,6 +111,35 @@ def test_nearest_by_way_is_dijkstras(spark, monkeypatch, most):
     assert {x.node: (x.dist, x.site_id) for x in found} == label and len(found) == len(label) > 60
 
 
+def test_all_ways_go_over_a_tile_once(spark, monkeypatch):
+    def no(*_):
+        raise AssertionError("searched tile by tile")
+
+    monkeypatch.setattr(network, "search_tile", no)
+    monkeypatch.setattr(network, "SLICE", 4)
+    monkeypatch.setattr(network, "BUNDLE", 8)
+    r = random.Random(6)
+    n = 90
+    where = {k: (r.uniform(0, 1), r.uniform(0, 2)) for k in range(n)}
+    far = {(a, b): 0 if a == b else math.inf for a in range(n) for b in range(n)}
+    edges = {}
+    for a in range(n - 1):
+        for b in sorted(range(n - 1), key=lambda v: math.dist(where[a], where[v]))[1 : 2 + r.randrange(3)]:
+            edges[min(a, b), max(a, b)] = r.randrange(1, 60)
+    for (a, b), w in edges.items():
+        far[a, b] = far[b, a] = w
+    for k in range(n):
+        for a in range(n):
+            for b in range(n):
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    starts = [(300 + k, r.randrange(n - 1)) for k in range(20)] + [(500, n - 1)]
+    streets = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, cm long")
+    tiles = spark.createDataFrame([(k, int(x * 4) * 100_000 + int(y * 4) - 3) for k, (x, y) in where.items()], "node long, tile long")
+    found = network.trees(streets, tiles, spark.createDataFrame(starts, "source long, node long")).collect()
+    got = {(x.source, x.node): x.dist for x in found}
+    assert got == {(s, b): far[v, b] for s, v in starts for b in range(n) if far[v, b] < math.inf} and len(got) == len(found)
+
+
 def test_sites_with_one_door_are_one_search(spark, monkeypatch):
     from types import SimpleNamespace
 
