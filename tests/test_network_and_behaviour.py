@@ -156,6 +156,18 @@ def test_ways_by_doubling(spark):
     assert got == {k: list(range(k, -1, -1)) for k in range(37)} | {100: [100]}
 
 
+def test_ways_are_written_by_stops(spark, monkeypatch):
+    monkeypatch.setattr(network, "STOP", 8)
+    kept, write = [], network.materialize
+    monkeypatch.setattr(network, "materialize", lambda df, name="step": kept.append((name, write(df, name))) or kept[-1][1])
+    monkeypatch.setattr(network, "discard", lambda df: None)
+    tree = spark.createDataFrame([(k, 1, k, k - 1 if k else None) for k in range(150)] + [(900, 2, 0, None)], "node long, site_id long, dist long, up long")
+    got = {x.node: x.steps for x in network.paths(tree).collect()}
+    assert got == {k: list(range(k, -1, -1)) for k in range(150)} | {900: [900]}
+    # All ways have 11,326 nodes.
+    assert max(df.agg(F.sum(F.size("steps"))).first()[0] for name, df in kept if "steps" in df.columns) < 2_500
+
+
 def test_rings_keep_those_without_a_place(spark):
     who = spark.createDataFrame([(1, 0.0, 0.0, 5), (2, 3.0, 3.0, 1), (3, 179.0, -80.0, 5)], "person_id long, lon double, lat double, level int")
     s = spark.createDataFrame([(7, 0.1, 0.1, 9), (8, 0.5, 0.5, 3)], "site_id long, s_lon double, s_lat double, need int")
